@@ -35,8 +35,10 @@ def card(title: Column, subtitle: Column, text: Column, color: Column, facts: Co
 def alert_card(df: DataFrame, excluded: list[str] = EXCLUDED_FIELDS, channel: str = "alert_channel",
                system: str = SYSTEM_NAME) -> Column:
     """Card of a significant message. Facts named in ``excluded`` are left out."""
+    have = {c.lower() for c in df.columns}
+
     def field(*names: str, default: str = "") -> Column:
-        return F.coalesce(*[F.col(n).cast("string") for n in names if n in df.columns], F.lit(default))
+        return F.coalesce(*[F.col(n).cast("string") for n in names if n.lower() in have], F.lit(default))
 
     def optional(name: str, label: str) -> Column:
         shown = field(name) != "" if name not in excluded else F.lit(False)

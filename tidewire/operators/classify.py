@@ -67,48 +67,52 @@ def match_inline(df: DataFrame, rows: list, text: str = "text") -> DataFrame:
     return joined.select(*df.columns, "excluded", "significant_hits", "trivial_hits")
 
 
+def _sequences(lowered: Column, n: int) -> Column:
+    """Runs of ``n`` words that are parted by single spaces."""
+    if n == 1:
+        return F.regexp_extract_all(lowered, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    run = r"(?<![\p{L}\p{N}_])(?=([\p{L}\p{N}_]+(?: [\p{L}\p{N}_]+){%d})(?![\p{L}\p{N}_]))" % (n - 1)
+    return F.regexp_extract_all(lowered, F.lit(run), F.lit(1))
+
+
 def keyword_hits(df: DataFrame, lookup: DataFrame, keys: list[str], text: str = "text",
                  max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Long form ``(keys, class, pos, kw, en)`` of all matches, for keyword tables of any size.
 
-    A keyword made of words and single spaces is found by equality: the text's word sequences are
-    joined to the keywords on (country, side, length, sequence), broadcast when the table is within
-    ``max_rows``, else salted. Only sequences up to the longest keyword are made, each once per
-    message. Other keywords keep the pattern test, on (country, side).
+    A keyword made of up to eight words and single spaces is found by equality: the text's word
+    sequences of the lengths in use, each once per message, are joined to the keywords on (country,
+    side, sequence). The table is broadcast when it is within ``max_rows``, else the join is salted.
+    Other keywords keep the pattern test, on (country, side).
     """
-    simple = F.col("kw").rlike(r"\A[\p{L}\p{N}_]+( [\p{L}\p{N}_]+)*\z")
-    known = lookup.select("country_code").distinct().filter("country_code is not null").withColumn("_known", F.lit(True))
+    table = lookup.select(
+        F.coalesce("country_code", F.lit("")).alias("_key"), F.col("language").alias("_side"),
+        "class", "pos", "kw", "pattern", "en",
+        F.when(F.col("kw").rlike(r"\A[\p{L}\p{N}_]+( [\p{L}\p{N}_]+){0,7}\z"), F.size(F.split("kw", " ")))
+        .otherwise(0).alias("_words"))
+    lengths = sorted(r[0] for r in table.select("_words").distinct().collect())  # at most nine values
     small = fits_broadcast(lookup, max_rows)
-    base = join_dimension(df.select(*keys, "country_code", "language", F.col(text).alias("_text")),
-                          known, ["country_code"], "left")
-    base = base.select(*keys, F.when(F.col("_known"), F.col("country_code")).alias("_key"),
-                       language_side(F.col("language")).alias("_side"), F.lower("_text").alias("_lowered"))
-    table = lookup.select(F.col("country_code").alias("_key"), F.col("language").alias("_side"),
-                          "class", "pos", "kw", "pattern", "en")
-    table = table.withColumns({"_key": F.coalesce("_key", F.lit("")), "_words": F.size(F.split("kw", " "))})
-    base = base.withColumn("_key", F.coalesce("_key", F.lit("")))
-    lengths = [r[0] for r in table.filter(simple).select("_words").distinct().limit(64).collect()]
-
-    results = []
-    for n in sorted(lengths):
-        # Words with the separator after each, so that a sequence is only taken across single spaces.
-        tokens = F.regexp_extract_all("_lowered", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-        if n == 1:
-            grams = tokens
-        else:
-            window = r"(?<![\p{L}\p{N}_])(?=([\p{L}\p{N}_]+(?: [\p{L}\p{N}_]+){%d})(?![\p{L}\p{N}_]))" % (n - 1)
-            grams = F.regexp_extract_all("_lowered", F.lit(window), F.lit(1))
-        seqs = base.select(*keys, "_key", "_side", F.explode(F.array_distinct(grams)).alias("kw"))
-        hits = join_dimension(seqs, table.filter(simple & (F.col("_words") == n)).drop("pattern", "_words"),
-                              ["_key", "_side", "kw"], "inner", small=small)
-        results.append(hits.select(*keys, "class", "pos", "kw", "en"))
-    odd = table.filter(~simple)
-    tested = join_dimension(base, odd, ["_key", "_side"], "inner", small=small).filter(
-        F.col("_lowered").contains(F.col("kw")) & F.rlike(F.col("_lowered"), F.col("pattern")))
-    out = tested.select(*keys, "class", "pos", "kw", "en")
-    for part in results:
-        out = out.unionByName(part)
-    return out
+    known = lookup.select("country_code").distinct().filter("country_code is not null").withColumn("_known", F.lit(True))
+    base = join_dimension(
+        df.select(*keys, *[c for c in ("country_code",) if c not in keys], "language", F.lower(text).alias("_lowered")),
+        known, ["country_code"], "left", small=small)
+    base = base.select(
+        *keys, F.when(F.col("_known"), F.col("country_code")).otherwise("").alias("_key"),
+        language_side(F.col("language")).alias("_side"), "_lowered")
+    match = [*keys, "class", "pos", "kw", "en"]
+    parts = []
+    if any(lengths):
+        runs = F.array_distinct(F.concat(*[_sequences(F.col("_lowered"), n) for n in lengths if n]))
+        found = base.select(*keys, "_key", "_side", F.explode(runs).alias("kw"))
+        parts.append(join_dimension(found, table.filter("_words > 0").drop("pattern"), ["_key", "_side", "kw"],
+                                    "inner", small=small).select(*match))
+    if 0 in lengths:
+        parts.append(join_dimension(base, table.filter("_words = 0"), ["_key", "_side"], "inner", small=small)
+                     .filter(F.col("_lowered").contains(F.col("kw")) & F.rlike("_lowered", F.col("pattern")))
+                     .select(*match))
+    if not parts:
+        return base.select(*keys, F.lit("").alias("class"), F.lit(0).alias("pos"), F.lit("").alias("kw"),
+                           F.lit("").alias("en")).filter(F.lit(False))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def match_by_sequence(df: DataFrame, lookup: DataFrame, keys: list[str], text: str = "text",

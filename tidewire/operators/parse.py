@@ -104,10 +104,9 @@ def parse_messages(raw: DataFrame, now, rich: bool = False) -> DataFrame:
 
 
 def processing_aliases(df: DataFrame) -> DataFrame:
-    """Short names used by the processing stage."""
+    """Names used by the processing stage. ``channel`` needs none: Spark reads it as ``Channel``."""
     return df.withColumns({
-        "Country": F.col("country_name"), "text": F.col("Message_Text"),
-        "id": F.col("Message_ID"), "channel": F.col("Channel")})
+        "Country": F.col("country_name"), "text": F.col("Message_Text"), "id": F.col("Message_ID")})
 
 
 def message_text(df: DataFrame, order: tuple[str, ...] = ("Message_Text", "text")) -> Column:

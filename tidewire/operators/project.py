@@ -18,8 +18,8 @@ FEED_FIELDS = exclude_fields(MESSAGE_FIELDS, EXCLUDED_FIELDS)
 
 
 def _cells(df: DataFrame, fields: list[str]) -> dict[str, Column]:
-    types = dict(df.dtypes)
-    return {f: as_text(F.col(f), types[f]) if f in types else F.lit("") for f in fields}
+    types = {c.lower(): t for c, t in df.dtypes}  # Spark does not tell ``channel`` from ``Channel``
+    return {f: as_text(F.col(f), types[f.lower()]) if f.lower() in types else F.lit("") for f in fields}
 
 
 def canonical_projection(df: DataFrame, fields: list[str] = MESSAGE_FIELDS, keep: tuple[str, ...] = ()) -> DataFrame:

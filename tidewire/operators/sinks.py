@@ -44,7 +44,8 @@ def alert_rows(df: DataFrame, countries: DataFrame, excluded: list[str] | None =
     targeted = sink_lookup(significant, countries).filter(F.col("alert_target").isNotNull())
     options = {} if excluded is None else {"excluded": excluded}
     return targeted.select(
-        "country_code", "channel", "message_id", F.lit("alert").alias("sink"), "alert_target",
+        "country_code", F.col("channel").alias("channel"), F.col("message_id").alias("message_id"),
+        F.lit("alert").alias("sink"), "alert_target",
         alert_card(targeted, system=system, **options).alias("card"),
         F.lit(0).alias("attempts"), F.lit(None).cast("int").alias("last_status"),
         F.lit(None).cast("timestamp_ntz").alias("last_attempt_at"))

@@ -49,9 +49,8 @@ class Settings:
 
 def enrich(parsed: DataFrame, s: Settings, now) -> DataFrame:
     """Classification, model checks, translation and labels of parsed messages with text."""
-    routed = route_country(parsed.withColumn("channel", F.col("Channel")), s.channels)
-    named = processing_aliases(routed).withColumn("message_id", F.col("id"))
-    done = classify(named, s.keywords, keys=["channel", "message_id", "country_code"])
+    named = processing_aliases(route_country(parsed, s.channels))
+    done = classify(named, s.keywords, keys=["Channel", "Message_ID", "country_code"])
     if s.model is not None:
         done = additional_criteria(done, s.countries, s.model)
         done = ai_classify(done, s.countries, s.keywords, s.model)
@@ -77,12 +76,15 @@ def process_batch(batch: DataFrame, batch_id: int, s: Settings) -> None:
     taken = ingest.accepted(marked)
     parsed = parse_messages(taken, now)
     full, _ = split_empty_text(parsed)
-    records = enrich(full, s, now).persist(StorageLevel.MEMORY_AND_DISK)
+    # Written once and read by every sink: model and translation calls are not repeated, whatever is lost.
+    staged = f"{s.root}/staged/batch_id={batch_id}"
+    enrich(full, s, now).write.mode("overwrite").parquet(staged)
+    records = spark.read.parquet(staged)
     free = store.read_state(spark, f"{s.root}/feed_rows", batch_id, FEED_STATE)
     here = f"batch_id={batch_id}"
 
     def write_feed() -> None:
-        rows = feed_rows(records, s.countries, free, ["Date", "Time", "channel", "message_id"])
+        rows = feed_rows(records, s.countries, free, ["Date", "Time", "Channel", "Message_ID"])
         rows.write.mode("overwrite").parquet(f"{s.root}/feed/{here}")
         used = next_row(spark.read.parquet(f"{s.root}/feed/{here}"))
         merged = free.unionByName(used).groupBy("country_code", "sheet").agg(F.max("next_row").alias("next_row"))
@@ -107,8 +109,8 @@ def process_batch(batch: DataFrame, batch_id: int, s: Settings) -> None:
         if not failures:
             store.write_state(ingest.next_tracker(taken, tracker, now), f"{s.root}/tracker", batch_id)
             store.write_ledger(ingest.ledger_entries(taken, now), f"{s.root}/ledger", batch_id, now)
+            store.remove(spark, staged)
     finally:
-        records.unpersist()
         marked.unpersist()
     if failures:
         raise RuntimeError(f"batch {batch_id}: " + "; ".join(f"{k}: {e}" for k, e in failures.items()))

@@ -22,6 +22,11 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, folder = _fs(spark, path)
+    fs.delete(folder, True)
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Finished versions of a small state table."""
     names = [n for n in _children(spark, root) if n.startswith("v=")]
@@ -43,8 +48,7 @@ def write_state(df: DataFrame, root: str, version: int, keep: int = 10) -> None:
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{root}/v={version}")
     for old in [v for v in versions(spark, root) if v <= version - keep]:
-        fs, path = _fs(spark, f"{root}/v={old}")
-        fs.delete(path, True)
+        remove(spark, f"{root}/v={old}")
 
 
 def _hour(moment):
@@ -72,6 +76,5 @@ def drop_expired_hours(spark: SparkSession, root: str, now, ttl: int = STATE_TTL
         F.date_format(at(now) - F.expr(f"INTERVAL '{ttl}' SECOND"), "yyyyMMddHH").cast("bigint")).first()[0]
     stale = [n for n in _children(spark, root) if n.startswith("hour=") and int(n[5:]) < oldest]
     for name in stale:
-        fs, path = _fs(spark, f"{root}/{name}")
-        fs.delete(path, True)
+        remove(spark, f"{root}/{name}")
     return len(stale)
