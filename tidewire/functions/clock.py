@@ -69,19 +69,26 @@ def valid_csv_date(cell: Column) -> Column:
     return is_csv_date(cell) & bare.try_cast("date").isNotNull()
 
 
-_SHORT_STAMP = r"\A\[(20[0-9]{6}_[0-9]{2}:[0-9]{2}:[0-9]{2})\]:"
-_LONG_STAMP = (
-    r"\A\[(20[0-9]{2}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}),[0-9]{3}: [A-Z]+/[^\]]+\]"
-)
+_SHORT_STAMP = r"\A\[20[0-9]{6}_[0-9]{2}:[0-9]{2}:[0-9]{2}\]:"
+_LONG_STAMP = r"\A\[20[0-9]{2}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2},[0-9]{3}: [A-Z]+/[^\]]+\]"
+
+
+def log_stamp(line: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` text of the stamp a log line starts with; null without one.
+
+    ``[yyyyMMdd_HH:mm:ss]:`` and ``[yyyy-MM-dd HH:mm:ss,SSS: LEVEL/process]`` are known.
+    """
+    def cut(start: int, length: int) -> Column:
+        return F.substring(line, start, length)
+
+    short = F.concat(cut(2, 4), F.lit("-"), cut(6, 2), F.lit("-"), cut(8, 2), F.lit(" "), cut(11, 8))
+    return F.when(line.rlike(_SHORT_STAMP), short).when(line.rlike(_LONG_STAMP), cut(2, 19))
 
 
 def has_log_stamp(line: Column) -> Column:
-    return line.rlike(_SHORT_STAMP) | line.rlike(_LONG_STAMP)
+    return log_stamp(line).isNotNull()
 
 
 def log_timestamp(line: Column) -> Column:
     """The local wall clock at the start of a log line; null if there is none or it is impossible."""
-    short = F.regexp_replace(
-        F.regexp_extract(line, _SHORT_STAMP, 1), r"(\d{4})(\d{2})(\d{2})_(.*)", r"$1-$2-$3 $4")
-    text = F.coalesce(F.nullif(short, F.lit("")), F.regexp_extract(line, _LONG_STAMP, 1))
-    return text.try_cast("timestamp_ntz")
+    return log_stamp(line).try_cast("timestamp_ntz")

@@ -24,9 +24,9 @@ def text_urls(text: Column) -> Column:
 
 
 def text_domains(text: Column) -> Column:
-    """Bare domains in a text, in order. A dot between two letters or digits is tested first."""
+    """Bare domains in a text, in order. A dot between two letters or digits is looked for first."""
     found = F.regexp_extract_all(text, F.lit(f"({DOMAIN_PATTERN})"), F.lit(1))
-    return F.when(text.rlike(r"[a-zA-Z0-9]\.[a-zA-Z0-9]"), _long(found)).otherwise(_no_links())
+    return F.when(text.rlike(r"\.(?<=[a-zA-Z0-9]\.)[a-zA-Z0-9]"), _long(found)).otherwise(_no_links())
 
 
 def add_uncovered_domains(links: Column, domains: Column) -> Column:

@@ -99,7 +99,7 @@ def admin_cards(events: DataFrame, system: str = SYSTEM_NAME, channel: str = "Ad
                        F.coalesce("max_retries", F.lit(3)).cast("string"))
     unit = F.coalesce("unit", F.lit(""))
     now_, limit = [F.concat(F.col(c).cast("string"), unit) for c in ("current_value", "threshold")]
-    over = F.format_number(resource_excess(F.col("current_value"), F.col("threshold")), "0.0")
+    over = F.format_string("%.1f", resource_excess(F.col("current_value"), F.col("threshold")))
     extra = F.coalesce(F.transform(F.map_entries("context"), lambda e: F.struct(
         e["key"].alias("name"), e["value"].alias("value"))), F.array().cast("array<struct<name:string,value:string>>"))
 
@@ -168,7 +168,7 @@ def summary_card(summary: DataFrame, keywords: Column | None = None, system: str
         _fact("Significant Messages", F.col("significant_messages").cast("string")),
         _fact("Channels Monitored", F.col("channels_monitored").cast("string")),
         _fact("Errors Encountered", F.col("errors_encountered").cast("string")),
-        _fact("Success Rate", F.concat(F.format_number("success_rate", "0.0"), F.lit("%"))),
+        _fact("Success Rate", F.concat(F.format_string("%.1f", "success_rate"), F.lit("%"))),
     ]
     if keywords is not None:
         facts.append(_fact("Top Keywords", F.array_join(keywords, ", ")))

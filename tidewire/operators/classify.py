@@ -1,11 +1,13 @@
 """Significant or trivial: keyword classification of messages."""
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import fixed
 from tidewire.functions.clock import at, stamp_text, to_local
-from tidewire.functions.keywords import any_match, matching
+from tidewire.functions.keywords import WORD, any_match, matching, word_set
 from tidewire.functions.language import detect_language
 from tidewire.functions.text import join_keywords
 from tidewire.operators.scale import BROADCAST_ROWS, fits_broadcast, join_dimension
@@ -13,6 +15,8 @@ from tidewire.sources.config import CLASSES, keyword_lookup
 
 # Keyword tables up to this many rows are held as lists per country; larger ones are joined by word sequence.
 INLINE_KEYWORDS = 5_000
+# Up to this many keywords are searched one by one; of more, only those whose first word is in the text.
+SEARCHED_KEYWORDS = 40
 
 
 def _none() -> Column:
@@ -36,8 +40,8 @@ def keyword_index(df: DataFrame, rows: list) -> DataFrame:
     lists: dict[tuple, dict[str, list]] = {}
     for r in sorted(rows, key=lambda r: r["pos"]):
         lists.setdefault((r["country_code"] or "", r["language"]), {c: [] for c in CLASSES})[r["class"]].append(
-            (r["kw"], r["pattern"], r["en"]))
-    entry = "array<struct<kw: string, pattern: string, en: string>>"
+            (r["kw"], r["pattern"], r["en"], r["first"]))
+    entry = "array<struct<kw: string, pattern: string, en: string, first: string>>"
     return df.sparkSession.createDataFrame(
         [(*key, *[found[c] for c in CLASSES]) for key, found in lists.items()],
         "_key string, _side string, " + ", ".join(f"_{c} {entry}" for c in CLASSES))
@@ -53,13 +57,19 @@ def match_inline(df: DataFrame, rows: list, text: str = "text") -> DataFrame:
         "_key": F.when(F.col("country_code").isin(known), F.col("country_code")).otherwise(""),
         "_side": language_side(F.col("language")),
         "_lowered": F.lower(text)})
-    lowered = F.col("_lowered")
+    lowered, present = F.col("_lowered"), None
+    index = keyword_index(df, rows)
+    joined = keyed.join(F.broadcast(index), ["_key", "_side"], "left")
+    if max(Counter((r["country_code"], r["language"]) for r in rows).values(), default=0) > SEARCHED_KEYWORDS:
+        firsts = F.array_distinct(F.transform(F.concat(*[
+            F.coalesce(F.col(f"_{c}"), F.array()) for c in CLASSES]), lambda k: k["first"]))
+        joined = joined.withColumn("_present", F.array_intersect(firsts, word_set(lowered)))
+        present = F.col("_present")
 
     def hits(c: str) -> Column:
-        return F.coalesce(F.transform(matching(F.col(f"_{c}"), lowered), lambda k: k["en"]), _none())
+        return F.coalesce(F.transform(matching(F.col(f"_{c}"), lowered, present), lambda k: k["en"]), _none())
 
-    joined = keyed.join(F.broadcast(keyword_index(df, rows)), ["_key", "_side"], "left")
-    joined = joined.withColumn("excluded", F.coalesce(any_match(F.col("_exclude"), lowered), F.lit(False)))
+    joined = joined.withColumn("excluded", F.coalesce(any_match(F.col("_exclude"), lowered, present), F.lit(False)))
     joined = joined.withColumn(
         "significant_hits", F.when(F.col("excluded"), _none()).otherwise(hits("significant")))
     joined = joined.withColumn("trivial_hits", F.when(
@@ -70,7 +80,7 @@ def match_inline(df: DataFrame, rows: list, text: str = "text") -> DataFrame:
 def _sequences(lowered: Column, n: int) -> Column:
     """Runs of ``n`` words that are parted by single spaces."""
     if n == 1:
-        return F.regexp_extract_all(lowered, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+        return word_set(lowered)
     run = r"(?<![\p{L}\p{N}_])(?=([\p{L}\p{N}_]+(?: [\p{L}\p{N}_]+){%d})(?![\p{L}\p{N}_]))" % (n - 1)
     return F.regexp_extract_all(lowered, F.lit(run), F.lit(1))
 
@@ -79,17 +89,16 @@ def keyword_hits(df: DataFrame, lookup: DataFrame, keys: list[str], text: str =
                  max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Long form ``(keys, class, pos, kw, en)`` of all matches, for keyword tables of any size.
 
-    A keyword made of up to eight words and single spaces is found by equality: the text's word
-    sequences of the lengths in use, each once per message, are joined to the keywords on (country,
-    side, sequence). The table is broadcast when it is within ``max_rows``, else the join is salted.
-    Other keywords keep the pattern test, on (country, side).
+    Each distinct word of a text is joined to the keywords that start with it, on (country, side,
+    word). A table within ``max_rows`` is broadcast, and what follows the first word is tested on the
+    spot. For a larger table the texts would have to be shuffled, so whole word sequences of the
+    lengths in use are joined instead, salted. Keywords that are not plain words keep the pattern test.
     """
     table = lookup.select(
         F.coalesce("country_code", F.lit("")).alias("_key"), F.col("language").alias("_side"),
-        "class", "pos", "kw", "pattern", "en",
-        F.when(F.col("kw").rlike(r"\A[\p{L}\p{N}_]+( [\p{L}\p{N}_]+){0,7}\z"), F.size(F.split("kw", " ")))
+        "class", "pos", "kw", "pattern", "en", "first",
+        F.when(F.col("kw").rlike(rf"\A{WORD}+( {WORD}+){{0,7}}\z"), F.size(F.split("kw", " ")))
         .otherwise(0).alias("_words"))
-    lengths = sorted(r[0] for r in table.select("_words").distinct().collect())  # at most nine values
     small = fits_broadcast(lookup, max_rows)
     known = lookup.select("country_code").distinct().filter("country_code is not null").withColumn("_known", F.lit(True))
     base = join_dimension(
@@ -99,20 +108,19 @@ def keyword_hits(df: DataFrame, lookup: DataFrame, keys: list[str], text: str =
         *keys, F.when(F.col("_known"), F.col("country_code")).otherwise("").alias("_key"),
         language_side(F.col("language")).alias("_side"), "_lowered")
     match = [*keys, "class", "pos", "kw", "en"]
-    parts = []
-    if any(lengths):
-        runs = F.array_distinct(F.concat(*[_sequences(F.col("_lowered"), n) for n in lengths if n]))
-        found = base.select(*keys, "_key", "_side", F.explode(runs).alias("kw"))
-        parts.append(join_dimension(found, table.filter("_words > 0").drop("pattern"), ["_key", "_side", "kw"],
-                                    "inner", small=small).select(*match))
-    if 0 in lengths:
-        parts.append(join_dimension(base, table.filter("_words = 0"), ["_key", "_side"], "inner", small=small)
-                     .filter(F.col("_lowered").contains(F.col("kw")) & F.rlike("_lowered", F.col("pattern")))
-                     .select(*match))
-    if not parts:
-        return base.select(*keys, F.lit("").alias("class"), F.lit(0).alias("pos"), F.lit("").alias("kw"),
-                           F.lit("").alias("en")).filter(F.lit(False))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    holds = F.col("_lowered").contains(F.col("kw")) & F.rlike("_lowered", F.col("pattern"))
+    if small:
+        seen = base.select(*keys, "_key", "_side", "_lowered", F.explode(word_set(F.col("_lowered"))).alias("first"))
+        whole = seen.filter("first <> ''").join(F.broadcast(table), ["_key", "_side", "first"])
+        return whole.filter((F.col("kw") == F.col("first")) | holds).select(*match).unionByName(
+            base.join(F.broadcast(table.filter("first = ''")), ["_key", "_side"]).filter(holds).select(*match))
+    lengths = sorted(r[0] for r in table.select("_words").distinct().collect())  # at most nine values
+    runs = F.array_distinct(F.concat(F.array(F.lit("")), *[_sequences(F.col("_lowered"), n) for n in lengths if n]))
+    found = base.select(*keys, "_key", "_side", F.explode(runs).alias("kw")).filter("kw <> ''")
+    equal = join_dimension(found, table.filter("_words > 0").drop("pattern", "first"), ["_key", "_side", "kw"],
+                           "inner", small=False)
+    odd = join_dimension(base, table.filter("_words = 0"), ["_key", "_side"], "inner").filter(holds)
+    return equal.select(*match).unionByName(odd.select(*match))
 
 
 def match_by_sequence(df: DataFrame, lookup: DataFrame, keys: list[str], text: str = "text",
@@ -135,26 +143,34 @@ def match_by_sequence(df: DataFrame, lookup: DataFrame, keys: list[str], text: s
     )
 
 
+def load_keywords(keywords: DataFrame, max_inline: int = INLINE_KEYWORDS) -> list | None:
+    """The match table as rows, or None when it has more than ``max_inline``."""
+    rows = keyword_lookup(keywords).limit(max_inline + 1).collect()
+    return rows if len(rows) <= max_inline else None
+
+
 def match_keywords(df: DataFrame, keywords: DataFrame, keys: list[str] | None = None, text: str = "text",
-                   max_inline: int = INLINE_KEYWORDS) -> DataFrame:
-    """Match by the strategy that the size of the keyword table calls for."""
-    lookup = keyword_lookup(keywords)
-    rows = lookup.limit(max_inline + 1).collect()
-    if len(rows) <= max_inline:
+                   max_inline: int = INLINE_KEYWORDS, rows: list | None = None) -> DataFrame:
+    """Match by the strategy that the size of the keyword table calls for.
+
+    ``rows`` are the table's rows where they were loaded before, as between the batches of a stream.
+    """
+    rows = load_keywords(keywords, max_inline) if rows is None else rows
+    if rows is not None:
         return match_inline(df, rows, text)
     if not keys:
         raise ValueError("a keyword table of this size needs the columns that identify a message")
-    return match_by_sequence(df, lookup, keys, text)
+    return match_by_sequence(df, keyword_lookup(keywords), keys, text)
 
 
 def classify(df: DataFrame, keywords: DataFrame, keys: list[str] | None = None, text: str = "text",
-             max_inline: int = INLINE_KEYWORDS) -> DataFrame:
+             max_inline: int = INLINE_KEYWORDS, rows: list | None = None) -> DataFrame:
     """Adds ``language``, ``is_significant``, ``matched_keywords`` and ``method``.
 
     Priority: exclude keywords, significant keywords, trivial keywords, no match. An excluded message
     is kept as trivial. Needs ``country_code`` and a text column.
     """
-    matched = match_keywords(with_language(df, text), keywords, keys, text, max_inline)
+    matched = match_keywords(with_language(df, text), keywords, keys, text, max_inline, rows)
     significant, trivial = F.size("significant_hits") > 0, F.size("trivial_hits") > 0
     return matched.select(
         *df.columns, "language",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.clock import at, seconds
 from tidewire.operators.parse import has_content
-from tidewire.operators.scale import join_dimension
+from tidewire.operators.scale import join_dimension, settle
 
 KEYS = ["channel", "message_id"]
 STATE_TTL = 86_400
@@ -49,7 +49,7 @@ def live(state: DataFrame, now, column: str, ttl: int = STATE_TTL) -> DataFrame:
 def newer_than_tracker(df: DataFrame, last_ids: DataFrame) -> DataFrame:
     """Messages above their channel's last id; channels without one pass whole."""
     marks = last_ids.select("channel", F.col("last_id").alias("_last"))
-    joined = join_dimension(df, marks, ["channel"], "left")
+    joined = join_dimension(df, settle(marks), ["channel"], "left")
     return joined.filter(F.col("_last").isNull() | (F.col("message_id") > F.col("_last"))).drop("_last")
 
 
@@ -98,7 +98,7 @@ def mark_fetch(df: DataFrame, last_ids: DataFrame, ledger: DataFrame, now, limit
     """
     marks = last_ids.filter("last_id is not null").select("channel", F.col("last_id").alias("_last"))
     seen = latest_n(
-        join_dimension(df, marks, ["channel"], "left")
+        join_dimension(df, settle(marks), ["channel"], "left")
         .filter(F.col("_last").isNull() | (F.col("message_id") > F.col("_last"))), limit, cap)
     tracked = F.col("_last").isNotNull()
     cutoff = F.when(tracked, at(now) - seconds(age)).otherwise(at(now) - seconds(interval + AGE_BUFFER))

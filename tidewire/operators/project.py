@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.fixed import EXCLUDED_FIELDS, MESSAGE_FIELDS
 from tidewire.functions.lookups import a1_range
 from tidewire.functions.text import as_text, escape_formula, flatten_newlines
-from tidewire.operators.scale import join_dimension, number_rows
+from tidewire.operators.scale import join_dimension, number_rows, settle
 
 
 def exclude_fields(fields: list[str], excluded: list[str]) -> list[str]:
@@ -58,10 +58,10 @@ def next_row(sheets: DataFrame, keys: list[str] = ["country_code", "sheet"]) ->
 
 
 def assign_rows(df: DataFrame, free: DataFrame, order: list[str], width: int = len(FEED_FIELDS),
-                keys: list[str] = ["country_code", "sheet"]) -> DataFrame:
+                keys: list[str] = ["country_code", "sheet"], stage: bool = False) -> DataFrame:
     """Sheet position and address for a whole batch; a sheet that does not exist yet starts at row 2."""
-    numbered = number_rows(df, keys, order, "_n")
-    placed = join_dimension(numbered, free.select(*keys, "next_row"), keys, "left")
+    numbered = number_rows(df, keys, order, "_n", stage=stage)
+    placed = join_dimension(numbered, settle(free.select(*keys, "next_row")), keys, "left")
     row = F.coalesce("next_row", F.lit(2).cast("bigint")) + F.col("_n") - 1
     return (placed.withColumn("row_index", row)
             .withColumn("address", a1_range(F.col("row_index"), F.lit(width)))

@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.clock import (
-    LOCAL_ZONE, at, date_text, has_log_stamp, is_csv_date, log_timestamp, normalize_sheet_date, to_local)
-from tidewire.operators.scale import join_dimension, number_rows
+    LOCAL_ZONE, at, date_text, is_csv_date, log_stamp, log_timestamp, normalize_sheet_date, to_local)
+from tidewire.operators.scale import join_dimension, number_rows, settle
 from tidewire.sources.sheets import KEYS, read_sheet
 
 FAST_FORWARD_AFTER = 5
@@ -81,15 +81,15 @@ def log_cutoff(now, days: int, zone: str = LOCAL_ZONE) -> Column:
     return F.date_trunc("DAY", to_local(at(now), zone)).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days - 1))
 
 
-def log_continuations(lines: DataFrame, kept: Column) -> DataFrame:
+def log_continuations(lines: DataFrame, kept: Column, stamped: Column) -> DataFrame:
     """Adds ``keep``: a stamped line by ``kept``, any other line when an earlier line of its file stays.
 
     The first kept line is found by one aggregate per file, no file is sorted.
     """
-    marked = lines.withColumns({"_stamped": has_log_stamp(F.col("value")), "_kept": F.coalesce(kept, F.lit(False))})
+    marked = lines.withColumns({"_stamped": stamped, "_kept": F.coalesce(kept, F.lit(False))})
     first = (marked.filter(F.col("_stamped") & F.col("_kept"))
              .groupBy("file").agg(F.min("row").alias("_first")))
-    return join_dimension(marked, first, ["file"], "left").select(
+    return join_dimension(marked, settle(first), ["file"], "left").select(
         *lines.columns,
         F.when(F.col("_stamped"), F.col("_kept"))
         .otherwise(F.coalesce(F.col("row") > F.col("_first"), F.lit(False))).alias("keep"))
@@ -98,13 +98,14 @@ def log_continuations(lines: DataFrame, kept: Column) -> DataFrame:
 def mark_logs(lines: DataFrame, now, days: int, fast_forward: bool = False, zone: str = LOCAL_ZONE) -> DataFrame:
     """Adds ``keep``. Lines whose stamp cannot be read are kept. ``fast_forward`` keeps the rest of a
     file once enough new lines in a row were seen; on files in time order it changes nothing."""
-    stamp = log_timestamp(F.col("value"))
-    marked = log_continuations(lines, stamp.isNull() | (stamp > log_cutoff(now, days, zone)))
-    if not fast_forward:
-        return marked
-    jump = fast_forward_row(lines, now, days, zone=zone)
-    return join_dimension(marked, jump, ["file"], "left").select(
-        *lines.columns, (F.col("keep") | F.coalesce(F.col("row") > F.col("from_row"), F.lit(False))).alias("keep"))
+    read = lines.withColumn("_stamp", log_stamp(F.col("value")))
+    at_ = F.col("_stamp").try_cast("timestamp_ntz")
+    marked = log_continuations(read, at_.isNull() | (at_ > log_cutoff(now, days, zone)), F.col("_stamp").isNotNull())
+    if fast_forward:
+        jump = settle(fast_forward_row(lines, now, days, zone=zone))
+        marked = join_dimension(marked, jump, ["file"], "left").withColumn(
+            "keep", F.col("keep") | F.coalesce(F.col("row") > F.col("from_row"), F.lit(False)))
+    return marked.select(*lines.columns, "keep")
 
 
 def retain_logs(lines: DataFrame, now, days: int, fast_forward: bool = False, zone: str = LOCAL_ZONE) -> DataFrame:
@@ -119,7 +120,7 @@ def interior_blank_rows(sheet: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Blank data rows with data below them. The last data row is found by one aggregate per sheet."""
     marked = sheet.withColumn("_blank", _blank(F.col("cells")))
     last = marked.filter(~F.col("_blank")).groupBy(*keys).agg(F.max("row_index").alias("_last"))
-    return (join_dimension(marked.filter(F.col("_blank") & (F.col("row_index") > 1)), last, keys, "inner")
+    return (join_dimension(marked.filter(F.col("_blank") & (F.col("row_index") > 1)), settle(last), keys, "inner")
             .filter(F.col("row_index") < F.col("_last")).select(*sheet.columns))
 
 
@@ -127,7 +128,7 @@ def compact_sheet(sheet: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Remove interior blank rows and number the rest from 1."""
     marked = sheet.withColumn("_blank", _blank(F.col("cells")) & (F.col("row_index") > 1))
     last = marked.filter(~F.col("_blank")).groupBy(*keys).agg(F.max("row_index").alias("_last"))
-    kept = (join_dimension(marked, last, keys, "left")
+    kept = (join_dimension(marked, settle(last), keys, "left")
             .filter(~F.col("_blank") | F.coalesce(F.col("row_index") > F.col("_last"), F.lit(True)))
             .select(*sheet.columns))
     return (number_rows(kept, keys, ["row_index"], "_new")

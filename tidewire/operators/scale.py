@@ -1,8 +1,12 @@
 """Joins and numbering that hold up when one key owns a large share of the rows."""
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.session import shared_dir
+
 BROADCAST_ROWS = 200_000
 SALTS = 64
 
@@ -12,6 +16,16 @@ def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return dim.limit(max_rows + 1).count() <= max_rows
 
 
+def settle(dim: DataFrame) -> DataFrame:
+    """Compute a derived dimension once, into the shared checkpoint folder.
+
+    Meant for aggregates that are much smaller than their input, before their size is checked and
+    they are joined: otherwise the input would be read for each.
+    """
+    shared_dir(dim.sparkSession, "settle")
+    return dim.checkpoint()
+
+
 def join_dimension(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "left",
                    max_rows: int = BROADCAST_ROWS, small: bool | None = None,
                    salts: int = SALTS) -> DataFrame:
@@ -31,17 +45,23 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "l
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def _boundaries(df: DataFrame, order: list[str], chunks: int, per_chunk: int = 24) -> list[tuple]:
-    """Up to ``chunks - 1`` order keys that cut the rows into similar parts.
+def _boundaries(df: DataFrame, order: list[str], chunks: int, per_chunk: int = 32) -> list[tuple]:
+    """Up to ``chunks - 1`` order keys that cut the rows into similar parts; none for few rows.
 
     Taken from a hash-ordered sample of fixed size. Any cut gives the same numbers, the sample only
-    decides how even the work is.
+    decides how even the work is. Only as many order columns are compared as it takes to part ties.
     """
-    sample = (df.select(*order).dropna()
-              .orderBy(F.xxhash64(*order)).limit(chunks * per_chunk).collect())
-    keys = sorted({tuple(row) for row in sample})
-    step = max(1, len(keys) // chunks)
-    return keys[step::step][:chunks - 1]
+    size = chunks * per_chunk
+    sample = [tuple(r) for r in df.select(*order).dropna().orderBy(F.xxhash64(*order)).limit(size).collect()]
+    if len(sample) < size:
+        return []
+    width = len(order)
+    for n in range(1, len(order)):
+        if max(Counter(row[:n] for row in sample).values()) <= 2 * per_chunk:
+            width = n
+            break
+    keys = sorted(row[:width] for row in sample)
+    return sorted(set(keys[per_chunk::per_chunk]))[:chunks - 1]
 
 
 def _chunk(order: list[str], dtypes: dict[str, str], cuts: list[tuple]) -> Column:
@@ -66,17 +86,21 @@ def _chunk(order: list[str], dtypes: dict[str, str], cuts: list[tuple]) -> Colum
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "row_number",
-                chunks: int = 64) -> DataFrame:
+                chunks: int = 32, stage: bool = False) -> DataFrame:
     """``row_number()`` per key in ascending order, without one task per key.
 
     Rows are cut into ordered parts, numbered inside (key, part), and shifted by the number of the
-    key's rows in earlier parts. The rows are shuffled once, by (key, part).
+    key's rows in earlier parts. The rows are shuffled once, by (key, part), and read twice;
+    ``stage`` checkpoints them in between, for input that is costly to compute.
     """
     cuts = _boundaries(df, order, chunks) if chunks > 1 else []
     if not cuts:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     parts = df.withColumn("_chunk", _chunk(order, dict(df.dtypes), cuts))
+    if stage:
+        shared_dir(df.sparkSession, "stage")
+        parts = parts.checkpoint()
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (parts.groupBy(*keys, "_chunk").count()
                .select(*keys, "_chunk", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before")))

@@ -28,12 +28,13 @@ def write_archive(df: DataFrame, path: str, fmt: str = "csv", mode: str = "appen
 
 
 def feed_rows(df: DataFrame, countries: DataFrame, free: DataFrame, order: list[str],
-              fields: list[str] = FEED_FIELDS) -> DataFrame:
-    """Sheet rows ``(country_code, sheet, row_index, address, cells)`` of the countries that have a feed."""
+              fields: list[str] = FEED_FIELDS, stage: bool = True) -> DataFrame:
+    """Sheet rows ``(country_code, feed_path, sheet, row_index, address, cells)`` of the countries that
+    have a feed. ``stage=False`` is for messages read from a table, which are cheap to read again."""
     targeted = sink_lookup(df, countries).filter(F.col("feed_path").isNotNull())
     cells = targeted.withColumn("cells", feed_cells(targeted, fields))
     narrow = cells.select("country_code", "feed_path", "sheet", *order, "cells")
-    return assign_rows(narrow, free, order, width=len(fields)).drop(
+    return assign_rows(narrow, free, order, width=len(fields), stage=stage).drop(
         *[o for o in order if o not in ("country_code", "sheet")])
 
 

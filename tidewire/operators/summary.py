@@ -15,19 +15,13 @@ def success_rate(total: Column, errors: Column) -> Column:
 
 def daily_summary(df: DataFrame, ts: str = "date", significant: str = "is_significant",
                   error: str = "is_error") -> DataFrame:
-    """Totals per calendar day. ``df`` may be a stream with a watermark, without the channel count."""
-    day = F.window(F.col(ts).cast("timestamp"), "1 day") if df.isStreaming else F.to_date(ts)
-    channels = F.approx_count_distinct("channel") if df.isStreaming else F.count_distinct("channel")
-    totals = df.groupBy(day.alias("_day")).agg(
+    """Totals per calendar day. Channels are counted per day after their repeats are merged map-side."""
+    return df.groupBy(date_text(F.col(ts)).alias("day")).agg(
         F.count("*").alias("total_messages"),
         F.count_if(F.col(significant)).alias("significant_messages"),
-        channels.alias("channels_monitored"),
-        F.count_if(F.col(error)).alias("errors_encountered"))
-    start = F.col("_day.start") if df.isStreaming else F.col("_day")
-    return totals.select(
-        date_text(start).alias("day"), "total_messages", "significant_messages", "channels_monitored",
-        "errors_encountered",
-        success_rate(F.col("total_messages"), F.col("errors_encountered")).alias("success_rate"))
+        F.count_distinct("channel").alias("channels_monitored"),
+        F.count_if(F.col(error)).alias("errors_encountered"),
+    ).withColumn("success_rate", success_rate(F.col("total_messages"), F.col("errors_encountered")))
 
 
 def every_nth(df: DataFrame, n: int, order: list[str], keys: list[str] = ["source"],

@@ -63,12 +63,18 @@ CONFIG = {
 }
 
 
+# For the feed: purchases are significant, sign-ups trivial, and clicks, which name a shop, excluded.
+FEED_CONFIG = {"COUNTRIES": {code: {**country, "message_filtering": {
+    "significant_keywords": [["purchase", "شراء"]], "trivial_keywords": ["signup"], "exclude_keywords": ["shop"]}}
+    for code, country in CONFIG["COUNTRIES"].items()}}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def configs(spark: SparkSession) -> DataFrame:
-    return cfg.parse_config(spark.createDataFrame([(json.dumps(CONFIG),)], "value string"))
+def configs(spark: SparkSession, config: dict = CONFIG) -> DataFrame:
+    return cfg.parse_config(spark.createDataFrame([(json.dumps(config),)], "value string"))
 
 
 def keywords(spark: SparkSession) -> DataFrame:
@@ -179,12 +185,16 @@ classified AS (
 
 
 def feed(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as raw messages, with every kind of media, sender and forward."""
+    return feed_of(table(spark, sf, "events"))
+
+
+def feed_of(events: DataFrame) -> DataFrame:
+    """Events as raw messages, with every kind of media, sender and forward. Also for streams."""
     kind, user = F.col("event_type"), F.col("user_id")
     peer = lambda uid, cid, raw: F.struct(uid.alias("user_id"), cid.alias("channel_id"), raw.alias("raw"))
     no_long, no_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
     site = F.concat(F.lit("https://site"), user.cast("string"), F.lit(".example.com/"), kind)
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("event_id").alias("message_id"),
         F.concat(F.lit("@user"), user.cast("string")).alias("channel"),
         F.col("ts").alias("date"),

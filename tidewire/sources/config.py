@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewire import schemas
 from tidewire.functions.fixed import DEFAULT_KEYWORDS
-from tidewire.functions.keywords import word_pattern
+from tidewire.functions.keywords import first_word, word_pattern
 from tidewire.functions.text import nullify
 
 CLASSES = ("significant", "trivial", "exclude")
@@ -105,7 +105,7 @@ def with_default_keywords(keywords: DataFrame, countries: DataFrame) -> DataFram
 
 
 def keyword_lookup(keywords: DataFrame) -> DataFrame:
-    """Match table: ``(country_code, class, pos, language, kw, pattern, en)``.
+    """Match table: ``(country_code, class, pos, language, kw, pattern, en, native, first)``.
 
     English text uses the first element of a pair, any other text the second; a plain string serves
     both. ``en`` is the English form of the first entry of the list that holds the matched keyword.
@@ -124,7 +124,7 @@ def keyword_lookup(keywords: DataFrame) -> DataFrame:
         .join(forms.alias("f"), F.col("e.country_code").eqNullSafe(F.col("f.country_code"))
               & (F.col("e.class") == F.col("f.class")) & (F.col("e.native") == F.col("f.native")))
         .select("e.country_code", "e.class", "e.pos", "e.language", key.alias("kw"),
-                word_pattern(key).alias("pattern"), "f.en", "e.native")
+                word_pattern(key).alias("pattern"), "f.en", "e.native", first_word(key).alias("first"))
     )
 
 

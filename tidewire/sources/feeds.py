@@ -49,8 +49,8 @@ def read_archive(spark: SparkSession, root: str, fmt: str = "csv") -> DataFrame:
     try:
         reader = spark.read.schema(ARCHIVE).option("basePath", root)
         if fmt == "csv":
-            reader = reader.option("header", True).option("multiLine", False).option("escape", '"')
-        return reader.format(fmt).load(root)
+            reader = reader.option("header", True).option("escape", '"')
+        return reader.format(fmt).load(root).fillna("")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.clock import has_log_stamp, log_timestamp
-from tidewire.operators.scale import join_dimension
+from tidewire.functions.clock import log_stamp
+from tidewire.operators.scale import join_dimension, settle
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -19,14 +19,14 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (lines.groupBy("file", "block").agg(F.min("line").alias("first"), F.count("*").alias("n"))
               .select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")))
-    return (join_dimension(lines, blocks, ["file", "block"], "inner")
+    return (join_dimension(lines, settle(blocks), ["file", "block"], "inner")
             .select("file", (F.col("before") + F.col("line") - F.col("first") + 1).alias("row"), "value"))
 
 
 def parse_logs(lines: DataFrame) -> DataFrame:
     """Add the service name (the file's base name), the time stamp and whether a line looks stamped."""
-    return lines.withColumns({
-        "service": F.regexp_extract("file", r"([^/]+?)(?:\.log)?$", 1),
-        "stamped": has_log_stamp(F.col("value")),
-        "logged_at": log_timestamp(F.col("value")),
-    })
+    return (lines.withColumn("_stamp", log_stamp(F.col("value")))
+            .select(*lines.columns,
+                    F.regexp_extract("file", r"([^/]+?)(?:\.log)?$", 1).alias("service"),
+                    F.col("_stamp").isNotNull().alias("stamped"),
+                    F.col("_stamp").try_cast("timestamp_ntz").alias("logged_at")))

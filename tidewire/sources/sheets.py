@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import strip
-from tidewire.operators.scale import join_dimension
+from tidewire.operators.scale import join_dimension, settle
 
 KEYS = ["country_code", "sheet"]
 
@@ -18,6 +18,6 @@ def read_sheet(sheet: DataFrame) -> DataFrame:
     """Data rows with the raw cell of the ``Date`` column; a sheet without one yields a null cell."""
     header = (sheet.filter("row_index = 1")
               .select(*KEYS, date_position(F.col("cells")).cast("int").alias("date_position")))
-    rows = join_dimension(sheet.filter("row_index > 1"), header, KEYS, "left")
+    rows = join_dimension(sheet.filter("row_index > 1"), settle(header), KEYS, "left")
     return rows.withColumn(
         "date_cell", F.when(F.col("date_position") > 0, F.try_element_at("cells", F.col("date_position"))))

@@ -1,17 +1,18 @@
 """The message pipeline on a stream: ingest, classify, translate, fan out."""
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewire import schemas
 from tidewire.operators import ingest
-from tidewire.operators.classify import classify, label
+from tidewire.operators.classify import classify, label, load_keywords
 from tidewire.operators.parse import parse_messages, processing_aliases, split_empty_text
 from tidewire.operators.project import next_row
 from tidewire.operators.providers import additional_criteria, ai_classify, translate
@@ -45,12 +46,20 @@ class Settings:
     clock: Callable[[], datetime] = utc_now
     archive_format: str = "parquet"
     handler: Callable[[DataFrame, int], None] | None = None
+    keyword_rows: list | None = field(default=None, repr=False)
+
+    def __post_init__(self) -> None:
+        """Read the dimensions once, not in every batch."""
+        self.channels, self.countries = self.channels.persist(), self.countries.persist()
+        if self.keyword_rows is None:
+            self.keyword_rows = load_keywords(self.keywords)
 
 
 def enrich(parsed: DataFrame, s: Settings, now) -> DataFrame:
     """Classification, model checks, translation and labels of parsed messages with text."""
     named = processing_aliases(route_country(parsed, s.channels))
-    done = classify(named, s.keywords, keys=["Channel", "Message_ID", "country_code"])
+    done = classify(named, s.keywords, keys=["Channel", "Message_ID", "country_code"],
+                    rows=s.keyword_rows)
     if s.model is not None:
         done = additional_criteria(done, s.countries, s.model)
         done = ai_classify(done, s.countries, s.keywords, s.model)
@@ -64,6 +73,22 @@ def process_batch(batch: DataFrame, batch_id: int, s: Settings) -> None:
     is repeated, and the ledger and the tracker move only when all sinks have it.
     """
     spark, now = batch.sparkSession, s.clock()
+    # Streams switch adaptive execution off. The joins and writes of a batch keep no state and need it.
+    with adaptive(spark):
+        _process(spark, batch, batch_id, s, now)
+
+
+@contextmanager
+def adaptive(spark: SparkSession):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def _process(spark: SparkSession, batch: DataFrame, batch_id: int, s: Settings, now: datetime) -> None:
     tracker = store.read_state(spark, f"{s.root}/tracker", batch_id, schemas.TRACKER)
     ledger = store.read_ledger(spark, f"{s.root}/ledger", batch_id, now)
     listed = s.channels.join(batch.select("channel").distinct(), "channel", "left_semi")
@@ -84,7 +109,7 @@ def process_batch(batch: DataFrame, batch_id: int, s: Settings) -> None:
     here = f"batch_id={batch_id}"
 
     def write_feed() -> None:
-        rows = feed_rows(records, s.countries, free, ["Date", "Time", "Channel", "Message_ID"])
+        rows = feed_rows(records, s.countries, free, ["Date", "Time", "Channel", "Message_ID"], stage=False)
         rows.write.mode("overwrite").parquet(f"{s.root}/feed/{here}")
         used = next_row(spark.read.parquet(f"{s.root}/feed/{here}"))
         merged = free.unionByName(used).groupBy("country_code", "sheet").agg(F.max("next_row").alias("next_row"))
