@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LOCAL_ZONE = "Asia/Manila"
+# Last dates that have four-digit years.
+LAST_MILLIS, LAST_SERIAL = 253_402_300_800_000, 2_958_465
 
 
 def at(moment: datetime | str | Column) -> Column:
@@ -48,13 +50,13 @@ def normalize_sheet_date(cell: Column, zone: str = LOCAL_ZONE) -> Column:
     from_millis = date_text(to_local(
         F.timestamp_add("MILLISECOND", millis, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), zone))
     digits = F.replace(cell, F.lit("."), F.lit(""))
-    serial = F.floor(cell.try_cast("double")).cast("int")
+    serial = F.floor(cell.try_cast("double")).try_cast("int")
     from_serial = date_text(F.date_add(F.lit("1899-12-30").cast("date"), serial))
     head = F.substring(cell, 1, 10)
     from_iso = F.when(head.rlike(r"\A\d{4}-\d{2}-\d{2}\z") & head.try_cast("date").isNotNull(), head)
     return (
-        F.when(cell.startswith("Date("), F.when(millis.isNotNull(), from_millis))
-        .when(digits.rlike(r"\A[0-9]+\z"), F.when(serial.between(0, 2958465), from_serial))
+        F.when(cell.startswith("Date("), F.when(millis < LAST_MILLIS, from_millis))
+        .when(digits.rlike(r"\A[0-9]+\z"), F.when(serial.between(0, LAST_SERIAL), from_serial))
         .otherwise(from_iso)
     )
 

@@ -91,11 +91,10 @@ def adaptive(spark: SparkSession):
 def _process(spark: SparkSession, batch: DataFrame, batch_id: int, s: Settings, now: datetime) -> None:
     tracker = store.read_state(spark, f"{s.root}/tracker", batch_id, schemas.TRACKER)
     ledger = store.read_ledger(spark, f"{s.root}/ledger", batch_id, now)
-    listed = s.channels.join(batch.select("channel").distinct(), "channel", "left_semi")
     archive = read_archive(spark, f"{s.root}/archive", s.archive_format)
     if "batch_id" in archive.columns:
         archive = archive.filter(F.col("batch_id") < batch_id)
-    last_ids = ingest.resolve_last_id(listed, tracker, archive, now)
+    last_ids = ingest.resolve_last_id(s.channels, tracker, archive, now)
     marked = ingest.mark_fetch(ingest.first_per_key(batch), last_ids, ledger, now, s.limit, s.cap, s.interval)
     marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
     taken = ingest.accepted(marked)
