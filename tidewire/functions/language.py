@@ -26,7 +26,8 @@ def has_latin(text: Column) -> Column:
 def arabic_char_ratio(text: Column) -> Column:
     """Arabic letters per character, spaces and line feeds not counted; 0 for empty text."""
     solid = F.length(F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")))
-    return F.when(solid > 0, F.regexp_count(text, F.lit(_ARABIC)) / solid).otherwise(F.lit(0.0))
+    others = F.length(F.regexp_replace(text, f"{_ARABIC}+", ""))
+    return F.when(solid > 0, (F.length(text) - others) / solid).otherwise(F.lit(0.0))
 
 
 def count_english(tokens: Column) -> Column:
@@ -36,7 +37,8 @@ def count_english(tokens: Column) -> Column:
 
 def count_arabic(tokens: Column) -> Column:
     """Words that equal a listed Arabic word."""
-    return F.size(F.filter(tokens, lambda w: w.isin(*dict.fromkeys(ARABIC_WORDS))))
+    known = F.split(F.lit(" ".join(dict.fromkeys(ARABIC_WORDS))), " ")
+    return F.size(F.filter(tokens, lambda w: F.array_contains(known, w)))
 
 
 def english_word_ratio(text: Column) -> Column:
@@ -48,23 +50,25 @@ def arabic_word_ratio(text: Column) -> Column:
 
 
 def _mixed_script(text: Column) -> Column:
-    def by_words(stats: Column) -> Column:
-        n, arabic, english, ratio = stats["n"], stats["arabic"], stats["english"], stats["ratio"]
+    """Letters decide first; words are split and counted only for what is left."""
+    def by_counts(c: Column) -> Column:
         return (
-            F.when((n < 2) | (ratio > 0.3), "arabic")
-            .when((ratio > 0.15) & (arabic > 0), "arabic")
-            .when(english / n > 0.2, "english")
-            .when((arabic > 0) & (arabic >= english), "arabic")
-            .when(english > arabic, "english")
+            F.when(c["english"] / c["n"] > 0.2, "english")
+            .when((c["arabic"] > 0) & (c["arabic"] >= c["english"]), "arabic")
+            .when(c["english"] > c["arabic"], "english")
             .otherwise("arabic")
         )
 
-    return let(
-        let(words(text), lambda w: F.struct(
-            F.size(w).alias("n"), count_arabic(w).alias("arabic"), count_english(w).alias("english"),
-            arabic_char_ratio(text).alias("ratio"))),
-        by_words,
-    )
+    def by_words(ratio: Column, w: Column) -> Column:
+        counts = F.struct(F.size(w).alias("n"), count_arabic(w).alias("arabic"), count_english(w).alias("english"))
+        return (
+            F.when(F.size(w) < 2, "arabic")
+            .when((ratio > 0.15) & (count_arabic(w) > 0), "arabic")
+            .otherwise(let(counts, by_counts))
+        )
+
+    return let(arabic_char_ratio(text), lambda ratio: F.when(ratio > 0.3, "arabic").otherwise(
+        let(words(text), lambda w: by_words(ratio, w))))
 
 
 def detect_language(text: Column) -> Column:

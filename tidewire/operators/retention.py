@@ -87,8 +87,8 @@ def log_continuations(lines: DataFrame, kept: Column, stamped: Column) -> DataFr
     The first kept line is found by one aggregate per file, no file is sorted.
     """
     marked = lines.withColumns({"_stamped": stamped, "_kept": F.coalesce(kept, F.lit(False))})
-    first = (marked.filter(F.col("_stamped") & F.col("_kept"))
-             .groupBy("file").agg(F.min("row").alias("_first")))
+    # Not a filter: it would be pushed below the stamp column and read every stamp again per use.
+    first = marked.groupBy("file").agg(F.min(F.when(F.col("_stamped") & F.col("_kept"), F.col("row"))).alias("_first"))
     return join_dimension(marked, settle(first), ["file"], "left").select(
         *lines.columns,
         F.when(F.col("_stamped"), F.col("_kept"))

@@ -90,26 +90,37 @@ MARKERS = {
 
 
 def log_health(lines: DataFrame, markers: dict[str, str] = MARKERS) -> DataFrame:
-    """Counts per service from parsed log lines, with the last success and the sheet it wrote to."""
-    value, low = F.col("value"), F.lower("value")
-    ok = value.contains(markers["success"])
-    alert = value.contains(markers["crash_alert"])
+    """Counts per service from parsed log lines, with the last success and the sheet it wrote to.
+
+    Lines are counted per file first, so that files with errors need no distinct count.
+    """
+    value, low = F.col("value"), F.col("_low")
     task = value.contains(markers["task"])
-    return lines.groupBy("service").agg(
-        F.count("*").alias("lines"),
-        F.count_if(ok).alias("successes"),
-        F.max(F.when(ok, F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss"))).alias("last_success"),
-        F.max_by(F.when(ok, F.regexp_extract("value", r"worksheet=([^,]*)", 1)),
-                 F.when(ok, F.struct("logged_at", "file", "row"))).alias("last_worksheet"),
-        F.count_if(low.rlike("error|failed|exception")).alias("errors"),
-        F.count_if(low.contains("timeout")).alias("timeouts"),
-        F.count_if(low.rlike("auth|401|403")).alias("auth_failures"),
-        F.count_if(alert).alias("crash_alerts"),
-        F.count_if(value.contains(markers["admin_message"])).alias("admin_messages"),
-        F.count_if(task & value.contains("succeeded")).alias("tasks_succeeded"),
-        F.count_if(task & value.contains("failed")).alias("tasks_failed"),
-        F.count_distinct(F.when(value.rlike("ERROR|CRITICAL|Exception"), F.col("file"))).alias("files_with_errors"),
-    )
+    flags = {
+        "successes": value.contains(markers["success"]),
+        "errors": low.contains("error") | low.contains("failed") | low.contains("exception"),
+        "timeouts": low.contains("timeout"),
+        "auth_failures": low.contains("auth") | low.contains("401") | low.contains("403"),
+        "crash_alerts": value.contains(markers["crash_alert"]),
+        "admin_messages": value.contains(markers["admin_message"]),
+        "tasks_succeeded": task & value.contains("succeeded"),
+        "tasks_failed": task & value.contains("failed"),
+    }
+    grave = value.contains("ERROR") | value.contains("CRITICAL") | value.contains("Exception")
+    marked = lines.withColumn("_low", F.lower("value")).select(
+        "service", "file", *[test.alias(name) for name, test in flags.items()], grave.alias("_grave"),
+        F.when(flags["successes"], F.struct(
+            "logged_at", "row", F.regexp_extract("value", r"worksheet=([^,]*)", 1).alias("sheet"))).alias("_ok"))
+    files = marked.groupBy("service", "file").agg(
+        F.count("*").alias("lines"), *[F.count_if(name).alias(name) for name in flags],
+        F.bool_or("_grave").alias("_grave"), F.max("_ok").alias("_ok"))
+    return files.groupBy("service").agg(
+        F.sum("lines").alias("lines"), *[F.sum(name).alias(name) for name in flags],
+        F.count_if("_grave").alias("files_with_errors"), F.max("_ok").alias("_ok"),
+    ).select(
+        "service", "lines", *flags, "files_with_errors",
+        F.date_format("_ok.logged_at", "yyyy-MM-dd HH:mm:ss").alias("last_success"),
+        F.col("_ok.sheet").alias("last_worksheet"))
 
 
 def last_n_events(lines: DataFrame, n: int, pattern: str) -> DataFrame:
