@@ -97,3 +97,23 @@ def test_state_versions(frame, spark, tmp_path):
     assert sorted(r["message_id"] for r in store.read_ledger(spark, led, 9, NOW).collect()) == [1, 2]
     assert [r["message_id"] for r in store.read_ledger(spark, led, 2, NOW).collect()] == [1]
     assert store.drop_expired_hours(spark, led, NOW) == 1 and spark.read.parquet(led).count() == 2
+
+
+def test_batch_with_model_and_service(frame, spark, setup):
+    class Model:
+        def complete(self, prompt):
+            return "Significant: flood" if "water" in prompt.split("Message: ")[-1] else "Trivial"
+
+    class Service:
+        def translate(self, text, source):
+            return "water everywhere", "ar"
+
+    base = setup()
+    countries = base.countries.withColumn("use_ai_for_message_filtering", base.countries["has_filtering"])
+    s = setup(countries=countries, model=Model, service=Service)
+    batch = frame([raw(1, "deep water"), raw(2, "calm"), raw(3, "ماء في كل مكان")], schemas.RAW_MESSAGE)
+    pipeline.process_batch(batch, 0, s)
+    got = {r["Message_ID"]: (r["category"], r["Message_Text"], r["Original_Language"], r["Was_Translated"], r["Keywords_Matched"])
+           for r in spark.read.parquet(f"{s.root}/archive").collect()}
+    assert got == {"1": ("significant", "deep water", "English", "False", "flood"), "2": ("trivial", "calm", "English", "False", ""),
+                   "3": ("trivial", "water everywhere", "Ar", "True", "")}

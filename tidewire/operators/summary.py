@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.clock import at, date_text
-from tidewire.functions.lookups import delivery_outcome, retry_delay
+from tidewire.functions.fixed import RESOURCE_THRESHOLDS
+from tidewire.functions.lookups import delivery_outcome, resource_excess, retry_delay
 from tidewire.operators.scale import join_dimension, number_rows
 
 
@@ -24,10 +25,11 @@ def daily_summary(df: DataFrame, ts: str = "date", significant: str = "is_signif
     ).withColumn("success_rate", success_rate(F.col("total_messages"), F.col("errors_encountered")))
 
 
-def every_nth(df: DataFrame, n: int, order: list[str], keys: list[str] = ["source"],
+def every_nth(df: DataFrame, n: int | dict[str, int], order: list[str], keys: list[str] = ["source"],
               earlier: DataFrame | None = None) -> DataFrame:
     """The n-th, 2n-th, ... error of each source, with its number.
 
+    ``n`` may differ by source, as in ``NOTIFY_EVERY``; sources without an entry are never notified.
     ``earlier`` holds counts from before this batch as ``(source, errors)``.
     """
     numbered = number_rows(df, keys, order, "error_number")
@@ -35,7 +37,16 @@ def every_nth(df: DataFrame, n: int, order: list[str], keys: list[str] = ["sourc
         past = earlier.select(*keys, F.col("errors").alias("_past"))
         numbered = join_dimension(numbered, past, keys, "left").withColumn(
             "error_number", F.col("error_number") + F.coalesce("_past", F.lit(0))).drop("_past")
-    return numbered.filter(F.col("error_number") % n == 0)
+    step = F.lit(n) if isinstance(n, int) else F.try_element_at(
+        F.create_map(*[F.lit(x) for pair in n.items() for x in pair]), F.col(keys[0]))
+    return numbered.filter(F.col("error_number") % step == 0)
+
+
+def resource_warnings(metrics: DataFrame, thresholds: dict[str, float] = RESOURCE_THRESHOLDS) -> DataFrame:
+    """Readings ``(resource, value)`` above their warning level, with the level and the excess in percent."""
+    level = F.try_element_at(F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair]), F.col("resource"))
+    return (metrics.withColumn("threshold", level).filter(F.col("value") > F.col("threshold"))
+            .withColumn("excess", resource_excess(F.col("value"), F.col("threshold"))))
 
 
 def run_log(marked: DataFrame, now, channels_checked: int | None = None) -> DataFrame:

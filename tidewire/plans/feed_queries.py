@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from tidewire.functions.fixed import NOTIFY_EVERY
 from tidewire.operators import ingest, parse, routing
 from tidewire.operators.summary import daily_summary as summarize
 from tidewire.operators.summary import every_nth, run_log
+from tidewire.operators.summary import resource_warnings as warn
 from tidewire.plans import bindings as b
 from tidewire.plans.registry import query
 from tidewire.sources import feeds
@@ -242,3 +244,32 @@ def every_tenth_error(spark, sf):
     """Every tenth event of a type; a type may hold most of the rows."""
     e = b.table(spark, sf, "events").select(F.col("event_type").alias("source"), "event_id", "ts")
     return every_nth(e, 10, ["ts", "event_id"]).select("source", "event_id", "error_number")
+
+
+@query("""SELECT source, event_id, error_number FROM (SELECT CASE event_type WHEN 'error' THEN 'fetch' WHEN 'click' THEN 'sheet' WHEN 'view' THEN 'files' ELSE 'other' END AS source, event_id,
+ row_number() OVER (PARTITION BY source ORDER BY ts, event_id) AS error_number FROM events)
+WHERE error_number % CASE source WHEN 'fetch' THEN 10 WHEN 'sheet' THEN 3 WHEN 'files' THEN 5 END = 0""")
+def notified_errors(spark, sf):
+    """The errors each source reports at its own rate; other sources report none."""
+    kind = F.col("event_type")
+    e = b.table(spark, sf, "events").select(
+        F.when(kind == "error", "fetch").when(kind == "click", "sheet").when(kind == "view", "files")
+        .otherwise("other").alias("source"), "event_id", "ts")
+    return every_nth(e, NOTIFY_EVERY, ["ts", "event_id"]).select("source", "event_id", "error_number")
+
+
+@query("""SELECT event_id, resource, value, threshold, round((value - threshold) / threshold * 100, 6) AS excess FROM (
+ SELECT event_id, value, CASE event_type WHEN 'click' THEN 'memory' WHEN 'view' THEN 'swap' WHEN 'error' THEN 'disk' ELSE 'cpu' END AS resource,
+  CASE event_type WHEN 'click' THEN 80.0::DOUBLE WHEN 'view' THEN 50.0::DOUBLE WHEN 'error' THEN 80.0::DOUBLE END AS threshold FROM events) WHERE value > threshold""")
+def resource_warnings(spark, sf):
+    kind = F.col("event_type")
+    readings = b.table(spark, sf, "events").select("event_id", "value", F.when(kind == "click", "memory").when(
+        kind == "view", "swap").when(kind == "error", "disk").otherwise("cpu").alias("resource"))
+    return warn(readings).withColumn("excess", F.round("excess", 6))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN 'Channel_' || user_id ELSE '@user' || user_id END AS channel FROM events""")
+def channel_or_id(spark, sf):
+    e = b.table(spark, sf, "events")
+    named = F.when(F.col("event_type") != "view", F.concat(F.lit("@user"), F.col("user_id").cast("string")))
+    return e.select("event_id", feeds.channel_or_id(named, F.col("user_id")).alias("channel"))
