@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import fixed
@@ -10,7 +10,7 @@ from tidewire.functions.clock import at, stamp_text, to_local
 from tidewire.functions.keywords import WORD, any_match, matching, word_set
 from tidewire.functions.language import detect_language
 from tidewire.functions.text import join_keywords
-from tidewire.operators.scale import BROADCAST_ROWS, fits_broadcast, join_dimension
+from tidewire.operators.scale import BROADCAST_ROWS, fits_broadcast, join_dimension, settle
 from tidewire.sources.config import CLASSES, keyword_lookup
 
 # Keyword tables up to this many rows are held as lists per country; larger ones are joined by word sequence.
@@ -94,6 +94,7 @@ def keyword_hits(df: DataFrame, lookup: DataFrame, keys: list[str], text: str =
     spot. For a larger table the texts would have to be shuffled, so whole word sequences of the
     lengths in use are joined instead, salted. Keywords that are not plain words keep the pattern test.
     """
+    lookup = settle(lookup)
     table = lookup.select(
         F.coalesce("country_code", F.lit("")).alias("_key"), F.col("language").alias("_side"),
         "class", "pos", "kw", "pattern", "en", "first",
@@ -217,11 +218,10 @@ def method_distribution(df: DataFrame) -> DataFrame:
     """Messages per method, and the share of messages that keywords alone decided."""
     by_keywords = F.col("method").isin(fixed.METHOD_EXCLUDED, fixed.METHOD_SIGNIFICANT, fixed.METHOD_TRIVIAL)
     counts = df.groupBy("method").agg(F.count("*").alias("messages"))
-    total = counts.agg(F.sum("messages").alias("_total"),
-                       F.sum(F.when(by_keywords, F.col("messages")).otherwise(0)).alias("_decided"))
-    return counts.crossJoin(F.broadcast(total)).select(
-        "method", "messages", F.round(F.col("messages") / F.col("_total"), 6).alias("share"),
-        F.round(F.col("_decided") / F.col("_total"), 6).alias("keyword_share"))
+    run = Window.partitionBy()  # over the handful of methods, not over messages
+    total, decided = F.sum("messages").over(run), F.sum(F.when(by_keywords, F.col("messages")).otherwise(0)).over(run)
+    return counts.select("method", "messages", F.round(F.col("messages") / total, 6).alias("share"),
+                         F.round(decided / total, 6).alias("keyword_share"))
 
 
 def top_keywords(df: DataFrame, k: int = 10) -> DataFrame:
@@ -239,12 +239,16 @@ def classifier_eval(df: DataFrame, expected: DataFrame, keys: list[str]) -> Data
     cells = (df.join(expected, keys).groupBy("expected", F.col("is_significant").alias("actual"))
              .agg(F.count("*").alias("messages")))
     hit = F.col("expected") & F.col("actual")
+    run = Window.partitionBy()  # over the four cells
 
-    def ratio(top, bottom):
-        return F.round(F.sum(F.when(top, F.col("messages")).otherwise(0))
-                       / F.nullif(F.sum(F.when(bottom, F.col("messages")).otherwise(0)), F.lit(0)), 6)
+    def ratio(top: Column, bottom: Column) -> Column:
+        def count(test: Column) -> Column:
+            return F.sum(F.when(test, F.col("messages")).otherwise(0)).over(run)
 
-    rates = cells.agg(
-        ratio(F.col("expected") == F.col("actual"), F.lit(True)).alias("success_rate"),
+        return F.round(count(top) / F.nullif(count(bottom), F.lit(0)), 6)
+
+    right = F.col("expected") == F.col("actual")
+    return cells.select(
+        "expected", "actual", "messages", right.alias("passed"),
+        ratio(right, F.lit(True)).alias("success_rate"),
         ratio(hit, F.col("actual")).alias("precision"), ratio(hit, F.col("expected")).alias("recall"))
-    return cells.withColumn("passed", F.col("expected") == F.col("actual")).crossJoin(F.broadcast(rates))

@@ -31,15 +31,14 @@ FROM totals LEFT JOIN tops USING (channel, category)""")
 def channel_significance(spark, sf):
     """Significant and trivial messages per channel with their three most frequent keywords."""
     done = cl.label(classified(spark, sf).transform(drop_empty_text), NOW)
-    totals = done.groupBy("channel", "AI_Category").agg(F.count("*").alias("messages"))
-    counted = (done.select("channel", "AI_Category", F.explode("matched_keywords").alias("keyword"))
-               .groupBy("channel", "AI_Category", "keyword").agg(F.count("*").alias("n")))
-    tops = (counted.groupBy("channel", "AI_Category")
-            .agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "keyword"))).alias("ranked")))
-    names = F.transform(F.slice("ranked", 1, 3), lambda x: x["keyword"])
-    return (totals.join(tops, ["channel", "AI_Category"], "left")
-            .select("channel", "AI_Category", "messages",
-                    F.coalesce(F.array_join(names, ", "), F.lit("")).alias("top_keywords")))
+    # One row per message (without keyword) and one per match, counted together in one pass.
+    counted = (done.select("channel", "AI_Category", F.explode(
+        F.concat(F.array(F.lit(None).cast("string")), "matched_keywords")).alias("keyword"))
+        .groupBy("channel", "AI_Category", "keyword").agg(F.count("*").alias("n")))
+    ranked = F.array_sort(F.collect_list(F.when(F.col("keyword").isNotNull(), F.struct((-F.col("n")).alias("n"), "keyword"))))
+    return counted.groupBy("channel", "AI_Category").agg(
+        F.sum(F.when(F.col("keyword").isNull(), F.col("n"))).alias("messages"),
+        F.array_join(F.transform(F.slice(ranked, 1, 3), lambda x: x["keyword"]), ", ").alias("top_keywords"))
 
 
 @query(f"WITH {b.LANGUAGE} SELECT message_id, language FROM lang")

@@ -22,6 +22,7 @@ from tidewire.sources.feeds import read_archive
 from tidewire.streaming import store
 
 FEED_STATE = "country_code string, sheet string, next_row bigint"
+ARCHIVE_STATE = "Channel string, country_code string, Message_ID bigint"
 ERROR_STATE = "source string, errors bigint"
 
 
@@ -55,6 +56,13 @@ class Settings:
             self.keyword_rows = load_keywords(self.keywords)
 
 
+def max_archived(archive: DataFrame) -> DataFrame:
+    """Highest archived id per channel and country. Kept as state, so that only the first batch reads
+    the archive itself."""
+    return archive.groupBy("Channel", "country_code").agg(
+        F.max(F.col("Message_ID").try_cast("bigint")).alias("Message_ID"))
+
+
 def enrich(parsed: DataFrame, s: Settings, now) -> DataFrame:
     """Classification, model checks, translation and labels of parsed messages with text."""
     named = processing_aliases(route_country(parsed, s.channels))
@@ -91,10 +99,13 @@ def adaptive(spark: SparkSession):
 def _process(spark: SparkSession, batch: DataFrame, batch_id: int, s: Settings, now: datetime) -> None:
     tracker = store.read_state(spark, f"{s.root}/tracker", batch_id, schemas.TRACKER)
     ledger = store.read_ledger(spark, f"{s.root}/ledger", batch_id, now)
-    archive = read_archive(spark, f"{s.root}/archive", s.archive_format)
-    if "batch_id" in archive.columns:
-        archive = archive.filter(F.col("batch_id") < batch_id)
-    last_ids = ingest.resolve_last_id(s.channels, tracker, archive, now)
+    archived = store.read_state(spark, f"{s.root}/archive_ids", batch_id, ARCHIVE_STATE)
+    if not store.versions(spark, f"{s.root}/archive_ids"):
+        archive = read_archive(spark, f"{s.root}/archive", s.archive_format)
+        if "batch_id" in archive.columns:
+            archive = archive.filter(F.col("batch_id") < batch_id)  # not what a failed run of this batch left
+        archived = max_archived(archive)
+    last_ids = ingest.resolve_last_id(s.channels, tracker, archived, now)
     marked = ingest.mark_fetch(ingest.first_per_key(batch), last_ids, ledger, now, s.limit, s.cap, s.interval)
     marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
     taken = ingest.accepted(marked)
@@ -131,6 +142,8 @@ def _process(spark: SparkSession, batch: DataFrame, batch_id: int, s: Settings,
             except Exception as error:
                 failures[name] = error
         if not failures:
+            store.write_state(max_archived(archived.unionByName(max_archived(records))),
+                              f"{s.root}/archive_ids", batch_id)
             store.write_state(ingest.next_tracker(taken, tracker, now), f"{s.root}/tracker", batch_id)
             store.write_ledger(ingest.ledger_entries(taken, now), f"{s.root}/ledger", batch_id, now)
             store.remove(spark, staged)
