@@ -24,8 +24,14 @@ def text_urls(text: Column) -> Column:
 
 
 def text_domains(text: Column) -> Column:
-    """Bare domains in a text, in order. A dot between two letters or digits is looked for first."""
-    found = F.regexp_extract_all(text, F.lit(f"({DOMAIN_PATTERN})"), F.lit(1))
+    """Bare domains in a text, in order.
+
+    Most texts are settled by looking for a dot between two letters or digits. Of the others, only the
+    runs of domain characters that hold such a dot are searched; a domain never crosses a run.
+    """
+    run = r"((?<![a-zA-Z0-9.-])[a-zA-Z0-9.-]*?[a-zA-Z0-9]\.[a-zA-Z0-9][a-zA-Z0-9.-]*)"
+    runs = F.array_join(F.regexp_extract_all(text, F.lit(run), F.lit(1)), " ")
+    found = F.regexp_extract_all(runs, F.lit(f"({DOMAIN_PATTERN})"), F.lit(1))
     return F.when(text.rlike(r"\.(?<=[a-zA-Z0-9]\.)[a-zA-Z0-9]"), _long(found)).otherwise(_no_links())
 
 
