@@ -1,5 +1,8 @@
 """Session settings and the shared working folder."""
 
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -37,3 +40,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/tidewire/{name}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship_package() -> None:
+    """Send this package to the Python workers, once per application.
+
+    Backends and their adapters are unpickled there. Not needed where the package is installed on all
+    nodes, and harmless then.
+    """
+    spark = SparkSession.active()
+    app, package = spark.sparkContext.applicationId, os.path.dirname(os.path.abspath(__file__))
+    if app in _shipped or not os.path.isdir(package):
+        return
+    # The driver's own copy; Spark sends it to the executors.
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "tidewire"), "zip",
+                                  root_dir=os.path.dirname(package), base_dir="tidewire")
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
