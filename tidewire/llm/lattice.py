@@ -23,12 +23,11 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import id_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-N_BEST = 4
-REMEMBERED = 250_000
+N_BEST = 3
+REMEMBERED = 400_000
 LONGEST_KEY = 40
 GROUP = 2_000_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-STRETCH = re.compile(r" *[^ \n]+|\n| +")
 
 
 def _hash(text: str) -> int:
@@ -59,15 +58,32 @@ class Pieces:
         self.text = {i: model.id_to_piece(i).replace("▁", " ").encode() for i in normal}
         self.text |= {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.starts = {p[:n] for p in self.score for n in range(1, len(p) + 1)}
-        joined = {p[i:i + 2] for p in self.score for i in range(len(p) - 1)}
-        # The regular expression cuts before a space and around a line break; right unless a piece spans those.
-        self.split = not any("\n" in p or (p[0] != " " and p[1] == " ") for p in joined)
+        self.stretch = self._stretches()
         known = sorted((_hash(p), self.score.get(p, (-math.inf, (-1,)))) for p in self.starts)
         self.hashes = np.array([h for h, _ in known], np.uint64)
         self.hash_score = np.array([v[0] for _, v in known])
         self.hash_id = np.array([v[1][0] for _, v in known], np.int32)
         self.reset()
 
+    def _stretches(self) -> re.Pattern | None:
+        """Cuts that no piece spans: before spaces, around line breaks, and from other characters to ``marks``.
+
+        Marks follow only marks and spaces in any piece. None if a piece spans a cut before a space or at a line break.
+        """
+        before: dict[str, set[str]] = {}
+        for p in self.score:
+            for a, b in zip(p, p[1:]):
+                before.setdefault(b, set()).add(a)
+        if before.get(" ", set()) - {" "} or any("\n" in p and p != "\n" for p in self.score):
+            return None
+        marks = {c for p in self.score for c in p if not c.isalpha() and c not in " \n"}
+        while bad := {c for c in marks if before.get(c, set()) - marks - {" "}}:
+            marks -= bad
+        if not marks:
+            return re.compile(r" *[^ \n]+|\n| +")
+        kind = "".join(map(re.escape, sorted(marks)))
+        return re.compile(rf" *(?:[^ \n{kind}]+|[{kind}][^ \n]*)|\n| +")
+
     def reset(self) -> None:
         self.index: dict[str, int] = {}
         self.options: dict[str, list] = {}
@@ -188,7 +204,7 @@ class Pieces:
         """
         if self.words >= REMEMBERED:
             self.reset()
-        split = [(STRETCH.findall(" " + t) if self.split else [" " + t]) if t else [] for t in texts]
+        split = [(self.stretch.findall(" " + t) if self.stretch else [" " + t]) if t else [] for t in texts]
         new = set().union(*split).difference(self.index)
         self.learn(sorted(new))
         return [self._encode(words, n) for words in split]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from tidewire.llm.common import id_text
 from tidewire.llm.secrets import SPAN_LIST, SPANS
+from tidewire.session import ship_package
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "login", "account")
@@ -177,3 +178,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     """
     schema = f"id bigint, spans {SPANS}, base string, listed string" + ", masked string" * masked
     return id_text(docs, id_col, text_col).mapInArrow(lambda b: _find(b, masked), schema)
+
+
+def mask_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the personal data in ``text_col`` replaced by its kind; null stays null."""
+    ship_package()
+
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder()
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = [t and mask(t, finder.spans(t)) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, text_col, pa.array(texts, batch.schema.field(at).type))
+
+    return docs.mapInArrow(change, docs.schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import calibrate
 from tidewire.llm.common import id_text, labelled_sample
+from tidewire.session import ship_package
 
 MAX_ROWS = 6_000
 DICT_BYTES = 64 << 10
@@ -110,3 +111,16 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     """
     scored = id_text(docs, id_col, text_col).mapInArrow(lambda b: _score(b, model), "id bigint, score double, difference double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def good_rows(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with all their columns; a null text counts as empty."""
+    ship_package()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, weights = _Packer(model.good, model.bad), np.array(model.weights)
+        for batch in batches:
+            x = np.array([packer.features(t.as_py() or "") for t in batch.column(text_col)]).reshape(-1, 3)
+            yield batch.filter(pa.array(calibrate.predict(weights, x) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
