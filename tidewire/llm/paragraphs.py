@@ -22,6 +22,7 @@ BANDS, ROWS = 16, 3  # a pair at 0.8 collides in some band with chance 1 - (1 -
 LEAST_WORDS = 40
 SMALL = 32
 NEIGHBOURS = 8
+BLOCK = 4096
 PIECE = 1 << 14
 
 _rng = np.random.default_rng(20)
@@ -104,47 +105,30 @@ def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
 TYPES = {"id": pa.int64(), "number": pa.int32(), "start": pa.int64(), "end": pa.int64(), "words": pa.int32(), "h": pa.binary()}
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], apart: bool, small: int = SMALL) -> Iterator[pa.RecordBatch]:
-    """Pairs inside runs of equal keys. All of a small bucket; of a large one each member with its next few.
+def _pairs(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) inside runs of equal keys: all of a small bucket; of a crowded one each member with its next few.
 
-    ``apart``: of large buckets only, the pairs across components.
+    Members of crowded buckets are told as well, as (a, null, key).
     """
     held_key, held = None, []
 
-    def close():
+    def flush():
         n = len(held)
-        if not apart and n <= small:
+        if n <= small:
             left, right = np.triu_indices(n, 1)
-        elif not apart:
+        else:
             left = np.repeat(np.arange(n), NEIGHBOURS)
             right = left + np.tile(np.arange(1, NEIGHBOURS + 1), n)
             left, right = left[right < n], right[right < n]
-        elif n > small:
-            by: dict[bytes, list[int]] = {}
-            for k, (_, c) in enumerate(held):
-                by.setdefault(c, []).append(k)
-            if len(by) == 1:
-                return
-            sides = sorted(by.values(), key=len)
-            for k, side in enumerate(sides):
-                others = [x for s in sides[k + 1:] for x in s]
-                for x in side:
-                    for s in range(0, len(others), 4096):
-                        yield [held[x][0]] * len(others[s:s + 4096]), [held[y][0] for y in others[s:s + 4096]]
-            return
-        else:
-            return
+            for s in range(0, n, 8192):
+                part = held[s:s + 8192]
+                yield _told(part, [None] * len(part), [held_key] * len(part))
         for s in range(0, len(left), 8192):
-            yield [held[k][0] for k in left[s:s + 8192]], [held[k][0] for k in right[s:s + 8192]]
-
-    def flush():
-        for a, b in close():
-            yield pa.record_batch({"a": pa.array([min(x, y) for x, y in zip(a, b)], pa.binary()), "b": pa.array([max(x, y) for x, y in zip(a, b)], pa.binary())})
+            ends = [(held[x], held[y]) for x, y in zip(left[s:s + 8192], right[s:s + 8192])]
+            yield _told([min(e) for e in ends], [max(e) for e in ends], [None] * len(ends))
 
     for batch in batches:
-        keys = batch.column("key").to_numpy()
-        h = batch.column("h").to_pylist()
-        c = batch.column("c").to_pylist() if apart else h
+        keys, h = batch.column("key").to_numpy(), batch.column("h").to_pylist()
         cuts = np.flatnonzero(np.diff(keys)) + 1
         for s, e in zip([0, *cuts], [*cuts, len(keys)]):
             if s == e:
@@ -152,12 +136,64 @@ def _pairs(batches: Iterator[pa.RecordBatch], apart: bool, small: int = SMALL) -
             if keys[s] != held_key:
                 if len(held) > 1:
                     yield from flush()
-                held_key, held = keys[s], []
-            held += zip(h[s:e], c[s:e])
+                held_key, held = int(keys[s]), []
+            held += h[s:e]
     if len(held) > 1:
         yield from flush()
 
 
+def _told(a: list, b: list, key: list) -> pa.RecordBatch:
+    return pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "key": pa.array(key, pa.int64())})
+
+
+class _Block:
+    """Classes of one block of a crowded bucket, with the postings of their shingles."""
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity, self.h, self.c, self.sets = similarity, [], [], []
+        self.postings = None
+
+    def start(self) -> None:
+        sizes = np.array([len(s) for s in self.sets])
+        every = np.concatenate(self.sets)
+        order = np.argsort(every, kind="stable")
+        self.size, self.shingle, self.owner = sizes, every[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+        names: dict[bytes, int] = {}
+        self.group = np.array([names.setdefault(c, k) for k, c in enumerate(self.c)])
+        self.postings = True
+
+    def links(self, h: bytes, c: bytes, found: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        """One link to each group of the block that this class is linked with and not in."""
+        if self.postings is None:
+            self.start()
+        low, high = np.searchsorted(self.shingle, found, "left"), np.searchsorted(self.shingle, found, "right")
+        many = high - low
+        which = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        both = np.bincount(self.owner[which], minlength=len(self.size))
+        near = np.flatnonzero(both >= self.similarity * (len(found) + self.size - both) - 1e-9)
+        for k in np.unique(self.group[near], return_index=True)[1]:
+            other = near[k]
+            if self.c[other] != c and self.h[other] != h:
+                yield h, self.h[other]
+
+
+def _crowded_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    block, key = _Block(similarity), None
+    for batch in batches:
+        out = []
+        for k, n, probe, h, c, s in zip(*(batch.column(x).to_pylist() for x in ("key", "block", "probe", "h", "c", "s"))):
+            if (k, n) != key:
+                block, key = _Block(similarity), (k, n)
+            found = np.frombuffer(s, np.uint64)
+            if not probe:
+                block.h.append(h)
+                block.c.append(c)
+                block.sets.append(found)
+            elif block.h:
+                out += block.links(h, c, found)
+        yield pa.record_batch({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles of the wanted lines of each text, as packed hashes."""
     known = Words()
@@ -181,25 +217,36 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links among candidate pairs of classes. Only the lines that a pair names are read again."""
-    pairs = store(pairs.filter("a != b").distinct(), "pairs")
-    named = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
-    wanted = (named.join(classes, "h").groupBy(F.col("rep.id").alias("id"))
+def _shingles_of(named: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h, s) for the named classes. Only the lines asked for are read again."""
+    wanted = (named.distinct().join(classes, "h").groupBy(F.col("rep.id").alias("id"))
               .agg(F.collect_list(F.struct("h", F.col("rep.start").alias("start"), F.col("rep.end").alias("end"))).alias("wanted")))
-    sets = store(texts.join(wanted, "id").select("text", "wanted").mapInArrow(_sets, "h binary, s binary")
-                 .dropDuplicates(["h"]), "shingles")
+    found = texts.join(wanted, "id").select("text", "wanted").mapInArrow(_sets, "h binary, s binary")
+    return store(found.dropDuplicates(["h"]), "shingles")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     both = (pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b"))
     return both.mapInArrow(lambda b: _similar(b, similarity), "a binary, b binary")
 
 
-def _in_buckets(rows: DataFrame, order: list) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", *order)
+def _verify_crowded(members: DataFrame, sets: DataFrame, named: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links between components inside crowded buckets. Buckets that are one component already are left alone."""
+    known = store(members.join(named.withColumnRenamed("node", "h"), "h", "left").select(
+        "key", "h", F.coalesce("component", "h").alias("c")), "members")
+    mixed = (known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low != high")
+             .select("key", (F.floor((F.col("n") - 1) / block) + 1).cast("int").alias("blocks")))
+    filed = known.join(mixed, "key").join(sets, "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    roles = F.concat(F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("probe"))),
+                     F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda n: F.struct(n.alias("block"), F.lit(1).alias("probe"))))
+    dealt = (filed.withColumn("role", F.explode(roles)).select("key", "role.block", "role.probe", "h", "c", "s")
+             .repartition("key", "block").sortWithinPartitions("key", "block", "probe"))
+    return dealt.mapInArrow(lambda b: _crowded_links(b, similarity), "a binary, b binary")
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS,
-                        similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+                        similarity: float = SIMILARITY, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """(id, number, start, end, words, class_id, class_number, removed) for each paragraph that has a near copy.
 
     A paragraph is a line of at least ``least_words`` words (lower-cased runs of letters, digits and underscores); shorter ones are not
@@ -208,30 +255,29 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     paragraphs; rows without id are left out. Documents with a repeated id are taken for one text each row, and their
     lines for copies of one another if they are.
 
-    All pairs of a bucket of up to ``small`` classes are verified. In a larger bucket each class is compared with its
-    next eight, in an order that differs from band to band, and afterwards with every class of the bucket that
-    these links have not joined to it; so no link between components is lost, and a group of near copies costs rows
-    in proportion to its size.
+    All pairs of a bucket of up to ``small`` classes are verified. In a crowded bucket each class is compared with its
+    next eight, in an order that differs from band to band. If that leaves several components, the classes of the
+    bucket stream past blocks of ``block`` of them and are compared with all by an index of the shingles, which
+    makes at most one row for each class and component. So no link between components is lost.
     """
     texts = id_text(docs, id_col, text_col).filter("id is not null")
     lines = store(texts.mapInArrow(lambda b: _lines(b, least_words), LINES), "lines")
     classes = store(lines.groupBy("h").agg(F.min(F.struct("id", "number", "start", "end")).alias("rep"), F.any_value("bands").alias("bands"),
                                            F.count("*").alias("n")), "classes")
     keys = classes.select(F.posexplode("bands").alias("band", "key"), "h")
-    pairs = _in_buckets(keys.select("key", "h", F.xxhash64("band", "h").alias("o")), ["o"]).mapInArrow(
-        lambda b: _pairs(b, False, small), "a binary, b binary")
-    links = store(_verify(pairs, classes, texts, similarity), "links")
+    dealt = keys.select("key", "h", F.xxhash64("band", "h").alias("o")).repartition("key").sortWithinPartitions("key", "o")
+    told = store(dealt.mapInArrow(lambda b: _pairs(b, small), "a binary, b binary, key bigint"), "buckets")
+    pairs = told.filter("key is null and a != b").select("a", "b").distinct()
+    crowded = told.filter("key is not null").select("key", F.col("a").alias("h"))
+    sets = _shingles_of(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))), classes, texts)
+    links = store(_verify(pairs, sets, similarity), "links")
     named = components(links)
-    crowded = store(keys.groupBy("key").count().filter(F.col("count") > small).select("key"), "crowded")
     if crowded.limit(1).count():
-        joined = keys.join(crowded, "key").join(named.withColumnRenamed("node", "h"), "h", "left").select(
-            "key", "h", F.coalesce("component", "h").alias("c"))
-        rest = _in_buckets(joined, ["h"]).mapInArrow(lambda b: _pairs(b, True, small), "a binary, b binary")
-        named = components(links.unionByName(_verify(rest, classes, texts, similarity)))
+        named = components(links.unionByName(_verify_crowded(crowded, sets, named, similarity, block)))
     grouped = classes.join(named, classes["h"] == named["node"], "left").select(
         classes["h"], F.coalesce("component", classes["h"]).alias("c"), "rep", "n")
     repeated = (grouped.groupBy("c").agg(F.min("rep").alias("first"), F.sum("n").alias("n")).filter("n > 1"))
-    told = grouped.select("h", "c").join(repeated, "c").select("h", F.col("first.id").alias("class_id"), F.col("first.number").alias("class_number"))
-    return (lines.join(told, "h").select(
+    named_by = grouped.select("h", "c").join(repeated, "c").select("h", F.col("first.id").alias("class_id"), F.col("first.number").alias("class_number"))
+    return (lines.join(named_by, "h").select(
         "id", "number", "start", "end", "words", "class_id", "class_number",
         ((F.col("id") != F.col("class_id")) | (F.col("number") != F.col("class_number"))).alias("removed")))
