@@ -12,7 +12,6 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -107,17 +106,23 @@ class Pieces:
                 j += 1
         return ending
 
-    def search(self, text: str) -> Iterator[tuple[float, tuple[tuple[int, ...], ...]]]:
-        """(score, ids by piece) of the segmentations of a text, best first; equal scores in a fixed order."""
+    def search(self, text: str, n: int) -> Iterator[tuple[float, tuple[tuple[int, ...], ...]]]:
+        """(score, ids by piece) of the ``n`` best segmentations of a text; equal scores in a fixed order.
+
+        Of the ways on from one position only the n best matter, so each position is opened n times at most.
+        """
         ending = self.edges(text)
         forward = [0.0] + [-math.inf] * len(text)
         for j in range(1, len(text) + 1):
             for i, s, _ in ending[j]:
                 if forward[i] + s > forward[j]:
                     forward[j] = forward[i] + s
-        heap, made = [(-forward[-1], 0, len(text), 0.0, None)], 0
+        heap, made, opened = [(-forward[-1], len(text), 0, 0.0, None)], 0, [0] * (len(text) + 1)
         while heap:
-            total, _, at, behind, path = heapq.heappop(heap)
+            total, at, _, behind, path = heapq.heappop(heap)
+            opened[at] += 1
+            if opened[at] > n:
+                continue
             if at == 0:
                 out = []
                 while path is not None:
@@ -127,7 +132,7 @@ class Pieces:
                 continue
             for i, s, ids in ending[at]:
                 made += 1
-                heapq.heappush(heap, (-(behind + s + forward[i]), made, i, behind + s, (ids, path)))
+                heapq.heappush(heap, (-(behind + s + forward[i]), i, made, behind + s, (ids, path)))
 
     def learn(self, words: list[str]) -> None:
         """Solve and remember words: those of one length at once, odd ones by themselves."""
@@ -142,7 +147,7 @@ class Pieces:
                     self._keep(part, *self._forward(part, n))
                 else:
                     for w in part:
-                        two = list(islice(self.search(w), 2))
+                        two = list(self.search(w, 2))
                         ids = [i for piece in two[0][1] for i in piece]
                         gap = two[0][0] - two[1][0] if len(two) > 1 else math.inf
                         self._keep([w], np.array(ids, np.int32), np.array([len(ids)]), np.array([two[0][0]]), np.array([gap]))
@@ -224,7 +229,7 @@ class Pieces:
     def _best_of(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         found = self.options.get(word)
         if found is None or len(found) < n:
-            found = [(score, [i for p in pieces for i in p]) for score, pieces in islice(self.search(word), n)]
+            found = [(score, [i for p in pieces for i in p]) for score, pieces in self.search(word, n)]
             if len(self.options) >= REMEMBERED:
                 self.options.clear()
             self.options[word] = found
