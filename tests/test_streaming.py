@@ -68,6 +68,23 @@ def test_a_batch_can_run_again(frame, spark, setup):
     assert ids(spark, f"{s.root}/archive") == [1, 2]
 
 
+def test_no_message_of_a_busy_channel_is_lost(frame, spark, setup):
+    s = setup()
+    pipeline.process_batch(frame([raw(i, "storm") for i in range(1, 31)], schemas.RAW_MESSAGE), 0, s)
+    assert ids(spark, f"{s.root}/archive") == list(range(1, 31))
+
+
+def test_a_batch_keeps_its_time(frame, spark, setup):
+    s = setup()
+    batch = frame([raw(i, "storm") for i in range(1, 6)], schemas.RAW_MESSAGE)
+    pipeline.process_batch(batch, 0, s)
+    s.clock = lambda: NOW + timedelta(hours=5)
+    pipeline.process_batch(batch, 0, s)
+    assert ids(spark, f"{s.root}/outbox", "message_id") == [1, 2, 3, 4, 5]
+    assert [r["v"] for r in spark.read.parquet(f"{s.root}/ledger").select("v").distinct().collect()] == [0]
+    assert spark.read.parquet(f"{s.root}/ledger").select("hour").distinct().count() == 1
+
+
 def test_a_failed_sink_does_not_stop_the_others(frame, spark, setup):
     def broken(df, batch_id):
         raise ValueError("no network")

@@ -15,13 +15,15 @@ AGE_BUFFER = 30
 SAFE_CAP = 20
 
 
-def latest_n(df: DataFrame, n: int, cap: int | None = SAFE_CAP) -> DataFrame:
-    """The newest ``min(n, cap)`` messages of each channel.
+def latest_n(df: DataFrame, n: int | None, cap: int | None = SAFE_CAP) -> DataFrame:
+    """The newest ``min(n, cap)`` messages of each channel; all of them where both are None.
 
     Spark drops all but ``n`` rows per channel before the shuffle, so a hot channel costs no more
     than a quiet one.
     """
-    limit = n if cap is None else min(n, cap)
+    limit = min((x for x in (n, cap) if x is not None), default=None)
+    if limit is None:
+        return df
     newest = Window.partitionBy("channel").orderBy(F.desc("message_id"))
     return df.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= limit).drop("_rank")
 
@@ -88,13 +90,13 @@ def seed_tracker(last_ids: DataFrame, now) -> DataFrame:
     return last_ids.filter("source = 'archive'").select("channel", "last_id", at(now).alias("updated_at"))
 
 
-def mark_fetch(df: DataFrame, last_ids: DataFrame, ledger: DataFrame, now, limit: int = 10,
+def mark_fetch(df: DataFrame, last_ids: DataFrame, ledger: DataFrame, now, limit: int | None = 10,
                cap: int | None = SAFE_CAP, interval: int = FETCH_INTERVAL, age: int = MAX_AGE) -> DataFrame:
     """The messages a fetch looks at, each with its ``strategy`` and ``reason``.
 
     Channels with a last id are read above it and judged by the absolute age limit, the others by the
     fetch interval. The cap is applied first, so what it cuts off is not looked at; ``cap=None`` with
-    a high limit looks at everything. Reasons: ``too_old``, ``service``, ``duplicate``, ``accepted``.
+    ``limit=None`` looks at everything. Reasons: ``too_old``, ``service``, ``duplicate``, ``accepted``.
     """
     marks = last_ids.filter("last_id is not null").select("channel", F.col("last_id").alias("_last"))
     seen = latest_n(

@@ -32,7 +32,7 @@ def _settings(spark, sf, root):
             "hour", "v").parquet(f"{root}/ledger")
     return pipeline.Settings(
         root=root, channels=b.feed_channels(spark, sf), countries=cfg.country_dim(configs),
-        keywords=cfg.keyword_dim(configs), limit=10, interval=4 * 86_400, clock=lambda: NOW)
+        keywords=cfg.keyword_dim(configs), interval=4 * 86_400, clock=lambda: NOW)
 
 
 def _run(spark, sf, name):
@@ -43,7 +43,7 @@ def _run(spark, sf, name):
 
 
 # The stream uses the age limit of four hours for tracked channels, and sees purchases as significant.
-_STREAMED = _MARKED.replace("INTERVAL 172800 SECOND", "INTERVAL 4 HOUR")
+_STREAMED = _MARKED.replace("INTERVAL 172800 SECOND", "INTERVAL 4 HOUR").replace("FROM top WHERE r <= 10", "FROM top")
 _TAKEN = f"""{_STREAMED}, {b.CHANNELS},
 taken AS (SELECT m.channel, m.message_id, c.country_code, m.text, m.kind FROM marked m JOIN channels c USING (channel)
           WHERE reason = 'accepted' AND (text <> '' OR kind = 'webpage'))"""

@@ -13,9 +13,10 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     A large file is read in blocks by many tasks. A line's number is its place in the block plus the
     lines of the file's earlier blocks, so only one row per block is ever sorted.
     """
-    lines = spark.read.text(path).select(
+    # Written once: a second scan could be split elsewhere and number other lines.
+    lines = settle(spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"), "value")
+        F.monotonically_increasing_id().alias("line"), "value"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (lines.groupBy("file", "block").agg(F.min("line").alias("first"), F.count("*").alias("n"))
               .select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")))

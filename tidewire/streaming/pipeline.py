@@ -38,8 +38,8 @@ class Settings:
     channels: DataFrame
     countries: DataFrame
     keywords: DataFrame
-    limit: int = 10
-    cap: int | None = ingest.SAFE_CAP
+    limit: int | None = None  # a limit or cap is for sources that need it: the tracker moves past what it cuts off
+    cap: int | None = None
     interval: int = ingest.FETCH_INTERVAL
     model: Callable | None = None
     translator: Callable | None = None
@@ -75,12 +75,13 @@ def enrich(parsed: DataFrame, s: Settings, now) -> DataFrame:
 
 
 def process_batch(batch: DataFrame, batch_id: int, s: Settings) -> None:
-    """One batch, end to end. Running it again for the same id gives the same tables.
+    """One batch, end to end. Running it again for the same id, however late, gives the same tables.
 
     Every sink is tried even if another one fails. The failures are raised afterwards, so the batch
     is repeated, and the ledger and the tracker move only when all sinks have it.
     """
-    spark, now = batch.sparkSession, s.clock()
+    spark = batch.sparkSession
+    now = store.batch_time(spark, f"{s.root}/clock", batch_id, s.clock)
     # Streams switch adaptive execution off. The joins and writes of a batch keep no state and need it.
     with adaptive(spark):
         _process(spark, batch, batch_id, s, now)
@@ -147,6 +148,7 @@ def _process(spark: SparkSession, batch: DataFrame, batch_id: int, s: Settings,
             store.write_state(ingest.next_tracker(taken, tracker, now), f"{s.root}/tracker", batch_id)
             store.write_ledger(ingest.ledger_entries(taken, now), f"{s.root}/ledger", batch_id, now)
             store.remove(spark, staged)
+            store.drop_expired_hours(spark, f"{s.root}/ledger", now)
     finally:
         marked.unpersist()
     if failures:

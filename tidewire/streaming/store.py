@@ -4,6 +4,9 @@ Every batch writes under its own id, so a batch that is run again replaces what
 only what earlier batches left behind.
 """
 
+from collections.abc import Callable
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +54,13 @@ def write_state(df: DataFrame, root: str, version: int, keep: int = 10) -> None:
         remove(spark, f"{root}/v={old}")
 
 
+def batch_time(spark: SparkSession, root: str, batch_id: int, clock: Callable[[], datetime]) -> datetime:
+    """The time of a batch: taken once, and read again when the batch is repeated."""
+    if batch_id not in versions(spark, root):
+        write_state(spark.createDataFrame([(clock().isoformat(),)], "at string"), root, batch_id)
+    return datetime.fromisoformat(spark.read.schema("at string").parquet(f"{root}/v={batch_id}").first()["at"])
+
+
 def _hour(moment):
     return F.date_format(at(moment), "yyyyMMddHH").cast("bigint")
 
