@@ -150,7 +150,7 @@ class _Block:
     """Classes of one block of a crowded bucket, with the postings of their shingles."""
 
     def __init__(self, similarity: float) -> None:
-        self.similarity, self.h, self.c, self.sets = similarity, [], [], []
+        self.similarity, self.c, self.sets = similarity, [], []
         self.postings = None
 
     def start(self) -> None:
@@ -162,8 +162,8 @@ class _Block:
         self.group = np.array([names.setdefault(c, k) for k, c in enumerate(self.c)])
         self.postings = True
 
-    def links(self, h: bytes, c: bytes, found: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-        """One link to each group of the block that this class is linked with and not in."""
+    def links(self, c: bytes, found: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        """One link to each group of the block that a class of group ``c`` is linked with."""
         if self.postings is None:
             self.start()
         low, high = np.searchsorted(self.shingle, found, "left"), np.searchsorted(self.shingle, found, "right")
@@ -172,25 +172,23 @@ class _Block:
         both = np.bincount(self.owner[which], minlength=len(self.size))
         near = np.flatnonzero(both >= self.similarity * (len(found) + self.size - both) - 1e-9)
         for k in np.unique(self.group[near], return_index=True)[1]:
-            other = near[k]
-            if self.c[other] != c and self.h[other] != h:
-                yield h, self.h[other]
+            if self.c[near[k]] != c:
+                yield c, self.c[near[k]]
 
 
 def _crowded_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     block, key = _Block(similarity), None
     for batch in batches:
-        out = []
-        for k, n, probe, h, c, s in zip(*(batch.column(x).to_pylist() for x in ("key", "block", "probe", "h", "c", "s"))):
+        out = set()
+        for k, n, probe, c, s in zip(*(batch.column(x).to_pylist() for x in ("key", "block", "probe", "c", "s"))):
             if (k, n) != key:
                 block, key = _Block(similarity), (k, n)
             found = np.frombuffer(s, np.uint64)
             if not probe:
-                block.h.append(h)
                 block.c.append(c)
                 block.sets.append(found)
-            elif block.h:
-                out += block.links(h, c, found)
+            elif block.c:
+                out.update(block.links(c, found))
         yield pa.record_batch({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
 
@@ -232,7 +230,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _verify_crowded(members: DataFrame, sets: DataFrame, named: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Links between components inside crowded buckets. Buckets that are one component already are left alone."""
+    """Links (a, b) of the names of components inside crowded buckets. Buckets that are one component already are left alone."""
     known = store(members.join(named.withColumnRenamed("node", "h"), "h", "left").select(
         "key", "h", F.coalesce("component", "h").alias("c")), "members")
     mixed = (known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low != high")
@@ -240,7 +238,7 @@ def _verify_crowded(members: DataFrame, sets: DataFrame, named: DataFrame, simil
     filed = known.join(mixed, "key").join(sets, "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     roles = F.concat(F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("probe"))),
                      F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda n: F.struct(n.alias("block"), F.lit(1).alias("probe"))))
-    dealt = (filed.withColumn("role", F.explode(roles)).select("key", "role.block", "role.probe", "h", "c", "s")
+    dealt = (filed.withColumn("role", F.explode(roles)).select("key", "role.block", "role.probe", "c", "s")
              .repartition("key", "block").sortWithinPartitions("key", "block", "probe"))
     return dealt.mapInArrow(lambda b: _crowded_links(b, similarity), "a binary, b binary")
 
@@ -272,10 +270,12 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = _shingles_of(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))), classes, texts)
     links = store(_verify(pairs, sets, similarity), "links")
     named = components(links)
-    if crowded.limit(1).count():
-        named = components(links.unionByName(_verify_crowded(crowded, sets, named, similarity, block)))
     grouped = classes.join(named, classes["h"] == named["node"], "left").select(
         classes["h"], F.coalesce("component", classes["h"]).alias("c"), "rep", "n")
+    across = store(_verify_crowded(crowded, sets, named, similarity, block), "across")
+    if not across.isEmpty():  # components that crowded buckets join: far fewer than classes
+        joined = components(across).select(F.col("node").alias("c"), "component")
+        grouped = grouped.join(joined, "c", "left").select("h", F.coalesce("component", "c").alias("c"), "rep", "n")
     repeated = (grouped.groupBy("c").agg(F.min("rep").alias("first"), F.sum("n").alias("n")).filter("n > 1"))
     named_by = grouped.select("h", "c").join(repeated, "c").select("h", F.col("first.id").alias("class_id"), F.col("first.number").alias("class_number"))
     return (lines.join(named_by, "h").select(
