@@ -22,7 +22,7 @@ BANDS, ROWS = 16, 3  # a pair at 0.8 collides in some band with chance 1 - (1 -
 LEAST_WORDS = 40
 SMALL = 32
 NEIGHBOURS = 8
-BLOCK = 4096
+BLOCK = 2048
 PIECE = 1 << 14
 
 _rng = np.random.default_rng(20)
@@ -180,9 +180,9 @@ def _crowded_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iter
     block, key = _Block(similarity), None
     for batch in batches:
         out = set()
-        for k, n, probe, c, s in zip(*(batch.column(x).to_pylist() for x in ("key", "block", "probe", "c", "s"))):
-            if (k, n) != key:
-                block, key = _Block(similarity), (k, n)
+        for *cell, probe, c, s in zip(*(batch.column(x).to_pylist() for x in ("key", "block", "slice", "probe", "c", "s"))):
+            if cell != key:
+                block, key = _Block(similarity), cell
             found = np.frombuffer(s, np.uint64)
             if not probe:
                 block.c.append(c)
@@ -236,10 +236,12 @@ def _verify_crowded(members: DataFrame, sets: DataFrame, named: DataFrame, simil
     mixed = (known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low != high")
              .select("key", (F.floor((F.col("n") - 1) / block) + 1).cast("int").alias("blocks")))
     filed = known.join(mixed, "key").join(sets, "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-    roles = F.concat(F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("probe"))),
-                     F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda n: F.struct(n.alias("block"), F.lit(1).alias("probe"))))
-    dealt = (filed.withColumn("role", F.explode(roles)).select("key", "role.block", "role.probe", "c", "s")
-             .repartition("key", "block").sortWithinPartitions("key", "block", "probe"))
+    # The cell (i, j), i <= j, compares block i with block j, so a task reads two blocks at most, however large the bucket.
+    roles = F.concat(
+        F.transform(F.sequence("own", F.col("blocks") - 1), lambda j: F.struct(F.col("own").alias("block"), j.alias("slice"), F.lit(0).alias("probe"))),
+        F.transform(F.sequence(F.lit(0), "own"), lambda i: F.struct(i.alias("block"), F.col("own").alias("slice"), F.lit(1).alias("probe"))))
+    dealt = (filed.withColumn("role", F.explode(roles)).select("key", "role.block", "role.slice", "role.probe", "c", "s")
+             .repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice", "probe"))
     return dealt.mapInArrow(lambda b: _crowded_links(b, similarity), "a binary, b binary")
 
 
@@ -255,7 +257,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     All pairs of a bucket of up to ``small`` classes are verified. In a crowded bucket each class is compared with its
     next eight, in an order that differs from band to band. If that leaves several components, the classes of the
-    bucket stream past blocks of ``block`` of them and are compared with all by an index of the shingles, which
+    bucket are cut into blocks of about ``block``, and each two blocks are compared by an index of the shingles, which
     makes at most one row for each class and component. So no link between components is lost.
     """
     texts = id_text(docs, id_col, text_col).filter("id is not null")
