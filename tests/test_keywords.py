@@ -113,6 +113,22 @@ def test_classify_by_every_strategy(frame, dims, monkeypatch, how):
     assert got == {t[0]: t[3:] for t in TEXTS}
 
 
+def test_strategies_agree_on_null_countries_and_repeated_ids(frame, spark):
+    keywords = frame([(None, "significant", 0, 0, "storm front", "storm front"), (None, "exclude", 0, 0, "rerun", "rerun"),
+                      ("x", "trivial", 0, 0, "sit-in", "sit-in")], schemas.KEYWORDS)
+    df = frame([(1, None, "a storm front"), (1, None, "a storm front"), (1, None, "calm"), (None, None, "storm front rerun"),
+                (None, "x", "a sit-in"), (2, "y", "Storm Front"), (2, "y", None)], "id bigint, country_code string, text string")
+
+    def shown(found):
+        return sorted((tuple(r) for r in found.collect()), key=repr)
+
+    for call in (cl.classify, cl.exclude_match):
+        inline = shown(call(df, keywords))
+        assert len(inline) == 7
+        assert shown(call(df, keywords, keys=["id"], max_inline=0)) == inline
+        assert shown(call(df, keywords, max_inline=0)) == inline
+
+
 def test_label_and_analysis(frame, dims):
     df = frame([(1, "iraq", "protest")], "id bigint, country_code string, text string")
     row = cl.label(cl.classify(df, dims[2]), "2025-11-10 04:00:00").first()

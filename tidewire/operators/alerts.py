@@ -172,6 +172,6 @@ def summary_card(summary: DataFrame, keywords: Column | None = None, system: str
     ]
     if keywords is not None:
         facts.append(_fact("Top Keywords", F.array_join(keywords, ", ")))
-    return card(F.lit("📊 Daily Telegram Scraper Summary"), F.lit(f"Source: {system} | Channel: {channel}"),
-                F.concat(F.lit("Daily scraping activity completed for "), F.col("day")), F.lit("good"),
+    return card(F.lit(f"📊 Daily {system} Summary"), F.lit(f"Source: {system} | Channel: {channel}"),
+                F.concat(F.lit("Daily activity completed for "), F.col("day")), F.lit("good"),
                 _facts(*facts), system)

@@ -124,23 +124,29 @@ def keyword_hits(df: DataFrame, lookup: DataFrame, keys: list[str], text: str =
     return equal.select(*match).unionByName(odd.select(*match))
 
 
-def match_by_sequence(df: DataFrame, lookup: DataFrame, keys: list[str], text: str = "text",
+def match_by_sequence(df: DataFrame, lookup: DataFrame, keys: list[str] | None = None, text: str = "text",
                       max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The columns of ``match_inline``, from the long form. ``keys`` must identify a message."""
-    hits = keyword_hits(df, lookup, keys, text, max_rows)
+    """The columns of ``match_inline``, from the long form.
+
+    A digest of country, text and ``keys`` stands for a message: equal ones have equal hits, so keys may be
+    null or repeat. ``keys`` only spread copies of a text over more tasks.
+    """
+    named = df.withColumn("_message", F.md5(F.to_json(F.struct(
+        *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys or [])], F.col("country_code").alias("c"), F.col(text).alias("t")))))
+    hits = keyword_hits(named, lookup, ["_message"], text, max_rows).distinct()
     entry = F.struct("pos", "en")
-    per_message = hits.groupBy(*keys).agg(
+    per_message = hits.groupBy("_message").agg(
         F.coalesce(F.bool_or(F.col("class") == "exclude"), F.lit(False)).alias("excluded"),
         *[F.transform(F.array_sort(F.collect_list(F.when(F.col("class") == c, entry))), lambda x: x["en"])
           .alias(f"_{c}") for c in CLASSES[:2]])
-    joined = df.join(per_message, keys, "left")
+    joined = named.join(per_message, "_message", "left")
     quiet = F.coalesce("excluded", F.lit(False))
     significant = F.when(quiet, _none()).otherwise(F.coalesce("_significant", _none()))
     return (
         joined.withColumn("significant_hits", significant)
         .withColumn("trivial_hits", F.when(quiet | (F.size("significant_hits") > 0), _none())
                     .otherwise(F.coalesce("_trivial", _none())))
-        .withColumn("excluded", quiet).drop("_significant", "_trivial")
+        .withColumn("excluded", quiet).select(*df.columns, "excluded", "significant_hits", "trivial_hits")
     )
 
 
@@ -159,8 +165,6 @@ def match_keywords(df: DataFrame, keywords: DataFrame, keys: list[str] | None =
     rows = load_keywords(keywords, max_inline) if rows is None else rows
     if rows is not None:
         return match_inline(df, rows, text)
-    if not keys:
-        raise ValueError("a keyword table of this size needs the columns that identify a message")
     return match_by_sequence(df, keyword_lookup(keywords), keys, text)
 
 
@@ -184,9 +188,10 @@ def classify(df: DataFrame, keywords: DataFrame, keys: list[str] | None = None,
     )
 
 
-def exclude_match(df: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``excluded`` only."""
-    matched = match_keywords(with_language(df, text), keywords.filter(F.col("class") == "exclude"), text=text)
+def exclude_match(df: DataFrame, keywords: DataFrame, keys: list[str] | None = None, text: str = "text",
+                  max_inline: int = INLINE_KEYWORDS) -> DataFrame:
+    """Adds ``language`` and ``excluded``."""
+    matched = match_keywords(with_language(df, text), keywords.filter(F.col("class") == "exclude"), keys, text, max_inline)
     return matched.select(*df.columns, "language", "excluded")
 
 

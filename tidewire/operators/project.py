@@ -29,7 +29,7 @@ def canonical_projection(df: DataFrame, fields: list[str] = MESSAGE_FIELDS, keep
 
 def archive_form(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """All fields, with line breaks flattened."""
-    flat = {f: flatten_newlines(F.col(f)) for f in ("Message_Text", "Original_Text", "Attached_Links")}
+    flat = {f: flatten_newlines(F.col(f)) for f in MESSAGE_FIELDS}  # so that a file can be split at any line
     return canonical_projection(df, MESSAGE_FIELDS, keep).withColumns(flat)
 
 

@@ -9,6 +9,7 @@ from tidewire.operators.summary import every_nth, run_log
 from tidewire.operators.summary import resource_warnings as warn
 from tidewire.plans import bindings as b
 from tidewire.plans.registry import query
+from tidewire.session import shared_dir
 from tidewire.sources import feeds
 
 NOW = b.NOW
@@ -65,8 +66,10 @@ def processing_aliases(spark, sf):
 
 @query(f"WITH {b.FEED} SELECT message_id, channel, text FROM feed WHERE channel IN ('@user1', '@user2', '@user3')")
 def read_channel_feed(spark, sf):
-    """A feed restricted to listed channels."""
-    return b.feed(spark, sf).filter(F.col("channel").isin("@user1", "@user2", "@user3")).select("message_id", "channel", "text")
+    """A written feed restricted to listed channels."""
+    path = shared_dir(spark, "feed")
+    b.feed(spark, sf).write.parquet(path)
+    return feeds.read_channel_feed(spark, path, ["@user1", "@user2", "@user3"]).select("message_id", "channel", "text")
 
 
 @query(f"""WITH {b.FEED} SELECT message_id, channel, text FROM feed WHERE channel = '@user7' AND contains(lower(text), 'click')
