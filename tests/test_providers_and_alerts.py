@@ -137,7 +137,15 @@ def test_no_backend_keeps_the_text(frame):
     assert (row["text"], row["Original_Language"], row["Was_Translated"]) == ("نص", "Arabic", False)
 
 
-def test_model_translator():
+def test_model_translator(frame):
+    class Empty:
+        def complete(self, prompt):
+            return ""
+
+    class Partial:
+        def complete(self, prompt):
+            return "Translation:\nLanguage:" if "Language:" in prompt else " "
+
     class Fails:
         def complete(self, prompt):
             raise RuntimeError("down")
@@ -146,9 +154,16 @@ def test_model_translator():
         def complete(self, prompt):
             return "Language: Turkish\nTranslation: hello" if "Language:" in prompt else "'hi'"
 
-    assert pv.ModelTranslator(Fails()).translate("x", "Arabic") == ("x", "Unknown")
-    assert pv.ModelTranslator(Answers()).translate("x", "Arabic") == ("hi", "Arabic")
-    assert pv.ModelTranslator(Answers()).translate("x", "unknown") == ("hello", "Turkish")
+    df = frame([("x", "Arabic"), ("x", "unknown")], "t string, l string")
+
+    def read(model):
+        r = pv.translation(F.col("t"), F.col("l"), F.lit(True), lambda: pv.ModelTranslator(model()), None)
+        return [(r["translated_text"], r["detected_language"], r["was_translated"]) for r, in df.select(r).collect()]
+
+    assert read(Fails) == [("x", "Unknown", False)] * 2
+    assert read(Answers) == [("hi", "Arabic", True), ("hello", "Turkish", True)]
+    assert read(Empty) == [("x", "English", False)] * 2
+    assert read(Partial) == [("x", "Unknown", False)] * 2
 
 
 def test_vectors(frame):

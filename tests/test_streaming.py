@@ -85,6 +85,32 @@ def test_a_batch_keeps_its_time(frame, spark, setup):
     assert spark.read.parquet(f"{s.root}/ledger").select("hour").distinct().count() == 1
 
 
+def test_late_messages_are_not_taken_for_repeats(frame, spark, tmp_path):
+    from tidewire.sources.feeds import stream_channel_feed
+
+    inbox = str(tmp_path / "inbox")
+
+    def run():
+        stream = pipeline.dedupe_stream(stream_channel_feed(spark, inbox))
+        (stream.select("message_id").writeStream.option("checkpointLocation", str(tmp_path / "checkpoint"))
+         .trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start().awaitTermination())
+
+    for days in (0, 3, 6):  # newest first, with one repeat in each file
+        write(frame, inbox, [raw(i + days, "storm", minutes=days * 1440) for i in range(3)] + [raw(0, "again")])
+        run()
+    assert ids(spark, str(tmp_path / "out"), "message_id") == list(range(9))
+
+
+def test_metrics_and_run_log_are_tables(frame, spark, setup):
+    s = setup()
+    for n in range(2):
+        pipeline.metrics_batch(frame([raw(n, "storm"), raw(9, "")], schemas.RAW_MESSAGE), n, s.root)
+    assert [tuple(r) for r in spark.read.parquet(f"{s.root}/metrics").select("messages", "without_text").collect()] == [(2, 1)] * 2
+    pipeline.process_batch(frame([raw(1, "storm"), raw(2, "", media=("photo", None, None, None))], schemas.RAW_MESSAGE), 0, s)
+    log = spark.read.parquet(f"{s.root}/run_log").first()
+    assert (log["status"], log["channels_checked"], log["messages_processed"], log["messages_skipped"]) == ("success", 2, 1, 1)
+
+
 def test_a_failed_sink_does_not_stop_the_others(frame, spark, setup):
     def broken(df, batch_id):
         raise ValueError("no network")

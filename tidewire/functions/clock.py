@@ -5,6 +5,8 @@ from datetime import datetime, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewire.functions.fixed import CSV_DATE, LONG_STAMP, SHORT_STAMP
+
 LOCAL_ZONE = "Asia/Manila"
 # Last dates that have four-digit years.
 LAST_MILLIS, LAST_SERIAL = 253_402_300_800_000, 2_958_465
@@ -63,7 +65,7 @@ def normalize_sheet_date(cell: Column, zone: str = LOCAL_ZONE) -> Column:
 
 def is_csv_date(cell: Column) -> Column:
     """The archive's date pattern. A match may still be an impossible date."""
-    return F.replace(cell, F.lit('"'), F.lit("")).rlike(r"\A20[0-9]{2}-[0-1][0-9]-[0-3][0-9]\z")
+    return F.replace(cell, F.lit('"'), F.lit("")).rlike(CSV_DATE)
 
 
 def valid_csv_date(cell: Column) -> Column:
@@ -71,8 +73,6 @@ def valid_csv_date(cell: Column) -> Column:
     return is_csv_date(cell) & bare.try_cast("date").isNotNull()
 
 
-_SHORT_STAMP = r"\A\[20[0-9]{6}_[0-9]{2}:[0-9]{2}:[0-9]{2}\]:"
-_LONG_STAMP = r"\A\[20[0-9]{2}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2},[0-9]{3}: [A-Z]+/[^\]]+\]"
 
 
 def log_stamp(line: Column) -> Column:
@@ -84,7 +84,7 @@ def log_stamp(line: Column) -> Column:
         return F.substring(line, start, length)
 
     short = F.concat(cut(2, 4), F.lit("-"), cut(6, 2), F.lit("-"), cut(8, 2), F.lit(" "), cut(11, 8))
-    return F.when(line.rlike(_SHORT_STAMP), short).when(line.rlike(_LONG_STAMP), cut(2, 19))
+    return F.when(line.rlike(SHORT_STAMP), short).when(line.rlike(LONG_STAMP), cut(2, 19))
 
 
 def has_log_stamp(line: Column) -> Column:

@@ -103,3 +103,16 @@ NOTIFY_EVERY = {
 
 # Resource warning levels in percent.
 RESOURCE_THRESHOLDS = {"memory": 80.0, "swap": 50.0, "disk": 80.0}
+
+# Date of an archive row, and the two stamps a log line can start with.
+CSV_DATE = r"\A20[0-9]{2}-[0-1][0-9]-[0-3][0-9]\z"
+SHORT_STAMP = r"\A\[20[0-9]{6}_[0-9]{2}:[0-9]{2}:[0-9]{2}\]:"
+LONG_STAMP = r"\A\[20[0-9]{2}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2},[0-9]{3}: [A-Z]+/[^\]]+\]"
+
+# Texts by which log lines tell what happened.
+MARKERS = {
+    "success": "SharePoint response: status=200",
+    "crash_alert": "SharePointInitializationError",
+    "admin_message": "admin message to Teams",
+    "task": "save_to_sharepoint",
+}

@@ -37,8 +37,8 @@ def count_english(tokens: Column) -> Column:
 
 def count_arabic(tokens: Column) -> Column:
     """Words that equal a listed Arabic word."""
-    known = F.split(F.lit(" ".join(dict.fromkeys(ARABIC_WORDS))), " ")
-    return F.size(F.filter(tokens, lambda w: F.array_contains(known, w)))
+    known = list(dict.fromkeys(ARABIC_WORDS))
+    return F.size(F.filter(tokens, lambda w: w.isin(known)))
 
 
 def english_word_ratio(text: Column) -> Column:

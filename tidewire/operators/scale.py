@@ -9,6 +9,7 @@ from tidewire.session import shared_dir
 
 BROADCAST_ROWS = 200_000
 SALTS = 64
+LEAST_PARTS, MOST_PARTS, ROWS_PER_PART = 32, 512, 500_000
 
 
 def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -85,30 +86,39 @@ def _chunk(order: list[str], dtypes: dict[str, str], cuts: list[tuple]) -> Colum
     return search(0, len(cuts))
 
 
+def _parts_for(rows: int) -> int:
+    """Parts that hold some ``ROWS_PER_PART`` rows each, within what one expression can tell apart."""
+    return min(MOST_PARTS, max(LEAST_PARTS, rows // ROWS_PER_PART))
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "row_number",
-                chunks: int = 32, stage: bool = False) -> DataFrame:
+                chunks: int | None = None, stage: bool = False) -> DataFrame:
     """``row_number()`` per key in ascending order, without one task per key.
 
     Rows are cut into ordered parts, numbered inside (key, part), and shifted by the number of the
-    key's rows in earlier parts. The rows are shuffled once, by (key, part), and read twice;
-    ``stage`` checkpoints them in between, for input that is costly to compute.
+    key's rows in earlier parts. ``chunks`` defaults to a number that grows with the rows. The rows are
+    shuffled once, by (key, part); the shifts have one row for each key and part and are broadcast
+    within the checked bound. ``stage`` checkpoints the input first, where it is costly to compute.
     """
-    cuts = _boundaries(df, order, chunks) if chunks > 1 else []
+    if stage:
+        shared_dir(df.sparkSession, "stage")
+        df = df.checkpoint()
+    cuts = _boundaries(df, order, chunks or LEAST_PARTS) if chunks is None or chunks > 1 else []
+    if cuts and chunks is None and (more := _parts_for(df.count())) > LEAST_PARTS:
+        cuts = _boundaries(df, order, more)
     if not cuts:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     parts = df.withColumn("_chunk", _chunk(order, dict(df.dtypes), cuts))
-    if stage:
-        shared_dir(df.sparkSession, "stage")
-        parts = parts.checkpoint()
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (parts.groupBy(*keys, "_chunk").count()
-               .select(*keys, "_chunk", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before")))
+    offsets = settle(parts.groupBy(*keys, "_chunk").count()
+                     .select(*keys, "_chunk", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before")))
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     numbered = parts.withColumn("_n", F.row_number().over(within))
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     joined = numbered.alias("l").join(
-        offsets.alias("r"), [*same, F.col("l._chunk") == F.col("r._chunk")], "left")
+        (F.broadcast(offsets) if fits_broadcast(offsets) else offsets).alias("r"),
+        [*same, F.col("l._chunk") == F.col("r._chunk")], "left")
     return joined.select(
         *[F.col(f"l.{c}") for c in df.columns],
         (F.col("l._n") + F.col("r._before")).cast("bigint").alias(name))

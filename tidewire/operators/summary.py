@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.clock import at, date_text
-from tidewire.functions.fixed import RESOURCE_THRESHOLDS
+from tidewire.functions.fixed import MARKERS, RESOURCE_THRESHOLDS
 from tidewire.functions.lookups import delivery_outcome, resource_excess, retry_delay
 from tidewire.operators.scale import join_dimension, number_rows
 
@@ -49,17 +49,18 @@ def resource_warnings(metrics: DataFrame, thresholds: dict[str, float] = RESOURC
             .withColumn("excess", resource_excess(F.col("value"), F.col("threshold"))))
 
 
-def run_log(marked: DataFrame, now, channels_checked: int | None = None) -> DataFrame:
+def run_log(marked: DataFrame, now, channels: DataFrame | None = None) -> DataFrame:
     """One status record of a fetch: messages handed on, and skipped for lack of text.
 
-    ``marked`` has ``reason`` and a boolean ``empty``.
+    ``marked`` has ``reason`` and a boolean ``empty``. All of ``channels`` count as checked, with or without
+    messages; without that table only those with messages do.
     """
     taken = F.col("reason") == "accepted"
     counts = marked.agg(
         F.count_if(taken & ~F.col("empty")).alias("messages_processed"),
         F.count_if(taken & F.col("empty")).alias("messages_skipped"),
         F.count_distinct("channel").alias("_channels"))
-    checked = F.col("_channels") if channels_checked is None else F.lit(channels_checked).cast("bigint")
+    checked = F.col("_channels") if channels is None else channels.agg(F.count_distinct("channel")).scalar()
     return counts.select(
         F.when(checked == 0, "no_channels").otherwise("success").alias("status"),
         F.date_format(at(now), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
@@ -92,12 +93,7 @@ def outbox_due(outbox: DataFrame, now, max_attempts: int = 5) -> DataFrame:
     return outbox.filter((F.col("attempts") < max_attempts) & again & (~tried | (due <= at(now))))
 
 
-MARKERS = {
-    "success": "SharePoint response: status=200",
-    "crash_alert": "SharePointInitializationError",
-    "admin_message": "admin message to Teams",
-    "task": "save_to_sharepoint",
-}
+
 
 
 def log_health(lines: DataFrame, markers: dict[str, str] = MARKERS) -> DataFrame:

@@ -205,13 +205,13 @@ def mark_processed(spark, sf):
     return rows.withColumn("processed_at", F.date_format("processed_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query(f"""{_MARKED} SELECT 'success' AS status, '2024-01-31T00:00:00' AS timestamp, count(DISTINCT channel) AS channels_checked,
+@query(f"""{_MARKED}, {b.CHANNELS} SELECT 'success' AS status, '2024-01-31T00:00:00' AS timestamp, (SELECT count(DISTINCT channel) FROM channels) AS channels_checked,
  count(*) FILTER (reason = 'accepted' AND text || coalesce(kind, '') NOT IN ('', 'photo')) AS messages_processed,
  count(*) FILTER (reason = 'accepted' AND text || coalesce(kind, '') IN ('', 'photo')) AS messages_skipped FROM marked""")
 def fetch_run_log(spark, sf):
     marked = marked_feed(spark, sf)
     empty = parse.append_webpage_url(F.col("text"), F.col("media")) == ""
-    return run_log(marked.withColumn("empty", empty), NOW)
+    return run_log(marked.withColumn("empty", empty), NOW, b.feed_channels(spark, sf))
 
 
 @query(f"WITH {b.FEED}, {b.CHANNELS} SELECT f.channel, message_id, country_code, country_name FROM feed f JOIN channels USING (channel)")

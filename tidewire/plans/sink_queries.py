@@ -10,8 +10,10 @@ from tidewire.operators.classify import label
 from tidewire.operators.parse import message_url
 from tidewire.plans import bindings as b
 from tidewire.plans.message_queries import classified
-from tidewire.plans.registry import query
+from tidewire.plans.registry import ORACLES, query
+from tidewire.session import shared_dir
 from tidewire.sources.logs import parse_logs
+from tidewire.sources.logs import read_logs as read_log_files
 
 NOW = b.NOW
 SHEET_NOW, SHEET_DAYS = "1998-06-15 03:00:00", 30
@@ -296,3 +298,27 @@ def log_health(spark, sf):
 def last_log_errors(spark, sf):
     return (summary.last_n_events(parse_logs(b.logs(spark, sf)), 5, "error|failed|exception")
             .select("service", "row", "value", F.col("event_rank").cast("bigint").alias("event_rank")))
+
+
+@query(f"WITH {b.LOGS} SELECT service, row_number() OVER (PARTITION BY service ORDER BY row) AS row, value FROM logs")
+def read_logs(spark, sf):
+    """The lines written as one text file per service and read back with their numbers."""
+    path = shared_dir(spark, "logs")
+    lines = b.logs(spark, sf).select(F.regexp_extract("file", r"([^/]+)\.log$", 1).alias("service"), "row", "value")
+    (lines.repartition("service").sortWithinPartitions("service", "row").select("service", "value")
+     .write.partitionBy("service").text(path))
+    return read_log_files(spark, path).select(F.regexp_extract("file", "service=([^/]+)/", 1).alias("service"), "row", "value")
+
+
+@query(f"""SELECT 'logs' AS component, 'success' AS status, count(*) AS kept FROM ({ORACLES["retain_logs"]})
+UNION ALL SELECT 'sheet', 'success', count(*) FROM ({ORACLES["retain_sheet"]})
+UNION ALL SELECT 'unreachable', 'error', NULL""")
+def retention_job(spark, sf):
+    """The retention of logs and sheets, and one step that fails without stopping them."""
+    def unreachable():
+        raise OSError("no route")
+
+    done = retention.retention_job({
+        "unreachable": unreachable, "logs": lambda: retain_logs(spark, sf).count(), "sheet": lambda: retain_sheet(spark, sf).count()})
+    rows = [(name, d["status"], d.get("result")) for name, d in done["details"].items()]
+    return spark.createDataFrame(rows, "component string, status string, kept bigint")

@@ -1,6 +1,6 @@
 """Streams over the test tables, run to the end of the input and read back as tables."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -23,7 +23,7 @@ def _events(spark, sf):
     return stream_channel_feed(spark, sf, schema, pathGlobFilter="events.parquet")
 
 
-def _settings(spark, sf, root):
+def _settings(spark, sf, root, **options):
     configs = b.configs(spark, b.FEED_CONFIG)
     # Tracker and ledger as earlier runs left them, under a batch id before the first.
     store.write_state(b.tracker(spark, sf), f"{root}/tracker", -1)
@@ -32,7 +32,7 @@ def _settings(spark, sf, root):
             "hour", "v").parquet(f"{root}/ledger")
     return pipeline.Settings(
         root=root, channels=b.feed_channels(spark, sf), countries=cfg.country_dim(configs),
-        keywords=cfg.keyword_dim(configs), interval=4 * 86_400, clock=lambda: NOW)
+        keywords=cfg.keyword_dim(configs), interval=4 * 86_400, **{"clock": lambda: NOW} | options)
 
 
 def _run(spark, sf, name):
@@ -59,6 +59,31 @@ def stream_ingest(spark, sf):
         F.col("Keywords_Matched").alias("keywords"))
 
 
+@query(f"""{_TAKEN} SELECT channel, CAST(message_id AS VARCHAR) AS message_id, country_code, CASE WHEN kind = 'document' THEN 'significant' ELSE 'trivial' END AS category FROM taken""")
+def stream_repeat(spark, sf):
+    """A batch run again five hours later, after everything was written: the archive is still that of the first run."""
+    root = shared_dir(spark, "stream_repeat")
+    late = iter([NOW, NOW + timedelta(hours=5)])
+    settings = _settings(spark, sf, root, clock=lambda: next(late))
+    for _ in range(2):
+        pipeline.process_batch(b.feed(spark, sf), 0, settings)
+    return read_archive(spark, f"{root}/archive", "parquet").select(
+        F.col("Channel").alias("channel"), F.col("Message_ID").alias("message_id"), "country_code", "category")
+
+
+@query(f"{_TAKEN} SELECT channel, CAST(message_id AS VARCHAR) AS message_id FROM taken")
+def stream_handler(spark, sf):
+    """What a handler of the user's gets of a batch."""
+    root = shared_dir(spark, "stream_handler")
+
+    def keep(records, batch_id):
+        records.select("Channel", "Message_ID").write.mode("overwrite").parquet(f"{root}/handled/batch_id={batch_id}")
+
+    pipeline.process_batch(b.feed(spark, sf), 0, _settings(spark, sf, root, handler=keep))
+    return spark.read.parquet(f"{root}/handled").select(
+        F.col("Channel").alias("channel"), F.col("Message_ID").cast("string").alias("message_id"))
+
+
 @query(f"""{_TAKEN} SELECT 'alerts' AS sink, count(*) FILTER (kind = 'document' AND country_code = 'alpha') AS written FROM taken
 UNION ALL SELECT 'feed', count(*) FROM taken
 UNION ALL SELECT 'ledger', (SELECT count(*) FROM marked WHERE reason = 'accepted')
@@ -79,15 +104,10 @@ def stream_fan_out(spark, sf):
 
 @query("SELECT count(*) AS messages, count(*) FILTER (event_type IN ('view', 'error')) AS without_text FROM events")
 def stream_metrics(spark, sf):
-    """Counters observed on the stream, summed over its batches."""
+    """Counters of a stream, summed over the table that its batches write."""
     root = shared_dir(spark, "stream_metrics")
-    stream = pipeline.intake_metrics(b.feed_of(_events(spark, sf)))
-    run = (stream.select("message_id").writeStream.option("checkpointLocation", f"{root}/checkpoint")
-           .trigger(availableNow=True).format("parquet").option("path", f"{root}/out").start())
-    run.awaitTermination()
-    seen = [p["observedMetrics"]["intake"] for p in run.recentProgress if "intake" in (p["observedMetrics"] or {})]
-    rows = [(int(m["messages"]), int(m["without_text"])) for m in seen]
-    return spark.createDataFrame(rows, "messages bigint, without_text bigint").agg(
+    pipeline.start_metrics(b.feed_of(_events(spark, sf)), root).awaitTermination()
+    return spark.read.schema("messages bigint, without_text bigint").parquet(f"{root}/metrics").agg(
         F.sum("messages").alias("messages"), F.sum("without_text").alias("without_text"))
 
 

@@ -13,11 +13,12 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewire import schemas
 from tidewire.operators import ingest
 from tidewire.operators.classify import classify, label, load_keywords
-from tidewire.operators.parse import parse_messages, processing_aliases, split_empty_text
+from tidewire.operators.parse import append_webpage_url, parse_messages, processing_aliases, split_empty_text
 from tidewire.operators.project import next_row
 from tidewire.operators.providers import additional_criteria, ai_classify, translate
 from tidewire.operators.routing import route_country
 from tidewire.operators.sinks import admin_alert_rows, alert_rows, feed_rows, write_archive
+from tidewire.operators.summary import run_log
 from tidewire.sources.feeds import read_archive
 from tidewire.streaming import store
 
@@ -132,6 +133,9 @@ def _process(spark: SparkSession, batch: DataFrame, batch_id: int, s: Settings,
         "archive": lambda: write_archive(records, f"{s.root}/archive/{here}", s.archive_format, mode="overwrite"),
         "fetch_log": lambda: ingest.fetch_summary(marked).withColumn("run_at", ingest.at(now))
         .write.mode("overwrite").parquet(f"{s.root}/fetch_log/{here}"),
+        "run_log": lambda: run_log(
+            marked.withColumn("empty", append_webpage_url(F.col("text"), F.col("media")) == ""), now, s.channels)
+        .write.mode("overwrite").parquet(f"{s.root}/run_log/{here}"),
     }
     if s.handler is not None:
         sinks["handler"] = lambda: s.handler(records, batch_id)
@@ -161,6 +165,18 @@ def intake_metrics(stream: DataFrame, name: str = "intake") -> DataFrame:
                           F.count_if(F.coalesce("text", F.lit("")) == "").alias("without_text"))
 
 
+def metrics_batch(batch: DataFrame, batch_id: int, root: str) -> None:
+    """The counts of one batch as a row of a table. A stream's own progress keeps its last 100 batches only."""
+    (batch.agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("without_text"))
+     .coalesce(1).write.mode("overwrite").parquet(f"{root}/metrics/batch_id={batch_id}"))
+
+
+def start_metrics(stream: DataFrame, root: str, every: str | None = None) -> StreamingQuery:
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return (stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(**trigger)
+            .foreachBatch(lambda batch, batch_id: metrics_batch(batch, batch_id, root)).start())
+
+
 def start_ingest(stream: DataFrame, s: Settings, every: str | None = "240 seconds",
                  name: str = "ingest") -> StreamingQuery:
     """Run the pipeline on a stream: on a timer, or over what is there now with ``every=None``."""
@@ -171,14 +187,15 @@ def start_ingest(stream: DataFrame, s: Settings, every: str | None = "240 second
             .foreachBatch(lambda batch, batch_id: process_batch(batch, batch_id, s)).start())
 
 
-def dedupe_stream(stream: DataFrame, ts: str = "date", ttl: str = "24 hours") -> DataFrame:
-    """Drop repeats of (channel, message_id) within ``ttl`` of event time.
+def dedupe_stream(stream: DataFrame, ttl: str = "24 hours") -> DataFrame:
+    """Drop repeats of (channel, message_id) within ``ttl`` of the batch that first read them.
 
-    The ledger in ``process_batch`` counts from the time of marking instead.
+    Like the ledger in ``process_batch`` this counts from the reading, not from the message's own date, so an old
+    message that comes late is never taken for an expired one. A repeated batch has the time of its first run.
     """
-    timed = stream.withColumn("_event_time", F.col(ts).cast("timestamp"))
-    return (timed.withWatermark("_event_time", ttl)
-            .dropDuplicatesWithinWatermark(["channel", "message_id"]).drop("_event_time"))
+    timed = stream.withColumn("_read_at", F.current_timestamp())
+    return (timed.withWatermark("_read_at", ttl)
+            .dropDuplicatesWithinWatermark(["channel", "message_id"]).drop("_read_at"))
 
 
 def throttle_batch(events: DataFrame, batch_id: int, root: str, n: int, order: list[str]) -> None:
