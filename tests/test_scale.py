@@ -45,6 +45,18 @@ def test_numbering_of_a_hot_key(frame, stage, monkeypatch):
     assert max(r["count"] for r in parts) < 1000
 
 
+def test_parts_grow_and_rows_are_shuffled_once(frame, monkeypatch):
+    monkeypatch.setattr(scale, "ROWS_PER_PART", 100)
+    assert [scale._parts_for(n) for n in (0, 3_000, 4_000, 10 ** 9)] == [32, 32, 40, 512]
+    rows = [("hot" if i % 3 else f"k{i % 5}", i) for i in range(4000)]
+    got = scale.number_rows(frame(rows, "k string, o int"), ["k"], ["o"], "n")
+    assert {(r["k"], r["o"]): r["n"] for r in got.collect()} == rank(rows)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 10 ** 6)), min_size=70, max_size=120, unique=True))
 def test_numbering_is_exact(frame, rows):
