@@ -325,6 +325,16 @@ def test_contamination_equals_all_alignments(frame):
     assert len(expected) > 20
 
 
+def test_contamination_of_the_middle_of_an_item_and_of_a_changed_first_token(frame):
+    item = [f"i{k}" for k in range(59)]
+    short = [f"s{k}" for k in range(7)]
+    other = [" ".join(f"o{n}x{k}" for k in range(100)) for n in range(3)]
+    rows = [(0, " ".join(short[1:])), (1, other[0]), (2, " ".join(item[15:45])), (3, other[1]), (4, " ".join(["unseen", *short[1:], "z"])),
+            (5, " ".join(item[1:30])), (6, " ".join(item[30:58])), (7, other[2]), (8, " ".join(short[:6]))]
+    got = decontaminate.contaminated(docs_of(frame, rows).coalesce(1), frame([(1, " ".join(item)), (2, " ".join(short))], "item_id bigint, text string"))
+    assert {(r.id, r.item_id) for r in got.collect()} == {(2, 1), (5, 1), (6, 1), (0, 2), (4, 2), (8, 2)}
+
+
 # Classifiers
 
 def test_folding():

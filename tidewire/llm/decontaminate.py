@@ -52,8 +52,8 @@ def _hashes(ids: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndar
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     known = ids != 0
-    good = known[:n].copy()
-    for m in mask[1:]:
+    good = np.ones(n, bool)
+    for m in mask:
         good &= known[m:m + n]
     at = np.flatnonzero(good)
     total = np.full(len(at), len(mask), np.uint64)
@@ -92,8 +92,11 @@ class Seeds:
             seeds.tables[mask] = h[order], item[order], at[order]
         return seeds
 
-    def diagonals(self, ids: np.ndarray) -> np.ndarray:
-        """Distinct (item, start of the item in ``ids``) of all hits."""
+    def diagonals(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Distinct (item, start of the item in ``ids``, number of the document that holds the hit) of all hits.
+
+        Documents begin at ``starts``. The item may stick out of the document on both sides, its seed cannot.
+        """
         out = []
         for mask, (hashes, items, places) in self.tables.items():
             at, h = _hashes(ids, mask)
@@ -104,8 +107,9 @@ class Seeds:
             low = low[hit]
             many = np.searchsorted(hashes, h[hit], "right") - low
             which = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            out.append(np.stack([items[which], np.repeat(at[hit], many) - places[which]], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            doc = np.searchsorted(starts, at[hit] + mask[0], "right") - 1
+            out.append(np.stack([items[which], np.repeat(at[hit], many) - places[which], np.repeat(doc, many)], axis=1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
 def overlaps(ids: np.ndarray, item: np.ndarray, starts: np.ndarray, window: int, similarity: float):
@@ -137,15 +141,12 @@ def _scan(batches: Iterator[pa.RecordBatch], seeds, window: int, similarity: flo
         def close():
             if not group:
                 return
-            ids = np.concatenate(parts)
-            starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
-            hits = seeds.diagonals(ids)
+            # A gap before the first document too: a seed may ignore its first token. No seed crosses a gap.
+            ids = np.concatenate([np.zeros(gap, np.uint64), *parts])
+            starts = gap + np.cumsum([0] + [len(p) for p in parts[:-1]])
+            hits = seeds.diagonals(ids, starts)
             if len(hits):
-                # A window never crosses a gap, so each hit lies within one document; the item may stick out.
-                doc = np.searchsorted(starts, hits[:, 1] + seeds_len[hits[:, 0]] - 1, "right") - 1
-                first = np.searchsorted(starts, np.maximum(hits[:, 1], 0), "right") - 1
-                spread = np.concatenate([np.column_stack([hits, d]) for d in (first, np.clip(doc, 0, len(group) - 1))])
-                for (item, d), of in _grouped(np.unique(spread, axis=0)):
+                for (item, d), of in _grouped(hits):
                     own = parts[d][:len(parts[d]) - gap]
                     if len(own):
                         best = max(overlaps(own, seeds.items[item][1], of - starts[d], window, similarity),
@@ -153,7 +154,6 @@ def _scan(batches: Iterator[pa.RecordBatch], seeds, window: int, similarity: flo
                         if best:
                             found.append(_row(group[d], seeds.items[item], best, window))
 
-        seeds_len = np.array([len(i) for _, i in seeds.items] or [0])
         for i, text in rows:
             words = tokens(text.as_py())
             ids = np.fromiter((known(w, 0) for w in words), dtype=np.uint64, count=len(words))
