@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidewire.llm import (decontaminate, embeddings, lattice, paragraphs, pii, quality, secrets, simhash, toxicity,
+from tidewire.llm import (decontaminate, embeddings, lattice, paragraphs, passages, pii, quality, secrets, simhash, toxicity,
                           urlfilter)
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, spans string, component int"
@@ -126,6 +126,43 @@ def test_repeated_paragraphs(frame, small, block):
     assert rows[2][1][first.start:first.end] == " ".join(passage)
 
 
+def test_repeated_passages_equal_brute_force(frame):
+    rng = random.Random(4)
+
+    def fresh(n):
+        return [f"W{rng.randrange(10 ** 9)}" for _ in range(n)]
+
+    a, b, short = fresh(75), fresh(50), fresh(49)
+    rows = [(1, None), (2, " ".join(fresh(60) + a + fresh(9))), (3, " ".join(fresh(5) + short + fresh(60))), (3, "one\n" + " ".join(fresh(10) + b)),
+            (4, "two words\n" + "\n".join(" ".join(a[k:k + 7]).lower() for k in range(0, 75, 7)) + "\n" + " ".join(fresh(40))),
+            (5, ". ".join(fresh(200) + b + fresh(30) + a[:60] + fresh(20) + a[10:] + fresh(3))), (6, " ".join(short)), (7, "ha " * 120),
+            (8, "İx " + " ".join(b)), (9, "ha\n" * 130 + " ".join(a))]
+    rows += [(10, rows[4][1]), (11, rows[4][1])]
+    got = passages.repeated_passages(docs_of(frame, rows)).collect()
+
+    seen, expected = {}, set()
+    for n, (i, t) in enumerate(rows):
+        w = [m[0].lower() for m in re.finditer(r"\w+", t or "")]
+        for p in range(len(w) - 49):
+            seen.setdefault(tuple(w[p:p + 50]), []).append((i, n, p))
+    for places in seen.values():
+        i, n, p = min(places)
+        expected |= {(x[0], k) for x in places if x[1] != n or x[2] - p >= 50 for k in range(x[2], x[2] + 50)}
+    texts = {i: t for i, t in rows if i != 3}
+    texts[3] = rows[3][1]  # the row of the repeated id with a passage
+    covered = set()
+    for r in got:
+        spans = [m.span() for m in re.finditer(r"\w+", texts[r.id])]
+        inside = [k for k, (s, e) in enumerate(spans) if r.start <= s and e <= r.end]
+        assert spans[inside[0]][0] == r.start and spans[inside[-1]][1] == r.end and len(inside) == r.words >= 50
+        assert texts[r.id].count("\n", 0, r.start) == r.number
+        if r.removed:
+            covered |= {(r.id, k) for k in inside}
+    assert covered == expected and {i for i, _ in covered} == {4, 5, 7, 8, 9, 10, 11}
+    assert {(r.class_id, r.class_number, r.words) for r in got if r.id == 4 and r.removed} == {(2, 0, 75)}
+    assert passages.repeated_passages(docs_of(frame, [])).count() == 0
+
+
 # Secrets and personal data
 
 def plain_secrets(t):

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import (decontaminate, embeddings, lattice, paragraphs, pii, quality, secrets, simhash, toxicity,
+from tidewire.llm import (decontaminate, embeddings, lattice, paragraphs, passages, pii, quality, secrets, simhash, toxicity,
                           urlfilter)
 from tidewire.llm.common import held_out, table
 
@@ -37,7 +37,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    """Lines with a near copy, and passages that repeat wherever the lines break; their spans can overlap."""
+    docs = table(spark, sf_dir, "documents")
+    return paragraphs.repeated_paragraphs(docs).unionByName(passages.repeated_passages(docs)).withColumnRenamed("id", "doc_id")
 
 
 def _counted(found: DataFrame, kinds: list[str]) -> DataFrame:
