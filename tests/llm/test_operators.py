@@ -126,6 +126,24 @@ def test_repeated_paragraphs(frame, small, block):
     assert rows[2][1][first.start:first.end] == " ".join(passage)
 
 
+def test_crowded_bands_are_passed_on_without_being_held():
+    import pyarrow as pa
+
+    told, ends = 0, 0
+
+    def batches():
+        for n in range(50):
+            # A bucket told only at its end would have yielded nothing yet.
+            assert told >= 100 * max(0, n - 1)
+            h = [xxhash.xxh3_128_digest(b"%d" % (100 * n + k)) for k in range(100)]
+            yield pa.record_batch({"key": pa.array([7] * 100, pa.int64()), "part": pa.array([-1] * 100, pa.int32()), "h": pa.array(h, pa.binary())})
+
+    for out in paragraphs._pairs(batches(), 32):
+        told += out.num_rows - out.column("key").null_count
+        ends += out.column("key").null_count
+    assert told == 5000 and ends == 8 * 5000 - 36
+
+
 def test_repeated_passages_equal_brute_force(frame):
     rng = random.Random(4)
 

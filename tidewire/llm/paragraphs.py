@@ -108,38 +108,41 @@ TYPES = {"id": pa.int64(), "number": pa.int32(), "start": pa.int64(), "end": pa.
 def _pairs(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) inside runs of equal keys: all of a small bucket; of a crowded one each member with its next few.
 
-    Members of crowded buckets are told as well, as (a, null, key).
+    Members of crowded buckets are told as well, as (a, null, key). A part of a cut bucket counts as crowded. No more
+    than ``small`` members, or the last few, are held.
     """
-    held_key, held = None, []
-
-    def flush():
-        n = len(held)
-        if n <= small:
-            left, right = np.triu_indices(n, 1)
-        else:
-            left = np.repeat(np.arange(n), NEIGHBOURS)
-            right = left + np.tile(np.arange(1, NEIGHBOURS + 1), n)
-            left, right = left[right < n], right[right < n]
-            for s in range(0, n, 8192):
-                part = held[s:s + 8192]
-                yield _told(part, [None] * len(part), [held_key] * len(part))
-        for s in range(0, len(left), 8192):
-            ends = [(held[x], held[y]) for x, y in zip(left[s:s + 8192], right[s:s + 8192])]
-            yield _told([min(e) for e in ends], [max(e) for e in ends], [None] * len(ends))
+    held_key, held, told = None, [], False
+
+    def close():
+        if len(held) > 1 and not told:
+            left, right = np.triu_indices(len(held), 1)
+            yield _ends([held[x] for x in left], [held[y] for y in right])
 
     for batch in batches:
-        keys, h = batch.column("key").to_numpy(), batch.column("h").to_pylist()
-        cuts = np.flatnonzero(np.diff(keys)) + 1
+        keys, parts, h = batch.column("key").to_numpy(), batch.column("part").to_numpy(), batch.column("h").to_pylist()
+        cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(parts) != 0)) + 1
         for s, e in zip([0, *cuts], [*cuts, len(keys)]):
             if s == e:
                 continue
-            if keys[s] != held_key:
-                if len(held) > 1:
-                    yield from flush()
-                held_key, held = int(keys[s]), []
-            held += h[s:e]
-    if len(held) > 1:
-        yield from flush()
+            if (keys[s], parts[s]) != held_key:
+                yield from close()
+                held_key, held, told = (keys[s], parts[s]), [], parts[s] >= 0
+            for t in range(s, e, 8192):
+                fresh, before = h[t:min(e, t + 8192)], len(held)
+                held = held + fresh
+                if not told and len(held) <= small:
+                    continue
+                # What was held before the bucket turned out to be crowded has not been told yet.
+                seen, told = before if told else 0, True
+                yield _told(held[seen:], [None] * (len(held) - seen), [int(keys[s])] * (len(held) - seen))
+                ends = [(held[x], held[y]) for y in range(seen, len(held)) for x in range(max(0, y - NEIGHBOURS), y)]
+                yield _ends([x for x, _ in ends], [y for _, y in ends])
+                held = held[-NEIGHBOURS:]
+    yield from close()
+
+
+def _ends(left: list, right: list) -> pa.RecordBatch:
+    return _told([min(e) for e in zip(left, right)], [max(e) for e in zip(left, right)], [None] * len(left))
 
 
 def _told(a: list, b: list, key: list) -> pa.RecordBatch:
@@ -255,8 +258,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     paragraphs; rows without id are left out. Documents with a repeated id are taken for one text each row, and their
     lines for copies of one another if they are.
 
-    All pairs of a bucket of up to ``small`` classes are verified. In a crowded bucket each class is compared with its
-    next eight, in an order that differs from band to band. If that leaves several components, the classes of the
+    All pairs of a bucket of up to ``small`` classes are verified. In a crowded bucket, or a part of it of about ``block``,
+    each class is compared with its next eight, in an order that differs from band to band. If that leaves several components, the classes of the
     bucket are cut into blocks of about ``block``, and each two blocks are compared by an index of the shingles, which
     makes at most one row for each class and component. So no link between components is lost.
     """
@@ -265,7 +268,12 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = store(lines.groupBy("h").agg(F.min(F.struct("id", "number", "start", "end")).alias("rep"), F.any_value("bands").alias("bands"),
                                            F.count("*").alias("n")), "classes")
     keys = classes.select(F.posexplode("bands").alias("band", "key"), "h")
-    dealt = keys.select("key", "h", F.xxhash64("band", "h").alias("o")).repartition("key").sortWithinPartitions("key", "o")
+    # A bucket of more than a block is cut into parts; the cells of its blocks join what lies in different parts.
+    sizes = store(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "sizes")
+    order = F.xxhash64("band", "h")
+    part = F.when(F.col("n").isNull(), -1).otherwise(F.pmod(F.xxhash64("h"), F.floor((F.col("n") - 1) / block) + 1)).cast("int")
+    dealt = (keys.join(sizes, "key", "left").select("key", part.alias("part"), "h", order.alias("o"))
+             .repartition("key", "part").sortWithinPartitions("key", "part", "o"))
     told = store(dealt.mapInArrow(lambda b: _pairs(b, small), "a binary, b binary, key bigint"), "buckets")
     pairs = told.filter("key is null and a != b").select("a", "b").distinct()
     crowded = told.filter("key is not null").select("key", F.col("a").alias("h"))
