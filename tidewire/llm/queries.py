@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import (decontaminate, embeddings, lattice, paragraphs, passages, pii, quality, secrets, simhash, toxicity,
-                          urlfilter)
+from tidewire.llm import (decontaminate, embeddings, lattice, paragraphs, passages, pii, quality, secrets, simhash, spelling,
+                          toxicity, urlfilter)
 from tidewire.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
     return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", "predicted", "difference")
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
