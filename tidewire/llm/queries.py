@@ -5,13 +5,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import (decontaminate, embeddings, lattice, paragraphs, passages, pii, quality, secrets, simhash, spelling,
-                          toxicity, urlfilter)
+from tidewire.llm import (decontaminate, embeddings, lattice, paragraphs, passages, pii, prefixtrie, quality, secrets, simhash,
+                          spelling, toxicity, urlfilter, vectortree)
 from tidewire.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: The checksum of a text of ASCII letters and Latin-1 letters in DuckDB, which has no such function.
+CRC_TABLE = """crc_table AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t)"""
+
+
+def crc32_sql(text: str) -> str:
+    """``text`` is an expression beside ``crc_table``; its characters are below U+0100."""
+    octets = (f"flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] "
+              "ELSE [(192 + (unicode(x) >> 6))::BIGINT, (128 + (unicode(x) & 63))::BIGINT] END))")
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {octets}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])))"
+
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 LISTED_HOST = "(spam|pills|casino|adult)"
 
@@ -116,3 +127,74 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_spelling"] = rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT doc_id, word, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all("text", '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word
+    FROM documents) GROUP BY ALL),
+checked AS (SELECT word, n, {crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || word")} AS h FROM runs, crc_table WHERE length(word) >= 5),
+spelled AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(word, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word, n FROM checked),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS MATERIALIZED (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word != b.word
+  UNION
+  SELECT word, rest FROM cuts SEMI JOIN (SELECT word AS rest FROM words) USING (rest)
+  UNION
+  SELECT rest, word FROM cuts SEMI JOIN (SELECT word AS rest FROM words) USING (rest)),
+found AS (SELECT p.word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM pairs p JOIN words w ON w.word = p.near GROUP BY p.word),
+formed AS MATERIALIZED (
+  SELECT word, CASE WHEN near_n >= 2 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN found USING (word)),
+chain AS (
+  SELECT word, form, word AS root FROM formed
+  UNION ALL
+  SELECT c.word, f.form, c.form FROM chain c JOIN formed f ON f.word = c.form),
+ends AS (SELECT word, root FROM chain WHERE form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+
+@query
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectortree.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"), family=20)
+
+
+ORACLES["op13_prefix_trie"] = rf"""
+WITH {CRC_TABLE},
+base AS MATERIALIZED (
+  SELECT conv_id AS c, md5(length(r) || ':' || r || s) AS digest, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, md5(length(r) || ':' || r || s)) AS pos
+  FROM (SELECT *, coalesce(role, '') AS r, coalesce("text", '') AS s FROM conversations WHERE conv_id IS NOT NULL)),
+members AS MATERIALIZED (
+  SELECT c, {crc32_sql('c::VARCHAR')} % 4 AS h
+  FROM (SELECT DISTINCT c FROM base), crc_table),
+rebuilt AS (
+  SELECT m.c, 0 AS src, pos, digest, words FROM members m JOIN base b ON b.c = m.c - m.c % 20 AND pos <= h
+  UNION ALL
+  SELECT m.c, 1, pos, digest, words FROM members m JOIN base b ON b.c = m.c AND pos > h),
+placed AS MATERIALIZED (
+  SELECT c, row_number() OVER w AS depth, string_agg(digest, '') OVER w AS path, words FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY src, pos)
+  UNION ALL
+  SELECT c, 0, '', 0 FROM members),
+nodes AS MATERIALIZED (
+  SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM placed GROUP BY path, depth),
+tops AS (SELECT c, path FROM placed QUALIFY row_number() OVER (PARTITION BY c ORDER BY depth DESC) = 1),
+ends AS (SELECT path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS sha FROM tops GROUP BY path),
+kids AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+held AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (path)),
+below AS (
+  SELECT left(path, 32 * d) AS path, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM held) GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM held n JOIN below USING (path) LEFT JOIN ends USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, 32 * (n.depth - 1))
+"""
