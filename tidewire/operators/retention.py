@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.clock import (
     LOCAL_ZONE, at, date_text, is_csv_date, log_stamp, log_timestamp, normalize_sheet_date, to_local)
 from tidewire.operators.scale import join_dimension, number_rows, settle
-from tidewire.sources.sheets import KEYS, read_sheet
+from tidewire.sources.sheets import KEYS, date_position, read_sheet
 
 FAST_FORWARD_AFTER = 5
 
@@ -25,6 +25,14 @@ def retain_sheet(sheet: DataFrame, now, days: int, zone: str = LOCAL_ZONE) -> Da
     return header.unionByName(rows.filter(sheet_keep(F.col("date_cell"), now, days, zone)).select(*sheet.columns))
 
 
+def mark_sheet(rows: DataFrame, now, days: int, header: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
+    """Adds ``keep`` to rows of sheets, some or all of them; ``header`` holds the first row of each sheet."""
+    places = header.select(*KEYS, date_position(F.col("cells")).cast("int").alias("_place"))
+    cell = F.when(F.col("_place") > 0, F.try_element_at("cells", F.col("_place")))
+    return join_dimension(rows, settle(places), KEYS, "left").select(
+        *rows.columns, ((F.col("row_index") == 1) | sheet_keep(cell, now, days, zone)).alias("keep"))
+
+
 def csv_keep(date: Column, now, days: int) -> Column:
     """Keep when the day's midnight is later than ``days`` days ago, so the cutoff day itself goes.
 
