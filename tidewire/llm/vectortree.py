@@ -2,7 +2,8 @@
 
 The tree is fitted on a bounded sample; every vector is filed under the leaf that it descends to. A query walks the
 tree best bin first: a priority queue holds the branches passed by, the nearest goes next, and leaves are visited until
-the number calibrated against brute force is reached. The vectors of visited leaves are scored exactly.
+the number calibrated against brute force is reached. The vectors of visited leaves are scored exactly. Neighbouring
+leaves lie in one shard, and a query is sent to a shard once, with the leaves that it visits there.
 """
 
 import heapq
@@ -20,11 +21,11 @@ from tidewire.session import ship_package
 SAMPLE = 32_768
 QUERIES = 256
 BRANCH = 8
-PER_LEAF = 96
+PER_LEAF = 192
 LEAST_FITTED = 8
-RECALL = 0.98
-BLOCK = 2048
-CHUNK = 512
+RECALL = 0.96
+SHARD = 4096
+CHUNK = 256
 RESULT = "query_id bigint, rank int, vec_id bigint, score double"
 
 
@@ -176,83 +177,118 @@ def calibrate(trees: dict[int, Tree], asked: dict[int, np.ndarray], truth: list,
     return min(visits, most)
 
 
-FILED = "size int, leaf bigint, probe int, key binary, ids array<bigint>, vec binary"
+def shards_of(sizes: np.ndarray, most: int) -> np.ndarray:
+    """Shard of each leaf: runs of neighbouring leaves that hold some ``most`` vectors."""
+    return np.maximum(np.cumsum(sizes) - 1, 0) // most
 
 
-def _filed(batches: Iterator[pa.RecordBatch], kind: str, trees: dict[int, Tree]) -> Iterator[pa.RecordBatch]:
+FILED = "size int, shard bigint, probe int, key binary, ids array<bigint>, leaves binary, vec binary"
+
+
+def _filed(batches: Iterator[pa.RecordBatch], kind: str, trees: dict[int, Tree], shards: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vecs = batch.column("vec").to_pylist()
-        size, leaf = np.zeros(len(vecs), np.int32), np.zeros(len(vecs), np.int64)
+        size, leaf, shard = np.zeros(len(vecs), np.int32), np.zeros(len(vecs), "<i4"), np.zeros(len(vecs), np.int64)
         for n, at in _by_length(vecs):
             size[at] = n
             if n in trees:
                 leaf[at] = trees[n].file(_unit(_rows([vecs[i] for i in at], kind)))
-        yield pa.record_batch({"size": size, "leaf": leaf, "probe": pa.array(np.zeros(len(vecs), np.int32)), "key": batch.column("key"),
-                               "ids": batch.column("ids"), "vec": batch.column("vec")})
+                shard[at] = shards[n][leaf[at]]
+        yield pa.record_batch({"size": size, "shard": shard, "probe": pa.array(np.zeros(len(vecs), np.int32)), "key": batch.column("key"),
+                               "ids": batch.column("ids"), "leaves": pa.array([x.tobytes() for x in leaf], pa.binary()), "vec": batch.column("vec")})
 
 
-def _probes(batches: Iterator[pa.RecordBatch], kind: str, trees: dict[int, Tree], sizes: dict[int, np.ndarray], visits: int, least: int) -> Iterator[pa.RecordBatch]:
+def _probes(batches: Iterator[pa.RecordBatch], kind: str, trees: dict[int, Tree], sizes: dict[int, np.ndarray], shards: dict[int, np.ndarray],
+            visits: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Each query once for every shard that it visits, with the leaves it visits there."""
     for batch in batches:
         vecs, keys, rows = batch.column("vec").to_pylist(), batch.column("key").to_pylist(), []
 
         def out() -> pa.RecordBatch:
-            size, leaf, at = zip(*rows) if rows else ((), (), ())
-            return pa.record_batch({"size": pa.array(size, pa.int32()), "leaf": pa.array(leaf, pa.int64()),
+            size, shard, at, leaves = zip(*rows) if rows else ((), (), (), ())
+            return pa.record_batch({"size": pa.array(size, pa.int32()), "shard": pa.array(shard, pa.int64()),
                                     "probe": pa.array(np.ones(len(rows), np.int32)), "key": pa.array([keys[i] for i in at], pa.binary()),
-                                    "ids": pa.nulls(len(rows), pa.list_(pa.int64())), "vec": pa.array([vecs[i] for i in at], pa.binary())})
+                                    "ids": pa.nulls(len(rows), pa.list_(pa.int64())), "leaves": pa.array(leaves, pa.binary()),
+                                    "vec": pa.array([vecs[i] for i in at], pa.binary())})
 
         for n, at in _by_length(vecs):
             x = _unit(_rows([vecs[i] for i in at], kind)) if n in trees else None
             for k, i in enumerate(at.tolist()):
-                rows += [(n, leaf, i) for leaf in (trees[n].visit(x[k], visits, sizes[n], least) if n in trees else [0])]
+                leaves = np.sort(trees[n].visit(x[k], visits, sizes[n], least)) if n in trees else np.zeros(1, int)
+                own = shards[n][leaves] if n in trees else leaves
+                for part in np.split(np.arange(len(leaves)), np.flatnonzero(np.diff(own)) + 1):
+                    rows.append((n, int(own[part[0]]), i, leaves[part].astype("<i4").tobytes()))
                 if len(rows) > 8192:
                     yield out()
                     rows = []
         yield out()
 
 
-def _searched(batches: Iterator[pa.RecordBatch], kind: str, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best (key, id, score) of each probe in each block of a leaf; probes stream past the filed vectors."""
-    now, vecs, lists, x, norms = None, [], [], None, None
-
-    def best(q: np.ndarray, key: bytes, approx: np.ndarray) -> Iterator[tuple]:
-        n = min(k, len(approx))
-        least = np.partition(approx, len(approx) - n)[len(approx) - n]
+class _Shard:
+    """The filed vectors of one block of a shard, against the queries that stream past."""
+
+    def __init__(self, kind: str, k: int) -> None:
+        self.kind, self.k, self.vecs, self.lists, self.leaves, self.x = kind, k, [], [], [], None
+
+    def file(self, part: pa.RecordBatch) -> None:
+        self.vecs += part.column("vec").to_pylist()
+        self.lists += part.column("ids").to_pylist()
+        self.leaves += part.column("leaves").to_pylist()
+
+    def _start(self) -> None:
+        leaf = np.frombuffer(b"".join(self.leaves), "<i4")
+        order = np.argsort(leaf, kind="stable")
+        self.x = _rows([self.vecs[i] for i in order], self.kind)
+        self.lists = [self.lists[i] for i in order]
+        self.norms = np.sqrt((self.x * self.x).sum(axis=1))
+        cuts = [0, *(np.flatnonzero(np.diff(leaf[order])) + 1).tolist(), len(order)]
+        self.at = {int(leaf[order[s]]): slice(s, e) for s, e in zip(cuts, cuts[1:])}
+        self.vecs = self.leaves = []
+
+    def search(self, part: pa.RecordBatch) -> Iterator[tuple]:
+        if self.x is None:
+            if not self.vecs:
+                return
+            self._start()
+        keys, wanted = part.column("key").to_pylist(), part.column("leaves").to_pylist()
+        q = _rows(part.column("vec").to_pylist(), self.kind)
+        unit, approx, visitors = _unit(q), np.full((len(q), len(self.x)), -3.0), {}
+        for r, leaves in enumerate(wanted):
+            for leaf in np.frombuffer(leaves, "<i4").tolist():
+                visitors.setdefault(leaf, []).append(r)
+        for leaf, rows in visitors.items():
+            if leaf in self.at:
+                own = self.at[leaf]
+                approx[np.array(rows), own] = unit[rows] @ self.x[own].T / self.norms[own]
+        for r in range(len(q)):
+            yield from self._best(q[r], keys[r], approx[r])
+
+    def _best(self, q: np.ndarray, key: bytes, approx: np.ndarray) -> Iterator[tuple]:
+        n = min(self.k, len(approx))
+        least = max(np.partition(approx, len(approx) - n)[len(approx) - n], -2.0)
         at = np.flatnonzero(approx >= least - 1e-9)
         # Scored pair by pair: a matrix product can round the same pair differently in another block.
-        score = (x[at] * q).sum(axis=1) / (norms[at] * np.sqrt((q * q).sum()))
-        found = sorted((-s, i) for s, a in zip(score.tolist(), at.tolist()) for i in lists[a])
-        return ((key, i, -s) for s, i in found[:k])
+        score = (self.x[at] * q).sum(axis=1) / (self.norms[at] * np.sqrt((q * q).sum()))
+        found = sorted((-s, i) for s, a in zip(score.tolist(), at.tolist()) for i in self.lists[a])
+        return ((key, i, -s) for s, i in found[:self.k])
 
+
+def _searched(batches: Iterator[pa.RecordBatch], kind: str, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best (key, id, score) of each query in each block of a shard."""
+    now, shard = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        parts = np.stack([batch.column(c).to_numpy() for c in ("size", "leaf", "block", "probe")], axis=1)
+        parts = np.stack([batch.column(c).to_numpy() for c in ("size", "shard", "block", "probe")], axis=1)
         cuts = np.flatnonzero((np.diff(parts, axis=0) != 0).any(axis=1)) + 1
-        rows: list[tuple] = []
         for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(parts)]):
             if now != tuple(parts[s, :3]):
-                now, vecs, lists, x = tuple(parts[s, :3]), [], [], None
-            part = batch.slice(s, e - s)
+                now, shard = tuple(parts[s, :3]), _Shard(kind, k)
             if parts[s, 3] == 0:
-                vecs += part.column("vec").to_pylist()
-                lists += part.column("ids").to_pylist()
+                shard.file(batch.slice(s, e - s))
                 continue
-            if not vecs:
-                continue
-            if x is None:
-                x = _rows(vecs, kind)
-                norms = np.sqrt((x * x).sum(axis=1))
-            keys = part.column("key").to_pylist()
-            for c in range(0, e - s, CHUNK):
-                q = _rows(part.column("vec").slice(c, CHUNK).to_pylist(), kind)
-                approx = (_unit(q) @ x.T) / norms
-                for r in range(len(q)):
-                    rows += best(q[r], keys[c + r], approx[r])
-                if len(rows) > 32_768:
-                    yield _found(rows)
-                    rows = []
-        yield _found(rows)
+            for c in range(s, e, CHUNK):
+                yield _found(list(shard.search(batch.slice(c, min(CHUNK, e - c)))))
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
@@ -261,7 +297,7 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE,
-            recall: float = RECALL, per_leaf: int = PER_LEAF, block: int = BLOCK) -> DataFrame:
+            recall: float = RECALL, per_leaf: int = PER_LEAF, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest by cosine of each row whose id is divisible by ``every``.
 
     A null, empty or zero vector, one with null or non-finite components and a row without id take no part; vectors
@@ -271,13 +307,14 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
 
     The tree is fitted on at most ``sample`` vectors, so beyond some ``sample / 8`` leaves the leaves grow with the
     table. The number of leaf visits is the least that holds ``recall`` of the true neighbours of ``QUERIES`` queries,
-    found by brute force over all vectors. Leaves of more than ``block`` vectors are split, and a task holds one block.
+    found by brute force over all vectors. Shards have some ``shard`` vectors; one with twice as many is split into
+    blocks, and a task holds one block.
     """
     ship_package()
     spark = vectors.sparkSession
     kind = "<f4" if dict(vectors.dtypes)[vec_col] == "array<float>" else "<f8"
-    held = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast(f"array<{'float' if kind == '<f4' else 'double'}>").alias("v"))
-    packed = held.mapInArrow(lambda batches: _pack(batches, kind), "id bigint, vec binary").withColumn("key", F.unhex(F.md5("vec")))
+    given = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast(f"array<{'float' if kind == '<f4' else 'double'}>").alias("v"))
+    packed = given.mapInArrow(lambda batches: _pack(batches, kind), "id bigint, vec binary").withColumn("key", F.unhex(F.md5("vec")))
     # Ids first, without vectors: a group of copies is met by its smallest ids only.
     named = store(packed.select("key", "id").distinct(), "named")
     lowest = Window.partitionBy("key").orderBy("id")
@@ -307,13 +344,17 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     truth = found.filter("q >= 0").withColumn("place", F.row_number().over(closest)).filter(F.col("place").between(2, k + 1)).collect()
     visits = calibrate(trees, asked, truth, recall) if truth else 1
 
-    filed = classes.select("key", "ids", "vec").mapInArrow(lambda b: _filed(b, kind, trees), FILED)
-    probes = queries.select("key", "vec").mapInArrow(lambda b: _probes(b, kind, trees, sizes, visits, k + 1), FILED)
-    blocks = counts.select("size", "leaf", (F.floor((F.col("n") - 1) / block) + 1).cast("int").alias("blocks"))
-    spread = join_dimension(filed.unionByName(probes), blocks, ["size", "leaf"], "inner").withColumn("block", F.explode(
+    shards = {size: shards_of(n, shard) for size, n in sizes.items()}
+    filed = classes.select("key", "ids", "vec").mapInArrow(lambda b: _filed(b, kind, trees, shards), FILED)
+    probes = queries.select("key", "vec").mapInArrow(lambda b: _probes(b, kind, trees, sizes, shards, visits, k + 1), FILED)
+    full = [(size, int(c), int(n)) for size, of in shards.items() for c, n in enumerate(np.bincount(of, sizes[size]))]
+    held = counts.filter(~F.col("size").isin(list(trees))).select("size", F.col("leaf").alias("shard"), "n").unionByName(
+        spark.createDataFrame(full, "size int, shard bigint, n bigint"))  # at most a row for each leaf
+    blocks = held.select("size", "shard", (F.floor((F.col("n") - 1) / (2 * shard)) + 1).cast("int").alias("blocks"))
+    spread = join_dimension(filed.unionByName(probes), blocks, ["size", "shard"], "inner").withColumn("block", F.explode(
         F.when(F.col("probe") == 0, F.array(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    dealt = (spread.select("size", "leaf", "block", "probe", "key", "ids", "vec").repartition("size", "leaf", "block")
-             .sortWithinPartitions("size", "leaf", "block", "probe"))
+    dealt = (spread.select("size", "shard", "block", "probe", "key", "ids", "leaves", "vec").repartition("size", "shard", "block")
+             .sortWithinPartitions("size", "shard", "block", "probe"))
     scored = dealt.mapInArrow(lambda b: _searched(b, kind, k + 1), "key binary, id bigint, score double")
     top = Window.partitionBy("key").orderBy(F.desc("score"), "id")
     near = scored.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= k + 1).drop("place")
