@@ -1,9 +1,12 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewire import schemas
-from tidewire.streaming import pipeline, store
+from tidewire.operators.summary import daily_stream
+from tidewire.streaming import keyed, metrics, pipeline, store
 
 NOW = datetime(2025, 11, 10, 12)
 
@@ -45,11 +48,13 @@ def test_stream_in_steps(frame, spark, setup, tmp_path):
 
     write(frame, inbox, [raw(1, "storm"), raw(2, "calm"), raw(2, "calm"), raw(3, ""), raw(4, "", media=("photo", None, None, None)), raw(9, "storm", "@lost")])
     run()
-    assert ids(spark, f"{s.root}/archive") == [1, 2] and ids(spark, f"{s.root}/outbox", "message_id") == [1]
+    # A channel that no country lists is archived as unknown, and goes to no feed and no alert.
+    assert ids(spark, f"{s.root}/archive") == [1, 2, 9] and ids(spark, f"{s.root}/outbox", "message_id") == [1]
+    assert ids(spark, f"{s.root}/archive/batch_id=0/country_code=unknown") == [9]
     assert ids(spark, f"{s.root}/ledger", "message_id") == [1, 2, 4, 9]
     write(frame, inbox, [raw(2, "again"), raw(5, "storm"), raw(6, "late", minutes=300)])
     q = run()
-    assert ids(spark, f"{s.root}/archive") == [1, 2, 5]
+    assert ids(spark, f"{s.root}/archive") == [1, 2, 5, 9]
     tracker = store.read_state(spark, f"{s.root}/tracker", 99, schemas.TRACKER)
     assert {r["channel"]: r["last_id"] for r in tracker.collect()} == {"@a": 5, "@lost": 9}
     feed = {(r["sheet"], r["row_index"]) for r in spark.read.parquet(f"{s.root}/feed").collect()}
@@ -101,14 +106,131 @@ def test_late_messages_are_not_taken_for_repeats(frame, spark, tmp_path):
     assert ids(spark, str(tmp_path / "out"), "message_id") == list(range(9))
 
 
-def test_metrics_and_run_log_are_tables(frame, spark, setup):
+def test_the_run_log_is_a_table(frame, spark, setup):
     s = setup()
-    for n in range(2):
-        pipeline.metrics_batch(frame([raw(n, "storm"), raw(9, "")], schemas.RAW_MESSAGE), n, s.root)
-    assert [tuple(r) for r in spark.read.parquet(f"{s.root}/metrics").select("messages", "without_text").collect()] == [(2, 1)] * 2
     pipeline.process_batch(frame([raw(1, "storm"), raw(2, "", media=("photo", None, None, None))], schemas.RAW_MESSAGE), 0, s)
-    log = spark.read.parquet(f"{s.root}/run_log").first()
-    assert (log["status"], log["channels_checked"], log["messages_processed"], log["messages_skipped"]) == ("success", 2, 1, 1)
+    log = pipeline.read_run_log(spark, s.root).first()
+    assert (log["status"], log["channels_checked"], log["messages_processed"], log["messages_skipped"], log["sink"]) == ("success", 2, 1, 1, None)
+
+
+def test_every_failed_attempt_leaves_one_record(frame, spark, setup, monkeypatch):
+    def broken(df, batch_id):
+        raise ValueError("Timeout while sending")
+
+    s = setup(handler=broken)
+    batch = frame([raw(1, "storm")], schemas.RAW_MESSAGE)
+    for _ in range(2):
+        with pytest.raises(pipeline.BatchFailed):
+            pipeline.process_batch(batch, 0, s)
+    s.handler = None
+    with monkeypatch.context() as m:
+        m.setattr(pipeline, "enrich", lambda *a: (_ for _ in ()).throw(KeyError("no model")))
+        with pytest.raises(KeyError):
+            pipeline.process_batch(batch, 0, s)
+    pipeline.process_batch(batch, 0, s)
+    pipeline.process_batch(batch, 0, s)  # a repeat of a success is still one record
+    log = sorted((r["status"], r["sink"] or "", r["attempt"] or 0, r["batch_id"]) for r in pipeline.read_run_log(spark, s.root).collect())
+    assert log == [("error", "batch", 3, 0), ("success", "", 0, 0), ("timeout", "handler", 1, 0), ("timeout", "handler", 2, 0)]
+
+
+def test_a_message_without_channel_is_named_by_its_chat(frame, spark, setup):
+    s = setup()
+    chat = (None, 77, None)
+    rows = [(1, None, NOW, "storm", None, chat, None, None, None, None), (2, None, NOW, "calm", None, chat, None, None, None, None)]
+    pipeline.process_batch(frame(rows, schemas.RAW_MESSAGE), 0, s)
+    got = spark.read.parquet(f"{s.root}/archive").select("Channel", "country_code").distinct().collect()
+    assert [tuple(r) for r in got] == [("Channel_77", "unknown")]
+
+
+def test_the_first_batch_again_reads_the_archive_that_it_found(frame, spark, setup):
+    s = setup()
+    (frame([("@a", "2", "x")], "Channel string, Message_ID string, country_code string").withColumn("batch_id", F.lit(-1))
+     .withColumn("category", F.lit("trivial")).write.partitionBy("batch_id", "country_code", "category").parquet(f"{s.root}/archive"))
+    batch = frame([raw(i, "storm", minutes=60) for i in range(1, 6)], schemas.RAW_MESSAGE)  # too old for a channel without last id
+    for _ in range(2):
+        pipeline.process_batch(batch, 0, s)
+        assert ids(spark, f"{s.root}/archive/batch_id=0") == [3, 4, 5]
+
+
+def test_late_rows_are_left_out_and_counted(frame, spark, tmp_path):
+    inbox, rows = str(tmp_path / "inbox"), "date timestamp_ntz, channel string, is_significant boolean, is_error boolean"
+    table = metrics.ProgressTable(spark, str(tmp_path / "progress"))
+    spark.streams.addListener(table)
+
+    def run(*messages):
+        frame([(NOW - timedelta(days=d), c, True, False) for d, c in messages], rows).coalesce(1).write.mode("append").parquet(inbox)
+        q = (daily_stream(spark.readStream.schema(rows).parquet(inbox), "1 hour").writeStream.outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True)
+             .format("parquet").option("path", str(tmp_path / "out")).start())
+        q.awaitTermination()
+        assert table.wait(q)
+
+    try:
+        run((3, "@a"), (3, "@b"), (3, "@a"), (2, "@a"), (0, "@a"))
+        run((3, "@late"), (0, "@b"), (-2, "@a"))
+    finally:
+        spark.streams.removeListener(table)
+    got = {r["day"]: (r["total_messages"], r["channels_monitored"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"2025-11-07": (3, 2), "2025-11-08": (1, 1), "2025-11-10": (2, 2)}
+    progress = metrics.read_progress(spark, str(tmp_path / "progress"))
+    assert progress.agg(F.sum("late_rows"), F.sum("rows")).first()[:] == (1, 8)
+    assert metrics.read_ends(spark, str(tmp_path / "progress")).count() == 2
+
+
+def test_the_end_of_a_failed_query_is_kept(frame, spark, tmp_path):
+    inbox = str(tmp_path / "inbox")
+    write(frame, inbox, [raw(1, "storm")])
+    table = metrics.ProgressTable(spark, str(tmp_path / "progress"))
+    spark.streams.addListener(table)
+    try:
+        q = (pipeline.intake_metrics(spark.readStream.schema(schemas.RAW_MESSAGE).parquet(inbox)).filter("assert_true(message_id > 5) is null")
+             .writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).format("noop").start())
+        with pytest.raises(Exception):
+            q.awaitTermination()
+        assert table.wait(q)
+    finally:
+        spark.streams.removeListener(table)
+    assert metrics.read_ends(spark, str(tmp_path / "progress")).first()["error"]
+
+
+def test_counters_survive_a_restart_and_expire(frame, spark, tmp_path):
+    inbox, root, schema = str(tmp_path / "inbox"), str(tmp_path / "state"), "source string, n int"
+
+    def run(ttl, *rows):
+        frame(list(rows), schema).coalesce(1).write.mode("append").parquet(inbox)
+        keyed.start_keyed(keyed.throttle_stream(spark.readStream.schema(schema).parquet(inbox), 3, ttl=ttl), root).awaitTermination()
+        return sorted((r["source"], r["error_number"]) for r in spark.read.parquet(f"{root}/out").collect())
+
+    assert run(600, *[("x", k) for k in range(4)], ("y", 0), (None, 0)) == [("x", 3)]
+    assert run(600, ("x", 9), ("x", 10), ("y", 1), ("y", 2)) == [("x", 3), ("x", 6), ("y", 3)]
+
+
+def test_an_expired_counter_begins_again(frame, spark, tmp_path):
+    inbox, root, schema = str(tmp_path / "inbox"), str(tmp_path / "state"), "source string, n int"
+
+    def run(*rows):
+        frame(list(rows), schema).coalesce(1).write.mode("append").parquet(inbox)
+        keyed.start_keyed(keyed.throttle_stream(spark.readStream.schema(schema).parquet(inbox), 3, ttl=1), root).awaitTermination()
+        return sorted(r["error_number"] for r in spark.read.parquet(f"{root}/out").collect())
+
+    run(("x", 1), ("x", 2))
+    time.sleep(1.5)
+    assert run(("x", 3)) == []
+    time.sleep(1.5)
+    assert run(("x", 4), ("x", 5), ("x", 6)) == [3]
+
+
+def test_marks_move_with_the_highest_message(frame, spark, tmp_path):
+    inbox, root, schema = str(tmp_path / "inbox"), str(tmp_path / "state"), "channel string, message_id bigint"
+    seeds = frame([("@a", 5), ("@a", 3), ("@b", None)], "channel string, last_id bigint")
+
+    def run(*rows):
+        frame(list(rows), schema).coalesce(1).write.mode("append").parquet(inbox)
+        keyed.start_keyed(keyed.newer_stream(spark.readStream.schema(schema).parquet(inbox), seeds), root).awaitTermination()
+        return sorted((r["channel"], r["message_id"]) for r in spark.read.parquet(f"{root}/out").collect())
+
+    assert run(("@a", 9), ("@a", 4), ("@a", 6), ("@b", 1), ("@c", 2), ("@c", None)) == [("@a", 6), ("@a", 9), ("@b", 1), ("@c", 2)]
+    assert run(("@a", 7), ("@a", 10), ("@b", 1), ("@c", 1)) == [("@a", 6), ("@a", 9), ("@a", 10), ("@b", 1), ("@c", 2)]
 
 
 def test_a_failed_sink_does_not_stop_the_others(frame, spark, setup):

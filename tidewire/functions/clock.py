@@ -94,3 +94,15 @@ def has_log_stamp(line: Column) -> Column:
 def log_timestamp(line: Column) -> Column:
     """The local wall clock at the start of a log line; null if there is none or it is impossible."""
     return log_stamp(line).try_cast("timestamp_ntz")
+
+
+def utc_instant(wall: Column) -> Column:
+    """A UTC wall clock (``timestamp_ntz``) as an instant, whatever the session zone; watermarks need one."""
+    second = F.extract(F.lit("SECOND"), wall)
+    minutes = (F.unix_date(wall.cast("date")).cast("bigint") * 24 + F.hour(wall)) * 60 + F.minute(wall)
+    return F.timestamp_micros(minutes * 60_000_000 + (second * 1_000_000).cast("bigint"))
+
+
+def utc_day(instant: Column) -> Column:
+    """The UTC day of an instant as text."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86_400).cast("int")).cast("string")

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.clock import at, date_text
+from tidewire.functions.clock import at, date_text, utc_day, utc_instant
 from tidewire.functions.fixed import MARKERS, RESOURCE_THRESHOLDS
 from tidewire.functions.lookups import delivery_outcome, resource_excess, retry_delay
 from tidewire.operators.scale import join_dimension, number_rows
@@ -55,10 +55,10 @@ def run_log(marked: DataFrame, now, channels: DataFrame | None = None) -> DataFr
     ``marked`` has ``reason`` and a boolean ``empty``. All of ``channels`` count as checked, with or without
     messages; without that table only those with messages do.
     """
-    taken = F.col("reason") == "accepted"
+    taken, status = F.col("reason") == "accepted", message_status(F.col("empty"))
     counts = marked.agg(
-        F.count_if(taken & ~F.col("empty")).alias("messages_processed"),
-        F.count_if(taken & F.col("empty")).alias("messages_skipped"),
+        F.count_if(taken & (status == "success")).alias("messages_processed"),
+        F.count_if(taken & (status == "skipped_empty")).alias("messages_skipped"),
         F.count_distinct("channel").alias("_channels"))
     checked = F.col("_channels") if channels is None else channels.agg(F.count_distinct("channel")).scalar()
     return counts.select(
@@ -83,6 +83,32 @@ def failure_status(error: Column) -> Column:
         .otherwise("error"))
 
 
+def failure_log(failed: DataFrame, now, channels: DataFrame) -> DataFrame:
+    """The status record of each failed run in ``failed`` (sink, error, and the text that decides the status)."""
+    return failed.select(
+        failure_status(F.col("_first")).alias("status"), F.date_format(at(now), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+        channels.agg(F.count_distinct("channel")).scalar().alias("channels_checked"), F.lit(0).cast("bigint").alias("messages_processed"),
+        F.lit(0).cast("bigint").alias("messages_skipped"), "sink", "error")
+
+
+def daily_stream(stream: DataFrame, delay: str, ts: str = "date", significant: str = "is_significant", error: str = "is_error") -> DataFrame:
+    """``daily_summary`` on a stream: a day is told once, when the watermark (the newest message less ``delay``) has passed it.
+
+    Messages that come later than that are left out; Spark counts them, see ``ProgressTable``. Channels are counted
+    by a first window per channel, so that the state holds a row for a channel and day and no set of channels.
+    """
+    timed = stream.withColumn(ts, utc_instant(F.col(ts))) if dict(stream.dtypes)[ts] == "timestamp_ntz" else stream
+    per = (timed.withWatermark(ts, delay).groupBy(F.window(ts, "1 day"), "channel")
+           .agg(F.count("*").alias("total"), F.count_if(F.col(significant)).alias("yes"), F.count_if(F.col(error)).alias("bad")))
+    day = F.window(F.window_time("window"), "1 day")
+    totals = per.groupBy(day).agg(
+        F.sum("total").alias("total_messages"), F.sum("yes").alias("significant_messages"),
+        F.count("channel").alias("channels_monitored"), F.sum("bad").alias("errors_encountered"))
+    return totals.select(
+        utc_day(F.col("window.start")).alias("day"), "total_messages", "significant_messages", "channels_monitored", "errors_encountered",
+        success_rate(F.col("total_messages"), F.col("errors_encountered")).alias("success_rate"))
+
+
 def outbox_due(outbox: DataFrame, now, max_attempts: int = 5) -> DataFrame:
     """Deliveries whose last outcome asks for a retry, whose attempts are not used up, and whose
     waiting time has passed. ``attempts`` counts finished tries; a fresh row has 0."""

@@ -102,15 +102,6 @@ def stream_fan_out(spark, sf):
     return out
 
 
-@query("SELECT count(*) AS messages, count(*) FILTER (event_type IN ('view', 'error')) AS without_text FROM events")
-def stream_metrics(spark, sf):
-    """Counters of a stream, summed over the table that its batches write."""
-    root = shared_dir(spark, "stream_metrics")
-    pipeline.start_metrics(b.feed_of(_events(spark, sf)), root).awaitTermination()
-    return spark.read.schema("messages bigint, without_text bigint").parquet(f"{root}/metrics").agg(
-        F.sum("messages").alias("messages"), F.sum("without_text").alias("without_text"))
-
-
 @query("SELECT '@user' || user_id AS channel, event_id AS message_id FROM events")
 def stream_dedupe(spark, sf):
     """Every message sent twice and kept once."""

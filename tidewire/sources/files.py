@@ -68,13 +68,14 @@ class Files:
 
     def write_json(self, relative: str, value) -> None:
         """Written beside and renamed, so that a file by this name is whole."""
-        beside = self.path(f"{relative}.part")
-        out = self.fs.create(beside, True)
+        folder, _, name = relative.rpartition("/")
+        beside = f"{folder}/_{name}".lstrip("/")  # a name that readers pass over
+        out = self.fs.create(self.path(beside), True)
         try:
             out.write(bytearray(json.dumps(value).encode()))
         finally:
             out.close()
-        self.move(f"{relative}.part", relative)
+        self.move(beside, relative)
 
     def read_json(self, relative: str):
         source = self.fs.open(self.path(relative))

@@ -18,13 +18,15 @@ from tidewire.operators.project import next_row
 from tidewire.operators.providers import additional_criteria, ai_classify, translate
 from tidewire.operators.routing import route_country
 from tidewire.operators.sinks import admin_alert_rows, alert_rows, feed_rows, write_archive
-from tidewire.operators.summary import run_log
-from tidewire.sources.feeds import read_archive
+from tidewire.operators.summary import failure_log, run_log
+from tidewire.sources.feeds import channel_or_id, read_archive
 from tidewire.streaming import store
 
 FEED_STATE = "country_code string, sheet string, next_row bigint"
 ARCHIVE_STATE = "Channel string, country_code string, Message_ID bigint"
 ERROR_STATE = "source string, errors bigint"
+UNKNOWN = "unknown"
+RUN_LOG = "status string, timestamp string, channels_checked bigint, messages_processed bigint, messages_skipped bigint"
 
 
 def utc_now() -> datetime:
@@ -66,7 +68,9 @@ def max_archived(archive: DataFrame) -> DataFrame:
 
 def enrich(parsed: DataFrame, s: Settings, now) -> DataFrame:
     """Classification, model checks, translation and labels of parsed messages with text."""
-    named = processing_aliases(route_country(parsed, s.channels))
+    # Messages of channels that no country lists stay in the run, under the country that the archive has for them.
+    routed = route_country(parsed, s.channels, "left").withColumn("country_code", F.coalesce("country_code", F.lit(UNKNOWN)))
+    named = processing_aliases(routed)
     done = classify(named, s.keywords, keys=["Channel", "Message_ID", "country_code"],
                     rows=s.keyword_rows)
     if s.model is not None:
@@ -75,17 +79,52 @@ def enrich(parsed: DataFrame, s: Settings, now) -> DataFrame:
     return label(translate(done, s.countries, s.translator, s.service), now)
 
 
+class BatchFailed(RuntimeError):
+    """What failed in a batch, by sink."""
+
+    def __init__(self, batch_id: int, failures: dict[str, Exception]) -> None:
+        super().__init__(f"batch {batch_id}: " + "; ".join(f"{k}: {e}" for k, e in failures.items()))
+        self.failures = failures
+
+
 def process_batch(batch: DataFrame, batch_id: int, s: Settings) -> None:
     """One batch, end to end. Running it again for the same id, however late, gives the same tables.
 
     Every sink is tried even if another one fails. The failures are raised afterwards, so the batch
-    is repeated, and the ledger and the tracker move only when all sinks have it.
+    is repeated, and the ledger and the tracker move only when all sinks have it. Each failed attempt leaves one
+    record of its own; the record of a success is written last.
     """
     spark = batch.sparkSession
     now = store.batch_time(spark, f"{s.root}/clock", batch_id, s.clock)
     # Streams switch adaptive execution off. The joins and writes of a batch keep no state and need it.
     with adaptive(spark):
-        _process(spark, batch, batch_id, s, now)
+        try:
+            _process(spark, batch, batch_id, s, now)
+        except Exception as error:
+            failures = error.failures if isinstance(error, BatchFailed) else {"batch": error}
+            record_failure(spark, s, batch_id, failures)
+            raise
+
+
+def record_failure(spark: SparkSession, s: Settings, batch_id: int, failures: dict[str, Exception]) -> None:
+    """One row for a failed attempt: the sinks that failed, their errors and the status of the first."""
+    folder = f"{s.root}/run_failures/batch_id={batch_id}"
+    attempt = len(store.children(spark, folder)) + 1
+    texts = [f"{sink}: {error}" for sink, error in failures.items()]
+    row = spark.createDataFrame([(", ".join(failures), "; ".join(texts), str(next(iter(failures.values()))))],
+                                "sink string, error string, _first string")
+    (failure_log(row, s.clock(), s.channels).coalesce(1).write.mode("overwrite").parquet(f"{folder}/attempt={attempt}"))
+
+
+def read_run_log(spark: SparkSession, root: str) -> DataFrame:
+    """Records of all runs, successful and failed: one for each success, one for each failed attempt."""
+    frames = [spark.read.schema(schema).option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
+              for name, schema in (("run_log", RUN_LOG), ("run_failures", f"{RUN_LOG}, sink string, error string, attempt int"))
+              if store.children(spark, f"{root}/{name}")]
+    out = spark.createDataFrame([], f"{RUN_LOG}, batch_id int, sink string, error string, attempt int")
+    for frame in frames:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out
 
 
 @contextmanager
@@ -102,13 +141,13 @@ def _process(spark: SparkSession, batch: DataFrame, batch_id: int, s: Settings,
     tracker = store.read_state(spark, f"{s.root}/tracker", batch_id, schemas.TRACKER)
     ledger = store.read_ledger(spark, f"{s.root}/ledger", batch_id, now)
     archived = store.read_state(spark, f"{s.root}/archive_ids", batch_id, ARCHIVE_STATE)
-    if not store.versions(spark, f"{s.root}/archive_ids"):
+    if not any(v < batch_id for v in store.versions(spark, f"{s.root}/archive_ids")):  # a rerun does not see its own
         archive = read_archive(spark, f"{s.root}/archive", s.archive_format)
         if "batch_id" in archive.columns:
             archive = archive.filter(F.col("batch_id") < batch_id)  # not what a failed run of this batch left
         archived = max_archived(archive)
     last_ids = ingest.resolve_last_id(s.channels, tracker, archived, now)
-    marked = ingest.mark_fetch(ingest.first_per_key(batch), last_ids, ledger, now, s.limit, s.cap, s.interval)
+    marked = ingest.mark_fetch(ingest.first_per_key(named_channels(batch)), last_ids, ledger, now, s.limit, s.cap, s.interval)
     marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
     taken = ingest.accepted(marked)
     parsed = parse_messages(taken, now)
@@ -133,9 +172,6 @@ def _process(spark: SparkSession, batch: DataFrame, batch_id: int, s: Settings,
         "archive": lambda: write_archive(records, f"{s.root}/archive/{here}", s.archive_format, mode="overwrite"),
         "fetch_log": lambda: ingest.fetch_summary(marked).withColumn("run_at", ingest.at(now))
         .write.mode("overwrite").parquet(f"{s.root}/fetch_log/{here}"),
-        "run_log": lambda: run_log(
-            marked.withColumn("empty", append_webpage_url(F.col("text"), F.col("media")) == ""), now, s.channels)
-        .write.mode("overwrite").parquet(f"{s.root}/run_log/{here}"),
     }
     if s.handler is not None:
         sinks["handler"] = lambda: s.handler(records, batch_id)
@@ -151,30 +187,32 @@ def _process(spark: SparkSession, batch: DataFrame, batch_id: int, s: Settings,
                               f"{s.root}/archive_ids", batch_id)
             store.write_state(ingest.next_tracker(taken, tracker, now), f"{s.root}/tracker", batch_id)
             store.write_ledger(ingest.ledger_entries(taken, now), f"{s.root}/ledger", batch_id, now)
+            run_log(marked.withColumn("empty", append_webpage_url(F.col("text"), F.col("media")) == ""), now, s.channels).write.mode(
+                "overwrite").parquet(f"{s.root}/run_log/{here}")
             store.remove(spark, staged)
             store.drop_expired_hours(spark, f"{s.root}/ledger", now)
     finally:
         marked.unpersist()
     if failures:
-        raise RuntimeError(f"batch {batch_id}: " + "; ".join(f"{k}: {e}" for k, e in failures.items()))
+        raise BatchFailed(batch_id, failures)
+
+
+def named_channels(batch: DataFrame) -> DataFrame:
+    """A message without a channel name gets one made of its chat's id, where it has one."""
+    return batch.withColumn("channel", channel_or_id(F.col("channel"), F.col("from_id.channel_id")))
 
 
 def intake_metrics(stream: DataFrame, name: str = "intake") -> DataFrame:
-    """Counts per trigger, found in the query's progress under ``observedMetrics``."""
+    """Counts per trigger, found in the query's progress under ``observedMetrics``; ``metrics.ProgressTable`` keeps them."""
     return stream.observe(name, F.count(F.lit(1)).alias("messages"),
                           F.count_if(F.coalesce("text", F.lit("")) == "").alias("without_text"))
 
 
-def metrics_batch(batch: DataFrame, batch_id: int, root: str) -> None:
-    """The counts of one batch as a row of a table. A stream's own progress keeps its last 100 batches only."""
-    (batch.agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("without_text"))
-     .coalesce(1).write.mode("overwrite").parquet(f"{root}/metrics/batch_id={batch_id}"))
-
-
 def start_metrics(stream: DataFrame, root: str, every: str | None = None) -> StreamingQuery:
+    """Observe a stream that goes nowhere else."""
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
-    return (stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(**trigger)
-            .foreachBatch(lambda batch, batch_id: metrics_batch(batch, batch_id, root)).start())
+    return (intake_metrics(stream).writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(**trigger)
+            .format("noop").start())
 
 
 def start_ingest(stream: DataFrame, s: Settings, every: str | None = "240 seconds",

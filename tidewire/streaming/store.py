@@ -20,7 +20,7 @@ def _fs(spark: SparkSession, path: str):
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
 
 
-def _children(spark: SparkSession, path: str) -> list[str]:
+def children(spark: SparkSession, path: str) -> list[str]:
     fs, root = _fs(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
 
@@ -32,7 +32,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Finished versions of a small state table."""
-    names = [n for n in _children(spark, root) if n.startswith("v=")]
+    names = [n for n in children(spark, root) if n.startswith("v=")]
     fs, _ = _fs(spark, root)
     done = [n for n in names if fs.exists(_fs(spark, f"{root}/{n}/_SUCCESS")[1])]
     return sorted(int(n[2:]) for n in done)
@@ -67,7 +67,7 @@ def _hour(moment):
 
 def read_ledger(spark: SparkSession, root: str, before: int, now, ttl: int = STATE_TTL) -> DataFrame:
     """Ledger rows of earlier batches. Whole hours beyond ``ttl`` are pruned by partition."""
-    if not _children(spark, root):
+    if not children(spark, root):
         return spark.createDataFrame([], schemas.LEDGER)
     oldest = F.date_format(at(now) - F.expr(f"INTERVAL '{ttl}' SECOND"), "yyyyMMddHH").cast("bigint")
     return (spark.read.schema(schemas.LEDGER + ", hour bigint, v bigint").parquet(root)
@@ -84,7 +84,7 @@ def drop_expired_hours(spark: SparkSession, root: str, now, ttl: int = STATE_TTL
     """Delete ledger hours that are past ``ttl``; returns how many."""
     oldest = spark.range(1).select(
         F.date_format(at(now) - F.expr(f"INTERVAL '{ttl}' SECOND"), "yyyyMMddHH").cast("bigint")).first()[0]
-    stale = [n for n in _children(spark, root) if n.startswith("hour=") and int(n[5:]) < oldest]
+    stale = [n for n in children(spark, root) if n.startswith("hour=") and int(n[5:]) < oldest]
     for name in stale:
         remove(spark, f"{root}/{name}")
     return len(stale)
