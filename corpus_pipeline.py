@@ -1,8 +1,8 @@
 """The corpus pipeline: documents to token ids, each stage written and read again by the next one.
 
-Every stage but the last returns the columns of documents. Rows without doc_id pass the first stage and the masking;
-the stages that compare documents need an id and drop rows without one. Repeated rows of one doc_id are copies: the
-near-duplicate stage keeps one.
+Every stage but the last returns the columns of documents; other columns pass through all of them but the last. A row
+is decided by its own text, whatever its id: rows without id and rows that share one are kept, masked and encoded like
+any other. Null and empty texts are texts without words. No rows in, no rows out.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,15 +19,24 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    kept = simhash.simhash_components(docs).filter("id = component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near duplicates: the one with the smallest id; rows without id come after all others.
+
+    Rows are told apart by id and text, so a text that nothing else resembles stays, with a shared id or with none.
+    Repeated rows are copies. Texts without words resemble each other, so one of them stays.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.md5(F.coalesce("text", F.lit("")))))
+    groups = simhash.simhash_components(keyed, id_col="_key").select(F.col("id").alias("_key"), "component")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    first = keyed.select("_key", "doc_id").join(groups.distinct(), "_key").groupBy("component").agg(F.min(order).alias("first"))
+    kept = store(first.select("first._key"), "kept")
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def keep_unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a passage of a benchmark."""
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(store(leaks, "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    """Drop rows whose text holds a passage of a benchmark; texts without words hold none."""
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    leaks = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").select(F.col("id").alias("_key")).distinct()
+    return keyed.join(store(leaks, "leaks"), "_key", "left_anti").select(*docs.columns)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
