@@ -410,3 +410,29 @@ def test_held_out_accuracy(spark):
         pairs = [(r.predicted, told[r.id][field]) for r in scored.collect() if r.id in told]
         assert sum(p == y for p, y in pairs) > 0.985 * len(pairs)
         assert sum(p and y for p, y in pairs) > 0.92 * sum(y for _, y in pairs)
+
+
+@pytest.mark.parametrize("n, m, unit", [(30_000, 30_000, ["a"]), (20_000, 3_000, ["a", "b"]), (30_000, 30_000, None)])
+def test_repetitive_and_long_items_are_compared_in_linear_memory(n, m, unit):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    item = (unit * m)[:m] if unit else [f"w{k}" for k in rng.integers(0, 50_000, m)]
+    doc = (unit * n)[:n] if unit else item
+    seeds = decontaminate.Seeds.of([(1, " ".join(item))])
+    texts = [" ".join(doc), "x " + " ".join(doc[:30]), "x y"]
+    batch = pa.record_batch({"id": pa.array([5, 6, 7]), "text": pa.array(texts)})
+    tracemalloc.start()
+    found = [r for b in decontaminate._scan(iter([batch]), type("S", (), {"value": seeds}), 25, 0.8) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["id"], r["agree"]) for r in found] == [(5, 25), (6, 25)] and found[0]["start"] == 0
+    assert peak < 300 << 20
+
+
+def test_repeated_items_are_reported_each(frame):
+    words_ = " ".join(f"w{k}" for k in range(20))
+    got = decontaminate.contaminated(docs_of(frame, [(1, words_)]), frame([(4, words_), (5, words_), (5, words_), (6, "other")], "item_id bigint, text string"))
+    assert sorted(r.item_id for r in got.collect()) == [4, 5]

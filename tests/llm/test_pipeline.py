@@ -55,3 +55,19 @@ def test_odd_documents(spark, frame):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF).checkpoint()
         assert empty.count() == 0
+
+
+def test_unique_rows_stay_whatever_their_id(spark, frame):
+    """Rows that share an id or have none are told apart by their text; of copies one row stays, the one with the smallest id."""
+    texts = [f"{w} stands alone among the others because of its own {w} words and {w} nothing else {w}" for w in ("first", "second", "third", "fourth", "fifth")]
+    long = " ".join(f"w{k}" for k in range(400))
+    rows = [(7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3]), (9, long), (None, long), (8, long), (8, long), (12, texts[4]), (10, None), (11, "")]
+    docs = frame([(i, t, "en", "s", 1, "mine") for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, component string")
+    got = corpus_pipeline.keep_first(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(
+        [*rows[:4], (8, long), (12, texts[4]), (10, None)], key=repr)
+    bench = " ".join(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(1).collect())
+    leaky = frame([(7, bench, "en", "s", 1, "mine"), (7, texts[0], "en", "s", 1, "mine"), (None, bench, "en", "s", 1, "mine"), (None, texts[1], "en", "s", 1, "mine")],
+                  "doc_id bigint, text string, lang string, source string, n_chars bigint, component string")
+    assert sorted(r.text for r in corpus_pipeline.keep_unseen(spark, leaky, SF).collect()) == sorted(texts[:2])
