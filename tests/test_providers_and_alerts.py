@@ -238,3 +238,20 @@ def test_outbox(frame):
             (5, 5, 500, now - timedelta(days=1)), (6, 2, None, now - timedelta(seconds=360)), (7, 1, 404, now - timedelta(days=1))]
     due = outbox_due(frame(rows, "id int, attempts int, last_status int, last_attempt_at timestamp_ntz"), now)
     assert sorted(r["id"] for r in due.collect()) == [1, 2, 6]
+
+
+def test_errors_leave_as_a_table_of_their_own(frame):
+    class Model:
+        def complete(self, prompt):
+            raise TimeoutError("slow") if "b" in prompt.split("Article: ")[-1] else ValueError
+
+    class Embedder:
+        def embed(self, text):
+            raise ValueError("no vector")
+
+    df = frame([(1, "a"), (2, "b"), (3, None)], "id int, text string")
+    done = pv.embed_rows(pv.article_significance(df, Model, errors="wrong"), Embedder, errors="wrong")
+    got = sorted(tuple(r) for r in pv.provider_errors(done, "wrong", ["id"]).collect())
+    assert got == [(1, "model", "ValueError"), (1, "model", "no vector"), (2, "model", "no vector"), (2, "model", "slow")]
+    assert "wrong" not in pv.article_significance(df, Model).columns
+    assert [r.vector for r in done.collect()] == [None] * 3

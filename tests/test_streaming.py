@@ -282,3 +282,18 @@ def test_batch_with_model_and_service(frame, spark, setup):
            for r in spark.read.parquet(f"{s.root}/archive").collect()}
     assert got == {"1": ("significant", "deep water", "English", "False", "flood"), "2": ("trivial", "calm", "English", "False", ""),
                    "3": ("trivial", "water everywhere", "Ar", "True", "")}
+
+
+def test_backend_errors_are_kept_and_told(frame, spark, setup):
+    class Service:
+        def translate(self, text, source):
+            raise ConnectionError("down")
+
+    s = setup(translator=None, service=Service)
+    for n in range(2):
+        pipeline.process_batch(frame([raw(100 * n + k, f"ماء كثير {k}") for k in range(15)], schemas.RAW_MESSAGE), n, s)
+    failed = spark.read.parquet(f"{s.root}/backend_errors")
+    assert failed.count() == 30 and {tuple(r) for r in failed.select("source", "error").distinct().collect()} == {("translation", "google: down")}
+    told = spark.read.parquet(f"{s.root}/admin_outbox").collect()
+    assert [(r["error_number"], r["message"], r["message_id"]) for r in told] == [(20, "google: down", 104)]
+    assert spark.read.parquet(f"{s.root}/archive").count() == 30

@@ -52,7 +52,7 @@ def alert_rows(df: DataFrame, countries: DataFrame, excluded: list[str] | None =
         F.lit(None).cast("timestamp_ntz").alias("last_attempt_at"))
 
 
-def admin_alert_rows(events: DataFrame, n: int, order: list[str], keys: list[str] = ["source"],
+def admin_alert_rows(events: DataFrame, n: int | dict[str, int], order: list[str], keys: list[str] = ["source"],
                      earlier: DataFrame | None = None, system: str = SYSTEM_NAME) -> DataFrame:
     """Outbox rows for every ``n``-th event of a source."""
     return admin_cards(every_nth(events, n, order, keys, earlier), system)

@@ -3,8 +3,11 @@
 from pyspark.sql import functions as F
 
 from tidewire.functions import answers
+from tidewire.functions.fixed import NOTIFY_EVERY
 from tidewire.operators import providers as pv
 from tidewire.operators.alerts import SYSTEM_NAME, admin_cards, alert_card
+from tidewire.operators.scale import settle
+from tidewire.operators.sinks import admin_alert_rows
 from tidewire.operators.summary import success_rate
 from tidewire.plans import bindings as b
 from tidewire.plans.message_queries import classified
@@ -130,6 +133,22 @@ def translate(spark, sf):
     return done.select("message_id", "text", "Original_Text", "Was_Translated", "Original_Language")
 
 
+@query(f"""WITH {b.CLASSIFIED}, t AS (SELECT *, language <> 'english' AND (country_code = 'beta' OR is_significant) AS translated,
+  method LIKE 'no matching%' AND country_code = 'alpha' AS asked FROM classified),
+failed AS (SELECT message_id, 'translation' AS source, 'google: too long' AS error, 20 AS every FROM t WHERE translated AND length(text) > 1000
+  UNION ALL SELECT message_id, 'model', 'no answer', 10 FROM t WHERE asked AND contains(text, 'zu') AND NOT contains(text, 'avec')),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY message_id) AS error_number FROM failed)
+SELECT message_id, source, error, error_number, '🔴 SERVICE FAILURE - ' || source AS title FROM numbered WHERE error_number % every = 0""")
+def backend_errors(spark, sf):
+    """What failed in the model and the translation service, told as often as their kind asks for."""
+    model, service = _services()
+    asked = pv.ai_classify(classified(spark, sf), b.countries(spark), b.keywords(spark), scripted(_relate), errors="failures")
+    done = pv.translate(asked, b.countries(spark), model, service, errors="failures")
+    failed = settle(pv.provider_errors(done, "failures", ["message_id"]))
+    events = pv.error_events(failed, F.lit(b.NOW).cast("timestamp_ntz"))
+    return admin_alert_rows(events, NOTIFY_EVERY, ["message_id"]).select("message_id", "source", "error", "error_number", "title")
+
+
 @query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN reverse(text) ELSE text END AS text, text AS "Original_Text", role = 'user' AS "Was_Translated",
  CASE role WHEN 'user' THEN 'Klingon' ELSE 'Arabic' END AS "Original_Language" FROM conversations""")
 def merge_translation(spark, sf):

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewire import schemas
+from tidewire.functions.fixed import NOTIFY_EVERY
 from tidewire.operators import ingest
 from tidewire.operators.classify import classify, label, load_keywords
 from tidewire.operators.parse import append_webpage_url, parse_messages, processing_aliases, split_empty_text
 from tidewire.operators.project import next_row
-from tidewire.operators.providers import additional_criteria, ai_classify, translate
+from tidewire.operators.providers import additional_criteria, ai_classify, error_events, provider_errors, translate
 from tidewire.operators.routing import route_country
 from tidewire.operators.sinks import admin_alert_rows, alert_rows, feed_rows, write_archive
 from tidewire.operators.summary import failure_log, run_log
@@ -26,6 +27,7 @@ FEED_STATE = "country_code string, sheet string, next_row bigint"
 ARCHIVE_STATE = "Channel string, country_code string, Message_ID bigint"
 ERROR_STATE = "source string, errors bigint"
 UNKNOWN = "unknown"
+ERRORS = "_errors"
 RUN_LOG = "status string, timestamp string, channels_checked bigint, messages_processed bigint, messages_skipped bigint"
 
 
@@ -74,9 +76,9 @@ def enrich(parsed: DataFrame, s: Settings, now) -> DataFrame:
     done = classify(named, s.keywords, keys=["Channel", "Message_ID", "country_code"],
                     rows=s.keyword_rows)
     if s.model is not None:
-        done = additional_criteria(done, s.countries, s.model)
-        done = ai_classify(done, s.countries, s.keywords, s.model)
-    return label(translate(done, s.countries, s.translator, s.service), now)
+        done = additional_criteria(done, s.countries, s.model, errors=ERRORS)
+        done = ai_classify(done, s.countries, s.keywords, s.model, errors=ERRORS)
+    return label(translate(done, s.countries, s.translator, s.service, errors=ERRORS), now)
 
 
 class BatchFailed(RuntimeError):
@@ -155,7 +157,8 @@ def _process(spark: SparkSession, batch: DataFrame, batch_id: int, s: Settings,
     # Written once and read by every sink: model and translation calls are not repeated, whatever is lost.
     staged = f"{s.root}/staged/batch_id={batch_id}"
     enrich(full, s, now).write.mode("overwrite").parquet(staged)
-    records = spark.read.parquet(staged)
+    written = spark.read.parquet(staged)
+    records = written.drop(ERRORS)
     free = store.read_state(spark, f"{s.root}/feed_rows", batch_id, FEED_STATE)
     here = f"batch_id={batch_id}"
 
@@ -170,6 +173,7 @@ def _process(spark: SparkSession, batch: DataFrame, batch_id: int, s: Settings,
         "alerts": lambda: alert_rows(records, s.countries).write.mode("overwrite").parquet(f"{s.root}/outbox/{here}"),
         "feed": write_feed,
         "archive": lambda: write_archive(records, f"{s.root}/archive/{here}", s.archive_format, mode="overwrite"),
+        "errors": lambda: write_errors(written, batch_id, s.root, now),
         "fetch_log": lambda: ingest.fetch_summary(marked).withColumn("run_at", ingest.at(now))
         .write.mode("overwrite").parquet(f"{s.root}/fetch_log/{here}"),
     }
@@ -197,6 +201,14 @@ def _process(spark: SparkSession, batch: DataFrame, batch_id: int, s: Settings,
         raise BatchFailed(batch_id, failures)
 
 
+def write_errors(records: DataFrame, batch_id: int, root: str, now: datetime) -> None:
+    """The errors of the backends as a table, and a card for as many of them as their source asks for."""
+    failed = provider_errors(records, ERRORS, ["channel", "message_id"])
+    failed.write.mode("overwrite").parquet(f"{root}/backend_errors/batch_id={batch_id}")
+    events = error_events(records.sparkSession.read.schema(failed.schema).parquet(f"{root}/backend_errors/batch_id={batch_id}"), ingest.at(now))
+    throttle_batch(events, batch_id, root, NOTIFY_EVERY, ["channel", "message_id", "error"])
+
+
 def named_channels(batch: DataFrame) -> DataFrame:
     """A message without a channel name gets one made of its chat's id, where it has one."""
     return batch.withColumn("channel", channel_or_id(F.col("channel"), F.col("from_id.channel_id")))
@@ -236,7 +248,7 @@ def dedupe_stream(stream: DataFrame, ttl: str = "24 hours") -> DataFrame:
             .dropDuplicatesWithinWatermark(["channel", "message_id"]).drop("_read_at"))
 
 
-def throttle_batch(events: DataFrame, batch_id: int, root: str, n: int, order: list[str]) -> None:
+def throttle_batch(events: DataFrame, batch_id: int, root: str, n: int | dict[str, int], order: list[str]) -> None:
     """Every ``n``-th event of each source to the admin outbox, counted across batches."""
     spark = events.sparkSession
     earlier = store.read_state(spark, f"{root}/error_counts", batch_id, ERROR_STATE)
