@@ -432,6 +432,105 @@ def test_repetitive_and_long_items_are_compared_in_linear_memory(n, m, unit):
     assert peak < 300 << 20
 
 
+@pytest.mark.parametrize("size", [5, 9, 39])
+def test_short_lines_are_found(frame, size):
+    rng = random.Random(size)
+    line = " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(size))
+    rows = [(k, f"head {k}\n{line}\ntail {rng.random()} of {rng.random()}") for k in range(20)]
+    got = paragraphs.repeated_paragraphs(docs_of(frame, [*rows, (99, "a b c d"), (98, "a b c d")])).collect()
+    assert {(r.id, r.number, r.words, r.class_id, r.removed) for r in got} == {(k, 1, size, 0, k > 0) for k in range(20)}
+
+
+def test_rows_that_share_an_id_give_one_answer(frame):
+    line = [f"w{k}" for k in range(60)]
+    near = [*line[:30], "changed", *line[31:]]
+    rows = [(1, " ".join(line)), (1, "another text of the same id without any line in common"), (2, " ".join(near))]
+    for order in itertools.permutations(rows):
+        for parts in (1, 3):
+            got = paragraphs.repeated_paragraphs(docs_of(frame, list(order)).repartition(parts)).collect()
+            assert sorted((r.id, r.class_id, r.removed) for r in got) == [(1, 1, False), (2, 1, True)]
+
+
+def test_long_and_repetitive_texts(frame):
+    rng = random.Random(6)
+    lines = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(rng.randrange(5, 60))) for _ in range(6000)]
+    one = " ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(200_000))  # a line of its own
+    rows = [(1, "\n".join(lines)), (2, one), (3, "start\n" + lines[4000] + "\n" + one), (4, "la " * 50_000), (5, "LA " * 50_000)]
+    got = paragraphs.repeated_paragraphs(docs_of(frame, rows)).collect()
+    assert {(r.id, r.number, r.class_id, r.class_number) for r in got} == {(1, 4000, 1, 4000), (3, 1, 1, 4000), (2, 0, 2, 0), (3, 2, 2, 0), (4, 0, 4, 0), (5, 0, 4, 0)}
+    spans = passages.repeated_passages(docs_of(frame, rows)).collect()
+    assert {(r.id, r.number, r.words) for r in spans if r.removed and r.class_id == 2} == {(3, 2, 200_000)}
+    assert {r.id for r in spans if r.removed} >= {3, 4, 5} and 1 not in {r.id for r in spans if r.removed}
+
+
+def test_scan_equals_the_regular_expression():
+    from tidewire.llm import scan
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abAB_9é İß\n.,\U0001d504\U0001f600 ") for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts += ["", " ", "x" * (3 * scan.PIECE) + " y", ("word " * 70_000) + "\n end"]
+    known = {}
+    for rows in scan.groups(texts):
+        found = scan.Scan([texts[i] for i in rows])
+        for d, i in enumerate(rows):
+            at = np.flatnonzero(found.doc == d)
+            spans = [m.span() for m in re.finditer(r"\w+", texts[i])]
+            assert list(zip(found.start[at].tolist(), found.end[at].tolist())) == spans
+            assert found.line[at].tolist() == [texts[i].count("\n", 0, s) for s, _ in spans] if len(texts[i]) < 1000 else True
+            low = ["".join(c.lower() if len(c.lower()) == 1 else c for c in texts[i][s:e]) for s, e in spans]
+            for w, h in zip(low, found.hash[at].tolist()):
+                assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+
+
+def test_band_recall_at_the_threshold():
+    """Pairs of lines at a similarity of 0.8 to 0.9 share a band nearly always."""
+    rng, hits, n = random.Random(3), 0, 0
+    while n < 400:
+        w = [f"w{rng.randrange(10 ** 6)}" for _ in range(100)]
+        v = list(w)
+        for _ in range(2):
+            v[rng.randrange(100)] = "edit"
+        known = paragraphs.Words()
+        x, y = (set(paragraphs.shingles(u, known).tolist()) for u in (w, v))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.9:
+            from tidewire.llm.scan import Scan
+
+            found = Scan([" ".join(w), " ".join(v)])
+            _, key = paragraphs.line_digests(found, np.array([0, 100]), np.array([100, 100]))
+            hits, n = hits + bool((key[0] == key[1]).any()), n + 1
+    assert hits >= 0.96 * n
+
+
+def test_the_trigram_index_reads_every_text_once():
+    reads = []
+
+    class Text(str):
+        def encode(self, *a):
+            reads.append(1)
+            return super().encode(*a)
+
+    rng = random.Random(2)
+    queries_ = [secrets.trigram_query(r.pattern) for r in secrets.RULES] + [secrets.trigram_query("éàx"), secrets.trigram_query("ab(cde|fgh)i")]
+    texts = ["".join(rng.choice("abcdefghiAKIAtokensecretéàx_-=: ") for _ in range(rng.randrange(200))) for _ in range(400)]
+    texts += ["", "ab", "my token = x", "ghp_", "éàx", "abcdei", "xx abfghi", "AKIA", "a" * 3_000_000 + "akia"]
+    shard = secrets.Shard([Text(t) for t in texts], secrets.Lexicon(queries_))
+    assert len(reads) == len(texts)
+
+    def holds(query, low):
+        if query is secrets.ANY:
+            return True
+        if isinstance(query, str):
+            return query in low
+        return (all if query[0] == "and" else any)(holds(q, low) for q in query[1])
+
+    for query in queries_:
+        if "é" not in str(query):  # there the index may name more documents
+            assert shard.candidates(query) == {i for i, t in enumerate(texts) if holds(query, t.lower())}
+    assert {i for i, t in enumerate(texts) if "éàx" in t} <= shard.candidates(queries_[-2])
+    assert len(reads) == len(texts) and secrets.Shard([], secrets.Lexicon(queries_)).candidates("abc") == set()
+
+
 def test_repeated_items_are_reported_each(frame):
     words_ = " ".join(f"w{k}" for k in range(20))
     got = decontaminate.contaminated(docs_of(frame, [(1, words_)]), frame([(4, words_), (5, words_), (5, words_), (6, "other")], "item_id bigint, text string"))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.session import shared_dir, ship_package
+from tidewire.streaming.store import remove
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +21,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: computed once, and safe from lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def forget(*stored: DataFrame) -> None:
+    """Remove stored steps that nothing reads any more."""
+    for df in stored:
+        remove(df.sparkSession, df.stored_at)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -14,12 +14,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import components, id_text, store
+from tidewire.llm.common import components, forget, id_text, store
+from tidewire.llm.scan import Scan, asked_texts, groups, mixed
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 16, 3  # a pair at 0.8 collides in some band with chance 1 - (1 - 0.8**3)**16 > 0.9999
-LEAST_WORDS = 40
+BANDS, ROWS = 6, 3  # a pair at 0.8 collides in some band with chance 1 - (1 - 0.8**3)**6 > 0.98
+LEAST_WORDS = SHINGLE
 SMALL = 32
 NEIGHBOURS = 8
 BLOCK = 2048
@@ -77,32 +78,56 @@ def paragraphs(text: str, least: int) -> Iterator[tuple[int, int, int, list[str]
         at += len(line) + 1
 
 
-LINES = "id bigint, number int, start bigint, end bigint, words int, h binary, bands array<bigint>"
+LINES = "id bigint, t bigint, number int, start bigint, end bigint, words int, h binary, bands array<bigint>"
+POWERS = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(1 << 16, b, np.uint64)])) for b in (STEP, FACTORS[0])]
 
 
-def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    known = Words()
-    for batch in batches:
-        rows, bands = [], []
+def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges that begin at ``first``, end to end, and where each range begins there."""
+    at = np.cumsum(size) - size
+    return np.repeat(first - at, size) + np.arange(size.sum()), at
 
-        def full():
-            cols = list(zip(*rows)) or [[]] * 6
-            flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
-            out = {n: pa.array(c, t) for (n, t), c in zip(TYPES.items(), cols)}
-            out["bands"] = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
-            return pa.record_batch(out)
 
-        for i, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-            for number, start, end, words in paragraphs(text.as_py(), least):
-                rows.append((i, number, start, end, len(words), xxhash.xxh3_128_digest(" ".join(words).encode())))
-                bands.append(band_keys(shingles(words, known)))
-                if len(rows) >= 5_000:
-                    yield full()
-                    rows, bands = [], []
-        yield full()
+def line_digests(found: Scan, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(16 bytes that tell the words of a line, a key for each band) of lines of ``size`` words from word ``first`` on."""
+    every, at = _ranges(first, size)
+    place = every - np.repeat(first, size)
+    whole = [np.add.reduceat(found.hash[every] * power[place & 0xFFFF] + (place >> 16).astype(np.uint64), at) for power in POWERS]
+    digest = np.stack([mixed(w ^ size.astype(np.uint64)) for w in whole], axis=1)
+    gram = np.zeros(max(0, len(found.hash) - SHINGLE + 1), np.uint64)
+    for k in range(SHINGLE):
+        gram = (gram ^ found.hash[k:k + len(gram)]) * STEP
+        gram ^= gram >> np.uint64(31)
+    every, at = _ranges(first, size - SHINGLE + 1)
+    gram, key = gram[every], np.zeros((len(first), BANDS), np.uint64)
+    for band in range(BANDS):
+        mine = np.full(len(first), band + 1, np.uint64)
+        for r in range(band * ROWS, band * ROWS + ROWS):
+            h = gram * FACTORS[r] + OFFSETS[r]
+            mine = (mine ^ np.minimum.reduceat(h ^ (h >> np.uint64(32)), at)) * STEP
+            mine ^= mine >> np.uint64(29)
+        key[:, band] = mine
+    return digest, key
 
 
-TYPES = {"id": pa.int64(), "number": pa.int32(), "start": pa.int64(), "end": pa.int64(), "words": pa.int32(), "h": pa.binary()}
+def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for rows in groups(texts):
+            found = Scan([texts[i] for i in rows])
+            first = np.flatnonzero(np.diff(found.every_line, prepend=-1))
+            size = np.diff(np.append(first, len(found.hash)))
+            first, size = first[size >= least], size[size >= least]
+            if not len(first):
+                continue
+            digest, key = line_digests(found, first, size)
+            start, end = found.line_span(first)
+            own = pa.array(np.array(rows)[found.doc[first]])
+            yield pa.record_batch({
+                "id": batch.column("id").take(own), "t": batch.column("t").take(own), "number": pa.array(found.line[first].astype(np.int32)),
+                "start": pa.array(start), "end": pa.array(end), "words": pa.array(size.astype(np.int32)),
+                "h": pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(first), [None, pa.py_buffer(digest.tobytes())]).cast(pa.binary()),
+                "bands": pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, BANDS), pa.int32()), pa.array(key.reshape(-1).view(np.int64)))})
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBatch]:
@@ -219,10 +244,10 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
 
 
 def _shingles_of(named: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h, s) for the named classes. Only the lines asked for are read again."""
-    wanted = (named.distinct().join(classes, "h").groupBy(F.col("rep.id").alias("id"))
-              .agg(F.collect_list(F.struct("h", F.col("rep.start").alias("start"), F.col("rep.end").alias("end"))).alias("wanted")))
-    found = texts.join(wanted, "id").select("text", "wanted").mapInArrow(_sets, "h binary, s binary")
+    """(h, s) for the named classes. Only the texts asked for are moved, and only their lines are read again."""
+    wanted = store(named.distinct().join(classes, "h").groupBy(F.col("rep.id").alias("id"), F.col("rep.t").alias("t"))
+                   .agg(F.collect_list(F.struct("h", F.col("rep.start").alias("start"), F.col("rep.end").alias("end"))).alias("wanted")), "wanted")
+    found = asked_texts(texts, wanted).join(wanted, ["id", "t"]).select("text", "wanted").mapInArrow(_sets, "h binary, s binary")
     return store(found.dropDuplicates(["h"]), "shingles")
 
 
@@ -252,20 +277,21 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         similarity: float = SIMILARITY, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """(id, number, start, end, words, class_id, class_number, removed) for each paragraph that has a near copy.
 
-    A paragraph is a line of at least ``least_words`` words (lower-cased runs of letters, digits and underscores); shorter ones are not
-    looked at. ``start`` and ``end`` are code points. The class is named by its first occurrence, by document, then
-    line; every other occurrence is ``removed``. Copies inside one document count. Null and empty texts have no
-    paragraphs; rows without id are left out. Documents with a repeated id are taken for one text each row, and their
-    lines for copies of one another if they are.
+    A paragraph is a line of at least ``least_words`` words (lower-cased runs of letters, digits and underscores), which
+    have a shingle; ones without are not looked at. ``start`` and ``end`` are code points. The class is named by its first
+    occurrence, by document, then line; every other occurrence is ``removed``. Copies inside one document count. Null
+    and empty texts have no paragraphs; rows without id are left out. Rows that share an id are told apart by their
+    texts, so their lines are copies of one another if they are; repeated rows are reported alike. Texts are read
+    whole, about 100 bytes a word at a time for the longest.
 
     All pairs of a bucket of up to ``small`` classes are verified. In a crowded bucket, or a part of it of about ``block``,
     each class is compared with its next eight, in an order that differs from band to band. If that leaves several components, the classes of the
     bucket are cut into blocks of about ``block``, and each two blocks are compared by an index of the shingles, which
     makes at most one row for each class and component. So no link between components is lost.
     """
-    texts = id_text(docs, id_col, text_col).filter("id is not null")
-    lines = store(texts.mapInArrow(lambda b: _lines(b, least_words), LINES), "lines")
-    classes = store(lines.groupBy("h").agg(F.min(F.struct("id", "number", "start", "end")).alias("rep"), F.any_value("bands").alias("bands"),
+    texts = id_text(docs, id_col, text_col).filter("id is not null").withColumn("t", F.xxhash64("text"))
+    lines = store(texts.mapInArrow(lambda b: _lines(b, max(SHINGLE, least_words)), LINES), "lines")
+    classes = store(lines.groupBy("h").agg(F.min(F.struct("id", "number", "t", "start", "end")).alias("rep"), F.any_value("bands").alias("bands"),
                                            F.count("*").alias("n")), "classes")
     keys = classes.select(F.posexplode("bands").alias("band", "key"), "h")
     # A bucket of more than a block is cut into parts; the cells of its blocks join what lies in different parts.
@@ -279,15 +305,16 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     crowded = told.filter("key is not null").select("key", F.col("a").alias("h"))
     sets = _shingles_of(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))), classes, texts)
     links = store(_verify(pairs, sets, similarity), "links")
-    named = components(links)
+    named = store(components(links), "named")
     grouped = classes.join(named, classes["h"] == named["node"], "left").select(
         classes["h"], F.coalesce("component", classes["h"]).alias("c"), "rep", "n")
     across = store(_verify_crowded(crowded, sets, named, similarity, block), "across")
     if not across.isEmpty():  # components that crowded buckets join: far fewer than classes
-        joined = components(across).select(F.col("node").alias("c"), "component")
+        joined = store(components(across), "joined").select(F.col("node").alias("c"), "component")
         grouped = grouped.join(joined, "c", "left").select("h", F.coalesce("component", "c").alias("c"), "rep", "n")
     repeated = (grouped.groupBy("c").agg(F.min("rep").alias("first"), F.sum("n").alias("n")).filter("n > 1"))
-    named_by = grouped.select("h", "c").join(repeated, "c").select("h", F.col("first.id").alias("class_id"), F.col("first.number").alias("class_number"))
-    return (lines.join(named_by, "h").select(
-        "id", "number", "start", "end", "words", "class_id", "class_number",
-        ((F.col("id") != F.col("class_id")) | (F.col("number") != F.col("class_number"))).alias("removed")))
+    named_by = grouped.select("h", "c").join(repeated, "c").select("h", "first")
+    other = (F.col("id") != F.col("first.id")) | (F.col("number") != F.col("first.number")) | (F.col("t") != F.col("first.t"))
+    forget(told, sets, links, across)
+    return lines.drop("bands").join(named_by, "h").select(
+        "id", "number", "start", "end", "words", F.col("first.id").alias("class_id"), F.col("first.number").alias("class_number"), other.alias("removed"))

@@ -12,24 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import id_text, store
-from tidewire.llm.paragraphs import STEP, WORD, Words
+from tidewire.llm.common import forget, id_text, store
+from tidewire.llm.paragraphs import STEP
+from tidewire.llm.scan import Scan, asked, asked_texts, bitmap, groups, mixed, place_of
 
 RUN = 50
 GROUP = 1 << 18
 BASES = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 
 
-class Lowered(Words):
-    """Hashes of words in lower case."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        h = self[word] = super().__missing__(word.lower())
-        return h
-
-
 def grams(ids: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
     """A hash of each ``size`` words in a row."""
     n = len(ids) - size + 1
@@ -64,55 +55,65 @@ def anchors(ids: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
     return every, np.minimum(low[:n], low[need - width:need - width + n])
 
 
-def _ids(text: str, known: Words) -> np.ndarray:
-    words = WORD.findall(text)
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def _anchors(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """(id, t, h, n): how often each anchor of a text occurs in it."""
-    known = Lowered()
+def _anchors(batches: Iterator[pa.RecordBatch], run: int, skip: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(id, t, h, n): how often each anchor of a text occurs in it. Texts that ``skip`` names are left out."""
     for batch in batches:
-        rows, many, hs, ns = [], [], [], []
-        for row, text in enumerate(batch.column("text")):
-            every, low = anchors(_ids(text.as_py(), known), run)
-            if len(low):
-                h, n = np.unique(every, return_counts=True)
-                mine = np.unique(low)
-                rows.append(row)
-                many.append(len(mine))
-                hs.append(mine)
-                ns.append(n[np.searchsorted(h, mine)])
-        of = pa.array(np.repeat(np.array(rows, np.int64), many))
-        yield pa.record_batch({
-            "id": batch.column("id").take(of), "t": batch.column("t").take(of),
-            "h": pa.array((np.concatenate(hs) if hs else np.zeros(0, np.uint64)).view(np.int64)),
-            "n": pa.array((np.concatenate(ns) if ns else np.zeros(0)).astype(np.int64))})
+        if skip is not None:
+            batch = batch.filter(pa.array(~asked(batch.column("place").to_numpy(), skip)))
+        texts = batch.column("text").to_pylist()
+        for rows in groups(texts):
+            found = Scan([texts[i] for i in rows])
+            every, low = anchors(found.hash, run)
+            if not len(low):
+                continue
+            # One key for a gram in a text; grams and runs that lie in two texts are none.
+            apart = mixed(np.arange(1, len(rows) + 1, dtype=np.uint64))
+            half = run // 2
+            gram = np.flatnonzero(found.doc[:len(every)] == found.doc[half - 1:half - 1 + len(every)])
+            at = np.flatnonzero(found.doc[:len(low)] == found.doc[run - 1:run - 1 + len(low)])
+            if not len(at):
+                continue
+            key, n = np.unique(every[gram] + apart[found.doc[gram]], return_counts=True)
+            mine, which = np.unique(low[at] + apart[found.doc[at]], return_index=True)
+            own = pa.array(np.array(rows)[found.doc[at[which]]])
+            yield pa.record_batch({
+                "id": batch.column("id").take(own), "t": batch.column("t").take(own), "h": pa.array(low[at[which]].view(np.int64)),
+                "n": pa.array(n[np.searchsorted(key, mine)].astype(np.int64))})
 
 
 def _runs(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
     """(id, t, pos, line, start, end, h, g) of the runs whose anchor is wanted."""
-    known = Lowered()
     for batch in batches:
         for row, text in enumerate(batch.column("text")):
-            t = text.as_py()
-            ids = _ids(t, known)
-            _, low = anchors(ids, run)
+            found = Scan([text.as_py()])
+            _, low = anchors(found.hash, run)
             wanted = batch.column("wanted")[row].values.to_numpy().view(np.uint64)
             at = np.flatnonzero(np.isin(low, wanted))
             if not len(at):
                 continue
-            spans = np.array([m.span() for m in WORD.finditer(t)])
-            breaks = np.array([k for k, c in enumerate(t) if c == "\n"], np.int64)
-            first, last = spans[at, 0], spans[at + run - 1, 1]
-            h, g = (grams(ids, run, b)[at].view(np.int64) for b in BASES)
+            h, g = (grams(found.hash, run, b)[at].view(np.int64) for b in BASES)
             one = pa.array(np.full(len(at), row))
-            found = pa.record_batch({
+            rows = pa.record_batch({
                 "id": batch.column("id").take(one), "t": batch.column("t").take(one), "pos": pa.array(at.astype(np.int32)),
-                "line": pa.array(np.searchsorted(breaks, first).astype(np.int32)), "start": pa.array(first), "end": pa.array(last),
+                "line": pa.array(found.line[at].astype(np.int32)), "start": pa.array(found.start[at]), "end": pa.array(found.end[at + run - 1]),
                 "h": pa.array(h), "g": pa.array(g)})
             for s in range(0, len(at), GROUP):
-                yield found.slice(s, GROUP)
+                yield rows.slice(s, GROUP)
+
+
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, t, whole, words, line, start, end): a text from its first word to its last, without the text."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for rows in groups(texts):
+            found = Scan([texts[i] for i in rows])
+            first = np.flatnonzero(np.diff(found.doc, prepend=-1))
+            last = np.append(first[1:], len(found.doc)) - 1
+            own = pa.array(np.array(rows)[found.doc[first]]) if len(first) else pa.array([], pa.int64())
+            yield pa.record_batch({
+                "id": batch.column("id").take(own), "t": batch.column("t").take(own), "whole": batch.column("whole").take(own),
+                "words": pa.array((last - first + 1).astype(np.int32)), "line": pa.array(found.line[first].astype(np.int32)),
+                "start": pa.array(found.start[first]), "end": pa.array(found.end[last])})
 
 
 SPANS = "id bigint, number int, start bigint, end bigint, words int, class_id bigint, class_number int, removed boolean"
@@ -152,18 +153,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     are ``removed``, but for those that overlap the first one in its own text. A text that is there as
     a whole in a smaller id is one removed passage. Rows without id are left out.
     """
-    texts = id_text(docs, id_col, text_col).filter("id is not null and text != ''")
-    named = texts.withColumn("whole", F.unhex(F.md5("text")))
-    first = named.groupBy("whole").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    again = first.filter("n > 1").select("whole", "first")
-    # Copies of whole texts: the first one stands for all.
-    held = store(named.join(again, "whole", "left").withColumn("t", F.xxhash64("text"))
-                 .select("id", "t", "text", F.when(F.col("first") != F.col("id"), F.col("first")).alias("copy_of")), "texts")
-    single = held.filter("copy_of is null").select("id", "t", "text")
-    places = store(single.mapInArrow(lambda b: _anchors(b, run), "id bigint, t bigint, h bigint, n bigint"), "anchors")
+    texts = id_text(docs, id_col, text_col).filter("id is not null and text != ''").withColumn("t", F.xxhash64("text"))
+    told = store(texts.withColumn("whole", F.unhex(F.md5("text"))).mapInArrow(
+        _outlines, "id bigint, t bigint, whole binary, words int, line int, start bigint, end bigint"), "outlines")
+    first = told.groupBy("whole").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("whole", "first")
+    # Copies of whole texts: the first one stands for all. They are told by their outlines; no text is moved.
+    copies = store(told.join(first, "whole").filter("first != id").drop("whole"), "copies")
+    placed, skip = texts.select("id", "t", "text", place_of("id", "t")), bitmap(copies, "id", "t")
+    anchored = "id bigint, t bigint, h bigint, n bigint"
+    doubtful = asked_texts(texts, copies).join(copies.select("id", "t").distinct(), ["id", "t"], "left_anti")
+    places = store(placed.mapInArrow(lambda b: _anchors(b, run, skip), anchored).unionByName(
+        doubtful.mapInArrow(lambda b: _anchors(b, run), anchored)), "anchors")
     often = store(places.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "often")  # stored: a join with it can split a hot key
-    wanted = places.join(often, "h").groupBy("id", "t").agg(F.collect_set("h").alias("wanted"))
-    runs = store(single.join(wanted, ["id", "t"]).select("id", "t", "text", "wanted").mapInArrow(
+    wanted = store(places.join(often, "h").groupBy("id", "t").agg(F.collect_set("h").alias("wanted")), "wanted")
+    forget(places, often, told)
+    # A text that is there in several rows of one id is read once.
+    runs = store(asked_texts(texts, wanted).join(wanted, ["id", "t"]).dropDuplicates(["id", "t"]).select("id", "t", "text", "wanted").mapInArrow(
         lambda b: _runs(b, run), "id bigint, t bigint, pos int, line int, start bigint, end bigint, h bigint, g bigint"), "runs")
     place = F.struct("id", "t", "pos", "line")
     firsts = store(runs.groupBy("h", "g").agg(F.min(place).alias("low"), F.max(place).alias("high"))
@@ -175,21 +180,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                .select("id", "t", F.col("low.id").alias("class_id"), F.col("low.t").alias("class_t"), (F.col("pos") - F.col("low.pos")).alias("shift"),
                        "pos", "line", "start", "end", F.col("low.line").alias("class_number"),
                        (~same | (F.col("pos") != F.col("low.pos"))).alias("removed")))
-    spans = repeats.repartition("id", "t").sortWithinPartitions(*order).mapInArrow(lambda b: _merged(b, run), SPANS)
-    return spans.unionByName(held.filter("copy_of is not null").select("id", "text", "copy_of").mapInArrow(lambda b: _whole(b, run), SPANS))
-
-
-def _whole(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """Whole texts as removed passages, from the first word to the last."""
-    for batch in batches:
-        out = []
-        for i, text, first in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("copy_of").to_pylist()):
-            t = text.as_py()
-            spans = [m.span() for m in WORD.finditer(t)]
-            if len(spans) >= run:
-                line = t.count("\n", 0, spans[0][0])
-                out.append((i, line, spans[0][0], spans[-1][1], len(spans), first, line, True))
-        yield _told(out)
+    spans = store(repeats.repartition("id", "t").sortWithinPartitions(*order).mapInArrow(lambda b: _merged(b, run), SPANS), "spans")
+    forget(runs, firsts, wanted)
+    return spans.unionByName(copies.filter(F.col("words") >= run).select(
+        "id", F.col("line").alias("number"), "start", "end", "words", F.col("first").alias("class_id"), F.col("line").alias("class_number"),
+        F.lit(True).alias("removed")))
 
 
 def _told(rows: list[tuple]) -> pa.RecordBatch:

@@ -1,8 +1,9 @@
 """Secret scans by a trigram index.
 
 From each rule's regular expression a Boolean query over trigrams is derived that every match must satisfy. The
-documents of a batch are one shard of the index; the query's postings are intersected there, each list only over
-what the earlier ones left, and the rule runs over the candidates. A rule without mandatory trigrams scans all.
+documents of a batch are one shard of the index. Its postings, for the trigrams that any query names, are made in one
+pass over the texts; the queries are answered from them, and a rule runs over its candidates only. A rule without
+mandatory trigrams scans all.
 """
 
 import hashlib
@@ -10,6 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from re import _constants as ops
@@ -19,6 +21,7 @@ from tidewire.llm.common import id_text
 
 MOST_STRINGS = 32
 MOST_LETTERS = 6
+PIECE = 1 << 20
 
 ANY = True  # a query that holds for every document
 
@@ -127,44 +130,87 @@ def trigram_query(pattern: str):
     return _of(exact) if exact is not None else query
 
 
+def named_trigrams(query) -> set[str]:
+    if query is ANY:
+        return set()
+    return {query} if isinstance(query, str) else set().union(*map(named_trigrams, query[1]))
+
+
+class Lexicon:
+    """The trigrams that the queries name, numbered from 1 in a table over all three-byte codes."""
+
+    def __init__(self, queries: list) -> None:
+        self.number = {t: k for k, t in enumerate(sorted(set().union(*map(named_trigrams, queries))), 1)}
+        self.same: dict[int, list[str]] = {}  # beyond ASCII three bytes are less than three letters
+        self.table = np.zeros(1 << 24, np.uint16)
+        for t in self.number:
+            code = int.from_bytes(t.encode()[:3], "big")
+            self.table[code] = min(self.number[x] for x in self.same.setdefault(code, []) + [t])
+            self.same[code].append(t)
+        self.names = {int(self.table[code]): names for code, names in self.same.items()}
+
+
 class Shard:
-    """Postings of one batch of documents, made as the queries ask for them."""
-
-    def __init__(self, texts: list[str]) -> None:
-        self.data = [t.encode().lower() for t in texts]  # lower-cases ASCII letters only
-        self.postings: dict[str, set[int]] = {}
-
-    def posting(self, trigram: str, within: set[int] | None) -> set[int]:
-        if trigram in self.postings:
-            full = self.postings[trigram]
-            return full if within is None else full & within
-        needle = trigram.encode()
-        found = {i for i in (range(len(self.data)) if within is None else within) if needle in self.data[i]}
-        if within is None:
-            self.postings[trigram] = found
-        return found
-
-    def candidates(self, query, within: set[int] | None = None) -> set[int]:
+    """The inverted index of one batch of documents: the documents of each trigram that the lexicon names, ascending.
+
+    Without a lexicon all trigrams of the texts are indexed.
+    """
+
+    def __init__(self, texts: list[str], lexicon: Lexicon | None = None) -> None:
+        self.size = len(texts)
+        lexicon = lexicon or Lexicon(sorted({low[k:k + 3] for low in (t.encode().lower().decode() for t in texts) for k in range(len(low) - 2)}))
+        found, held, first, size = [], [], 0, 0
+        for i, text in enumerate(texts):
+            held.append(text.encode().lower())  # lower-cases ASCII letters only
+            size += len(held[-1])
+            if size >= PIECE or i == len(texts) - 1:
+                found.append(self._read(held, first, lexicon))
+                held, first, size = [], i + 1, 0
+        every = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        number, doc = every // max(1, self.size), every % max(1, self.size)
+        cuts = np.flatnonzero(np.diff(number)) + 1
+        self.postings = {name: docs for docs, n in zip(np.split(doc, cuts), number[[0, *cuts]] if len(number) else ())
+                         for name in lexicon.names[int(n)]}
+
+    def _read(self, held: list[bytes], first: int, lexicon: Lexicon) -> np.ndarray:
+        """Distinct (trigram, document) pairs of some texts, as one number each."""
+        ends = np.cumsum([len(b) + 2 for b in held])  # two bytes between texts, so that no trigram lies in both
+        data = np.frombuffer(b"\xff\xff".join(held), np.uint8)
+        out = []
+        for s in range(0, max(0, len(data) - 2), PIECE):
+            part = data[s:s + PIECE + 2].astype(np.uint32)
+            number = lexicon.table[(part[:-2] << 16) | (part[1:-1] << 8) | part[2:]]
+            at = np.flatnonzero(number)
+            out.append(np.unique(number[at].astype(np.int64) * self.size + first + np.searchsorted(ends, at + s, "right")))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def candidates(self, query) -> set[int]:
+        """Documents that satisfy a query."""
+        return set(self._documents(query).tolist())
+
+    def _documents(self, query) -> np.ndarray:
+        """Unions and intersections of postings."""
         if query is ANY:
-            return set(range(len(self.data))) if within is None else within
+            return np.arange(self.size)
         if isinstance(query, str):
-            return self.posting(query, within)
+            return self.postings.get(query, np.zeros(0, np.int64))
         kind, parts = query
         if kind == "or":
-            return set().union(*(self.candidates(p, within) for p in parts))
-        for p in parts:
-            within = self.candidates(p, within)
-            if not within:
-                break
-        return within
+            return np.unique(np.concatenate([self._documents(p) for p in parts]))
+        lists = sorted((self._documents(p) for p in parts), key=len)
+        out = lists[0]
+        for other in lists[1:]:
+            out = np.intersect1d(out, other, assume_unique=True)
+        return out
 
 
 def _find(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
     compiled = [(r, QUICK.get(r.kind) if r in BASE else None, r.compiled(), trigram_query(r.pattern)) for r in rules]
     base = {r.kind for r in BASE}
+    lexicon = Lexicon([query for *_, query in compiled])
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        shard = Shard(texts)
+        shard = Shard(texts, lexicon)
         spans: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for n, (rule, quick, pattern, query) in enumerate(compiled):
             for i in sorted(shard.candidates(query)):
