@@ -10,15 +10,15 @@ from tidewire.operators import classify as cl
 from tidewire.sources import config as cfg
 
 PROBES = [
-    ("احتجاج في بغداد", "احتجاج", True),
-    ("رياضة اليوم", "رياضة", True),
-    ("Baghdad airport", "ad", False),
-    ("an ad here", "ad", True),
-    ("إعلانات", "إعلان", False),
+    ("فيضان عند الجسر", "فيضان", True),
+    ("حفلة الليلة", "حفلة", True),
+    ("nomad tent", "ad", False),
+    ("one ad less", "ad", True),
+    ("فيضانات", "فيضان", False),
     ("café sale", "sale", True),
     ("ésale", "sale", False),
-    ("عَاجل", "عاجل", False),
-    ("كِتابٌ عاجلٌ", "عاجل", True),
+    ("مُغلق", "مغلق", False),
+    ("بابٌ مغلقٌ", "مغلق", True),
     ("C++ is", "c++", False),
     ("c++x", "c++", True),
     ("see #tag", "#tag", False),
@@ -38,37 +38,37 @@ def test_whole_word(frame):
 
 
 CONFIG = {"COUNTRIES": {
-    "iraq": {"name": "Iraq", "channels": ["@a", "@b"], "teams_webhook": "https://x", "message_filtering": {
-        "significant_keywords": [["protest", "احتجاج"], ["urgent", "عاجل"], ["demonstration", "مظاهرة"], ["solo"],
-                                 ["sit-in", "اعتصام"]],
-        "trivial_keywords": [["sports", "رياضة"], ["entertainment", "ترفيه"]],
-        "exclude_keywords": [["advertisement", "إعلان"], ["sale", "تخفيضات"], ["ad", "إعلان"]]}},
-    "phil": {"name": "Phil", "channels": ["@a"], "sharepoint_config": {"site_name": "s"}, "message_filtering": {
-        "significant_keywords": ["security", "security breach", "!!!"], "exclude_keywords": []}},
+    "coast": {"name": "Coast", "channels": ["@a", "@b"], "teams_webhook": "https://x", "message_filtering": {
+        "significant_keywords": [["flood", "فيضان"], ["closed", "مغلق"], ["landslide", "انهيار"], ["solo"],
+                                 ["high-tide", "مد"]],
+        "trivial_keywords": [["concert", "حفلة"], ["recipe", "وصفة"]],
+        "exclude_keywords": [["coupon", "قسيمة"], ["raffle", "سحب"], ["ad", "قسيمة"]]}},
+    "lake": {"name": "Lake", "channels": ["@a"], "sharepoint_config": {"site_name": "s"}, "message_filtering": {
+        "significant_keywords": ["dam", "dam gate", "!!!"], "exclude_keywords": []}},
     "bare": {"channels": ["@c"]},
 }}
 
 TEXTS = [
-    (1, "iraq", "احتجاج في بغداد", True, ["protest"], "the list of SIGNIFICANT keywords"),
-    (2, "iraq", "protest in Baghdad", True, ["protest"], "the list of SIGNIFICANT keywords"),
-    (3, "iraq", "رياضة اليوم", False, ["sports"], "the list of TRIVIAL keywords"),
-    (4, "iraq", "sports news today", False, ["sports"], "the list of TRIVIAL keywords"),
-    (5, "iraq", "إعلان مهم", False, [], "excluded"),
-    (6, "iraq", "advertisement here", False, [], "excluded"),
-    (7, "iraq", "random message about weather", False, [], "no matching keywords across all keyword lists"),
-    (8, "iraq", "sports protest", True, ["protest"], "the list of SIGNIFICANT keywords"),
-    (9, "iraq", "urgent sale", False, [], "excluded"),
-    (10, "iraq", "Baghdad airport", False, [], "no matching keywords across all keyword lists"),
-    (11, "iraq", "solo act", True, ["solo"], "the list of SIGNIFICANT keywords"),
-    (12, "iraq", "solo كلمة كلمة كلمة كلمة", False, [], "no matching keywords across all keyword lists"),
-    (13, "iraq", "a sit-in, urgent", True, ["urgent", "sit-in"], "the list of SIGNIFICANT keywords"),
-    (14, "phil", "SECURITY breach now", True, ["security", "security breach"], "the list of SIGNIFICANT keywords"),
-    (15, "phil", "security  breach", True, ["security"], "the list of SIGNIFICANT keywords"),
-    (16, "phil", "weather sale", False, [], "no matching keywords across all keyword lists"),
+    (1, "coast", "فيضان عند الجسر", True, ["flood"], "the list of SIGNIFICANT keywords"),
+    (2, "coast", "flood near the bridge", True, ["flood"], "the list of SIGNIFICANT keywords"),
+    (3, "coast", "حفلة الليلة", False, ["concert"], "the list of TRIVIAL keywords"),
+    (4, "coast", "open-air concert tonight", False, ["concert"], "the list of TRIVIAL keywords"),
+    (5, "coast", "قسيمة جديدة", False, [], "excluded"),
+    (6, "coast", "one coupon left", False, [], "excluded"),
+    (7, "coast", "a quiet morning by the river", False, [], "no matching keywords across all keyword lists"),
+    (8, "coast", "concert during flood", True, ["flood"], "the list of SIGNIFICANT keywords"),
+    (9, "coast", "closed raffle", False, [], "excluded"),
+    (10, "coast", "nomad tent", False, [], "no matching keywords across all keyword lists"),
+    (11, "coast", "solo sailor", True, ["solo"], "the list of SIGNIFICANT keywords"),
+    (12, "coast", "solo بحر بحر بحر بحر", False, [], "no matching keywords across all keyword lists"),
+    (13, "coast", "high-tide, road closed", True, ["closed", "high-tide"], "the list of SIGNIFICANT keywords"),
+    (14, "lake", "DAM gate opens", True, ["dam", "dam gate"], "the list of SIGNIFICANT keywords"),
+    (15, "lake", "dam  gate", True, ["dam"], "the list of SIGNIFICANT keywords"),
+    (16, "lake", "weather raffle", False, [], "no matching keywords across all keyword lists"),
     (17, "bare", "weather and crisis", True, ["crisis"], "the list of SIGNIFICANT keywords"),
     (18, "elsewhere", "weather", False, ["weather"], "the list of TRIVIAL keywords"),
-    (19, "phil", "a!!!b", True, ["!!!"], "the list of SIGNIFICANT keywords"),
-    (20, "phil", "123 456", False, [], "no matching keywords across all keyword lists"),
+    (19, "lake", "a!!!b", True, ["!!!"], "the list of SIGNIFICANT keywords"),
+    (20, "lake", "7 8 9", False, [], "no matching keywords across all keyword lists"),
 ]
 
 
@@ -83,16 +83,16 @@ def dims(spark, tmp_path_factory):
 def test_config_dimensions(dims):
     channels, countries, keywords = dims
     assert {tuple(r) for r in channels.collect()} == {
-        ("@a", "iraq", "Iraq", 0), ("@b", "iraq", "Iraq", 0), ("@a", "phil", "Phil", 1), ("@c", "bare", "bare", 2)}
+        ("@a", "coast", "Coast", 0), ("@b", "coast", "Coast", 0), ("@a", "lake", "Lake", 1), ("@c", "bare", "bare", 2)}
     by_code = {r["country_code"]: r for r in countries.collect()}
-    assert by_code["iraq"]["alert_channel"] == "Iraq Telegram Alerts" and by_code["iraq"]["feed_path"] is None
-    assert by_code["phil"]["feed_path"] == "/Telegram_Feeds/phil_Telegram_Feed.xlsx"
-    assert by_code["phil"]["alert_target"] is None and not by_code["bare"]["has_filtering"]
+    assert by_code["coast"]["alert_channel"] == "Coast Telegram Alerts" and by_code["coast"]["feed_path"] is None
+    assert by_code["lake"]["feed_path"] == "/Telegram_Feeds/lake_Telegram_Feed.xlsx"
+    assert by_code["lake"]["alert_target"] is None and not by_code["bare"]["has_filtering"]
     rows = {(r["country_code"], r["class"], r["pos"]): (r["arity"], r["kw_en"], r["kw_ar"]) for r in keywords.collect()}
-    assert rows["iraq", "significant", 0] == (2, "protest", "احتجاج")
-    assert rows["iraq", "significant", 3] == (1, "solo", None)
-    assert rows["phil", "significant", 1] == (0, "security breach", "security breach")
-    assert ("phil", "trivial", 0) not in rows
+    assert rows["coast", "significant", 0] == (2, "flood", "فيضان")
+    assert rows["coast", "significant", 3] == (1, "solo", None)
+    assert rows["lake", "significant", 1] == (0, "dam gate", "dam gate")
+    assert ("lake", "trivial", 0) not in rows
 
 
 @pytest.mark.parametrize("how", ["inline", "present", "sequence", "salted"])
@@ -130,9 +130,9 @@ def test_strategies_agree_on_null_countries_and_repeated_ids(frame, spark):
 
 
 def test_label_and_analysis(frame, dims):
-    df = frame([(1, "iraq", "protest")], "id bigint, country_code string, text string")
+    df = frame([(1, "coast", "flood")], "id bigint, country_code string, text string")
     row = cl.label(cl.classify(df, dims[2]), "2025-11-10 04:00:00").first()
-    assert row["AI_Category"] == "Significant" and row["Keywords_Matched"] == "protest"
+    assert row["AI_Category"] == "Significant" and row["Keywords_Matched"] == "flood"
     assert row["AI_Reasoning"] == "Classified as significant using the list of SIGNIFICANT keywords"
     assert row["Processed_Date"] == "2025-11-10 12:00:00"
     done = cl.classify(df, dims[2])

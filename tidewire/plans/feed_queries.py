@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewire.functions.fixed import NOTIFY_EVERY
-from tidewire.operators import ingest, parse, routing
+from tidewire.operators import ingest, parse, routing, zones
 from tidewire.operators.summary import daily_summary as summarize
 from tidewire.operators.summary import every_nth, run_log
 from tidewire.operators.summary import resource_warnings as warn
@@ -214,6 +214,14 @@ def fetch_run_log(spark, sf):
     return run_log(marked.withColumn("empty", empty), NOW, b.feed_channels(spark, sf))
 
 
+@query(f"WITH {b.FEED}, {b.TRACKER} SELECT f.channel, message_id FROM feed f LEFT JOIN tracker t USING (channel) WHERE last_id IS NULL OR message_id > last_id")
+def bounded_scan(spark, sf):
+    """A feed written by channel and id, and read above the tracker by the zones of its files."""
+    path = shared_dir(spark, "clustered")
+    zones.write_clustered(b.feed(spark, sf), path)
+    return zones.read_above(spark, path, b.tracker(spark, sf)).select("channel", "message_id")
+
+
 @query(f"WITH {b.FEED}, {b.CHANNELS} SELECT f.channel, message_id, country_code, country_name FROM feed f JOIN channels USING (channel)")
 def route_country(spark, sf):
     return routing.route_country(b.feed(spark, sf), b.feed_channels(spark, sf)).select(
