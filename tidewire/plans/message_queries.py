@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import language as lang
 from tidewire.functions import links as lk
+from tidewire.functions.fixed import DEFAULT_KEYWORDS
 from tidewire.functions.keywords import whole_word
 from tidewire.functions.text import preview, truncate_ellipsis
 from tidewire.operators import classify as cl
@@ -102,6 +103,33 @@ def classify_by_sequence(spark, sf):
     return _shown(cl.classify(b.messages(spark, sf), b.keywords(spark), keys=["message_id"], max_inline=0))
 
 
+_DEFAULTS = ", ".join(f"('{c}', {i}, '{en}', '{ar}')" for c, pairs in DEFAULT_KEYWORDS.items() for i, (en, ar) in enumerate(pairs))
+_PLAIN_TEXT = """CASE event_type WHEN 'error' THEN 'Urgent: an alert, not alerted' WHEN 'view' THEN 'fine weather and sports' WHEN 'click' THEN 'an URGENT advertisement'
+  WHEN 'signup' THEN 'تنبيه بعد أزمة' ELSE 'order ' || event_id END"""
+
+
+@query(f"""WITH kw(class, pos, en, ar) AS (VALUES {_DEFAULTS}),
+m AS (SELECT event_id, {_PLAIN_TEXT} AS text, event_type = 'signup' AS other FROM events),
+near AS (SELECT text, class, pos, en FROM (SELECT DISTINCT text, other FROM m WHERE text NOT LIKE 'order %') JOIN kw
+  ON regexp_matches(lower(text), '(^|[^\\p{{L}}])' || CASE WHEN other THEN ar ELSE en END || '($|[^\\p{{L}}])')),
+hits AS (SELECT event_id, class, pos, en FROM m JOIN near USING (text)),
+found AS (SELECT event_id, bool_or(class = 'exclude') AS excluded, string_agg(en, ', ' ORDER BY pos) FILTER (class = 'significant') AS sig,
+  string_agg(en, ', ' ORDER BY pos) FILTER (class = 'trivial') AS triv FROM hits GROUP BY 1)
+SELECT event_id AS message_id, coalesce(NOT excluded AND sig IS NOT NULL, FALSE) AS is_significant,
+ CASE WHEN excluded THEN '' ELSE coalesce(sig, triv, '') END AS keywords FROM m LEFT JOIN found USING (event_id)""")
+def default_keywords(spark, sf):
+    """Messages of a country without rules and of one that is not configured: the built-in lists decide."""
+    kind = F.col("event_type")
+    text = (F.when(kind == "error", "Urgent: an alert, not alerted").when(kind == "view", "fine weather and sports")
+            .when(kind == "click", "an URGENT advertisement").when(kind == "signup", "تنبيه بعد أزمة")
+            .otherwise(F.concat(F.lit("order "), F.col("event_id").cast("string"))))
+    said = b.table(spark, sf, "events").select(
+        F.col("event_id").alias("message_id"), text.alias("text"), F.when(F.col("user_id") % 2 == 0, "plain").otherwise("elsewhere").alias("country_code"))
+    configs = b.configs(spark, {"COUNTRIES": {**b.CONFIG["COUNTRIES"], "plain": {"name": "Plain", "channels": ["@p"]}}})
+    words = cfg.with_default_keywords(cfg.keyword_dim(configs), cfg.country_dim(configs))
+    return _shown(cl.classify(said, words, keys=["message_id"])).select("message_id", "is_significant", "keywords")
+
+
 @query(f"WITH {b.CLASSIFIED} SELECT message_id, method = 'excluded' AS excluded FROM classified")
 def exclude_match(spark, sf):
     return cl.exclude_match(b.messages(spark, sf), b.keywords(spark)).select("message_id", "excluded")
