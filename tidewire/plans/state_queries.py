@@ -5,6 +5,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from tidewire.operators import summary
+from tidewire.operators.alerts import SYSTEM_NAME, summary_card
 from tidewire.plans import bindings as b
 from tidewire.plans.feed_queries import _MARKED
 from tidewire.plans.registry import ORACLES, query
@@ -54,6 +55,19 @@ def stream_daily_summary(spark, sf):
     return spark.read.parquet(f"{root}/out")
 
 
+@query(f"""WITH d AS ({ORACLES["daily_summary"]})
+SELECT day, '📊 Daily {SYSTEM_NAME} Summary' AS title, 'Daily activity completed for ' || day AS body,
+ total_messages || ' | ' || significant_messages || ' | ' || channels_monitored || ' | ' || errors_encountered || ' | ' || printf('%.1f', success_rate) || '%' AS facts FROM d""")
+def stream_summary_cards(spark, sf):
+    """The card of each day that a stream has told, read back from its JSON."""
+    days = stream_daily_summary(spark, sf)
+    cards = days.withColumn("_card", F.from_json(summary_card(days), """
+        sections array<struct<activityTitle: string, text: string, facts: array<struct<name: string, value: string>>>>"""))
+    section = F.element_at("_card.sections", 1)
+    return cards.select("day", section["activityTitle"].alias("title"), section["text"].alias("body"),
+                        F.array_join(F.transform(section["facts"], lambda f: f["value"]), " | ").alias("facts"))
+
+
 @query("SELECT count(*) AS messages, count(*) FILTER (event_type IN ('view', 'error')) AS without_text FROM events")
 def stream_metrics(spark, sf):
     """Counters that a stream observes, as the listener has kept them."""
