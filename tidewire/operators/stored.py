@@ -82,12 +82,12 @@ def _message(error: Exception) -> str:
 
 
 def _counts(stored: Stored, paths: list[str]) -> DataFrame:
-    """Rows, kept rows and malformed rows of each file, computed once."""
+    """``retention_report`` with the malformed rows of each file, computed once."""
     marked = stored.mark(stored.rows(paths))
-    bad = F.count_if(F.col(stored.malformed).isNotNull()) if stored.malformed else F.lit(0).cast("bigint")
-    return settle(retention.retention_report(marked, ["file"]) if stored.malformed is None else marked.groupBy("file").agg(
+    bad = F.col(stored.malformed).isNotNull() if stored.malformed else F.lit(False)
+    return settle(marked.groupBy("file").agg(
         F.count("*").alias("original"), F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("removed"),
-        bad.alias("malformed")))
+        F.count_if(bad).alias("malformed")))
 
 
 def unreadable(stored: Stored, paths: list[str]) -> dict[str, str]:
@@ -135,8 +135,7 @@ def _rewrite(spark: SparkSession, stored: Stored, files: Files, touched: list[st
     names = [files.relative(f) for f in touched]
     before = {name: files.stamp(name) for name in names}
     kept = stored.mark(stored.rows([files.url(n) for n in names])).filter("keep")
-    below = F.substr("file", F.instr("file", F.lit(files.raw + "/")) + len(files.raw) + 1)
-    target = below if stored.whole else F.regexp_replace(below, "/?[^/]*$", "")
+    target = _below(files) if stored.whole else F.regexp_replace(_below(files), "/?[^/]*$", "")
     kept = kept.withColumn("_target", target)
     if stored.whole:
         kept = kept.repartition("_target").sortWithinPartitions("_target", "row")
@@ -176,7 +175,7 @@ def retain_stored(spark: SparkSession, stored: Stored) -> DataFrame:
     """
     recover(spark, stored.root)
     files = Files(spark, stored.root)
-    here = [files.url("")[:-1] if files.url("").endswith("/") else files.url("")]
+    here = [files.root.toString()]
     broken: dict[str, str] = {}
     try:
         counts = _counts(stored, here)
@@ -187,27 +186,28 @@ def retain_stored(spark: SparkSession, stored: Stored) -> DataFrame:
             raise error
         good = [f for f in every if f not in broken]
         counts = _counts(stored, good) if good else None
-    rows = []
     if counts is None:
         status = spark.createDataFrame([], REPORT)
     else:
-        bad = F.col("malformed") > 0 if stored.malformed else F.lit(False)
-        touched = [r.file for r in counts.filter((F.col("removed") > 0) & ~bad).select("file").toLocalIterator()]
+        bad, expired = F.col("malformed") > 0, F.col("removed") > 0
+        touched = [r.file for r in counts.filter(expired & ~bad).select("file").toLocalIterator()]
         changed = _rewrite(spark, stored, files, touched) if touched else []
-        late = F.lit(False) if not changed else F.substr("file", F.instr("file", F.lit(files.raw + "/")) + len(files.raw) + 1).isin(changed)
-        if changed and not stored.whole:
-            late = (F.col("removed") > 0) & ~bad
-        failed = bad | late
-        error = F.when(bad, F.concat(F.col("malformed").cast("string"), F.lit(" malformed rows")) if stored.malformed else F.lit(None)).when(
-            late, F.lit("changed while it was copied"))
+        # Where files are written anew together, none of them is replaced if one has changed.
+        late = F.lit(False) if not changed else _below(files).isin(changed) if stored.whole else expired & ~bad
+        error = F.when(bad, F.concat(F.col("malformed").cast("string"), F.lit(" malformed rows"))).when(late, "changed while it was copied")
         status = counts.select(
-            "file", F.when(failed, "failed").when(F.col("removed") > 0, "retained").otherwise("unchanged").alias("status"),
-            "original", F.when(failed, F.col("original")).otherwise(F.col("kept")).alias("kept"),
-            F.when(failed, F.lit(0)).otherwise(F.col("removed")).cast("bigint").alias("removed"), error.cast("string").alias("error"))
+            "file", F.when(error.isNotNull(), "failed").when(expired, "retained").otherwise("unchanged").alias("status"),
+            "original", F.when(error.isNotNull(), F.col("original")).otherwise(F.col("kept")).alias("kept"),
+            F.when(error.isNotNull(), F.lit(0)).otherwise(F.col("removed")).cast("bigint").alias("removed"), error.alias("error"))
     rows = [(f, "failed", None, None, 0, e) for f, e in sorted(broken.items())]
     return status.unionByName(spark.createDataFrame(rows, REPORT)) if rows else status
 
 
+def _below(files: Files):
+    """The path of a row's file below the root."""
+    return F.substr("file", F.instr("file", F.lit(files.raw + "/")) + len(files.raw) + 1)
+
+
 def _every_file(spark: SparkSession, files: Files) -> list[str]:
     """Every visible file below the root."""
     found, walk = [], files.fs.listFiles(files.root, True)
