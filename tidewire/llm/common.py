@@ -1,5 +1,7 @@
 """What the operators of this package share: input columns, cut lineage, held-out rows, components."""
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,15 +19,24 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write to the shared folder and read back: computed once, and safe from lost executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``store``, after which Spark drops the shuffle files that led to it: it does so when the driver's JVM collects
+    the plan that is done with, which a large idle heap would put off."""
+    stored = store(df, name, "zstd")
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return stored
+
+
 def forget(*stored: DataFrame) -> None:
     """Remove stored steps that nothing reads any more."""
     for df in stored:
@@ -45,12 +56,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return id_text(docs).join(F.broadcast(picked), "id")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", tidy: bool = False) -> DataFrame:
     """(node, component): the smallest node reachable over the edges, for each node of an edge.
 
     Alternates the large-star and small-star steps. Each is an aggregate and a join on the node, so a node
     with very many edges is pre-aggregated, or split by the skew join. Needs a number of rounds in the
-    logarithm of the nodes; every round is written to the shared folder. Edges with a null end are ignored.
+    logarithm of the nodes; every round is written to the shared folder, and with ``tidy`` the one before it is
+    removed. Edges with a null end are ignored.
     """
     spark = edges.sparkSession
     now = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -61,9 +73,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = (both.filter("v > u").join(least, "u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small, last = large.join(least, "u"), now
         now = store(small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
                     .unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        if tidy:
+            forget(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if state == before:
             break

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import components, forget, id_text, store
+from tidewire.llm.common import components, forget, id_text, settled
 from tidewire.llm.scan import Scan, asked_texts, groups, mixed
 
 SHINGLE = 5
@@ -245,10 +245,10 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
 
 def _shingles_of(named: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(h, s) for the named classes. Only the texts asked for are moved, and only their lines are read again."""
-    wanted = store(named.distinct().join(classes, "h").groupBy(F.col("rep.id").alias("id"), F.col("rep.t").alias("t"))
+    wanted = settled(named.distinct().join(classes, "h").groupBy(F.col("rep.id").alias("id"), F.col("rep.t").alias("t"))
                    .agg(F.collect_list(F.struct("h", F.col("rep.start").alias("start"), F.col("rep.end").alias("end"))).alias("wanted")), "wanted")
     found = asked_texts(texts, wanted).join(wanted, ["id", "t"]).select("text", "wanted").mapInArrow(_sets, "h binary, s binary")
-    return store(found.dropDuplicates(["h"]), "shingles")
+    return settled(found.dropDuplicates(["h"]), "shingles")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -259,7 +259,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def _verify_crowded(members: DataFrame, sets: DataFrame, named: DataFrame, similarity: float, block: int) -> DataFrame:
     """Links (a, b) of the names of components inside crowded buckets. Buckets that are one component already are left alone."""
-    known = store(members.join(named.withColumnRenamed("node", "h"), "h", "left").select(
+    known = settled(members.join(named.withColumnRenamed("node", "h"), "h", "left").select(
         "key", "h", F.coalesce("component", "h").alias("c")), "members")
     mixed = (known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low != high")
              .select("key", (F.floor((F.col("n") - 1) / block) + 1).cast("int").alias("blocks")))
@@ -290,31 +290,34 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     makes at most one row for each class and component. So no link between components is lost.
     """
     texts = id_text(docs, id_col, text_col).filter("id is not null").withColumn("t", F.xxhash64("text"))
-    lines = store(texts.mapInArrow(lambda b: _lines(b, max(SHINGLE, least_words)), LINES), "lines")
-    classes = store(lines.groupBy("h").agg(F.min(F.struct("id", "number", "t", "start", "end")).alias("rep"), F.any_value("bands").alias("bands"),
+    lines = settled(texts.mapInArrow(lambda b: _lines(b, max(SHINGLE, least_words)), LINES), "lines")
+    classes = settled(lines.groupBy("h").agg(F.min(F.struct("id", "number", "t", "start", "end")).alias("rep"), F.any_value("bands").alias("bands"),
                                            F.count("*").alias("n")), "classes")
+    # The bands are with the classes now.
+    whole, lines = lines, settled(lines.drop("bands"), "lines")
+    forget(whole)
     keys = classes.select(F.posexplode("bands").alias("band", "key"), "h")
     # A bucket of more than a block is cut into parts; the cells of its blocks join what lies in different parts.
-    sizes = store(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "sizes")
+    sizes = settled(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "sizes")
     order = F.xxhash64("band", "h")
     part = F.when(F.col("n").isNull(), -1).otherwise(F.pmod(F.xxhash64("h"), F.floor((F.col("n") - 1) / block) + 1)).cast("int")
     dealt = (keys.join(sizes, "key", "left").select("key", part.alias("part"), "h", order.alias("o"))
              .repartition("key", "part").sortWithinPartitions("key", "part", "o"))
-    told = store(dealt.mapInArrow(lambda b: _pairs(b, small), "a binary, b binary, key bigint"), "buckets")
+    told = settled(dealt.mapInArrow(lambda b: _pairs(b, small), "a binary, b binary, key bigint"), "buckets")
     pairs = told.filter("key is null and a != b").select("a", "b").distinct()
     crowded = told.filter("key is not null").select("key", F.col("a").alias("h"))
     sets = _shingles_of(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))), classes, texts)
-    links = store(_verify(pairs, sets, similarity), "links")
-    named = store(components(links), "named")
+    links = settled(_verify(pairs, sets, similarity), "links")
+    named = settled(components(links, tidy=True), "named")
     grouped = classes.join(named, classes["h"] == named["node"], "left").select(
         classes["h"], F.coalesce("component", classes["h"]).alias("c"), "rep", "n")
-    across = store(_verify_crowded(crowded, sets, named, similarity, block), "across")
+    across = settled(_verify_crowded(crowded, sets, named, similarity, block), "across")
     if not across.isEmpty():  # components that crowded buckets join: far fewer than classes
-        joined = store(components(across), "joined").select(F.col("node").alias("c"), "component")
+        joined = settled(components(across, tidy=True), "joined").select(F.col("node").alias("c"), "component")
         grouped = grouped.join(joined, "c", "left").select("h", F.coalesce("component", "c").alias("c"), "rep", "n")
     repeated = (grouped.groupBy("c").agg(F.min("rep").alias("first"), F.sum("n").alias("n")).filter("n > 1"))
-    named_by = grouped.select("h", "c").join(repeated, "c").select("h", "first")
+    named_by = settled(grouped.select("h", "c").join(repeated, "c").select("h", "first"), "repeated")
     other = (F.col("id") != F.col("first.id")) | (F.col("number") != F.col("first.number")) | (F.col("t") != F.col("first.t"))
-    forget(told, sets, links, across)
-    return lines.drop("bands").join(named_by, "h").select(
+    forget(told, sets, links, across, classes, sizes, named)
+    return lines.join(named_by, "h").select(
         "id", "number", "start", "end", "words", F.col("first.id").alias("class_id"), F.col("first.number").alias("class_number"), other.alias("removed"))

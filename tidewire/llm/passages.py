@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import forget, id_text, store
+from tidewire.llm.common import forget, id_text, settled
 from tidewire.llm.paragraphs import STEP
-from tidewire.llm.scan import Scan, asked, asked_texts, bitmap, groups, mixed, place_of
+from tidewire.llm.scan import Scan, asked_texts, groups, mixed, other_texts
 
 RUN = 50
 GROUP = 1 << 18
@@ -55,11 +55,9 @@ def anchors(ids: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
     return every, np.minimum(low[:n], low[need - width:need - width + n])
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], run: int, skip: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """(id, t, h, n): how often each anchor of a text occurs in it. Texts that ``skip`` names are left out."""
+def _anchors(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
+    """(id, t, h, n): how often each anchor of a text occurs in it."""
     for batch in batches:
-        if skip is not None:
-            batch = batch.filter(pa.array(~asked(batch.column("place").to_numpy(), skip)))
         texts = batch.column("text").to_pylist()
         for rows in groups(texts):
             found = Scan([texts[i] for i in rows])
@@ -102,7 +100,7 @@ def _runs(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatc
 
 
 def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, t, whole, words, line, start, end): a text from its first word to its last, without the text."""
+    """(id, t, words, line, start, end): a text from its first word to its last, without the text."""
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for rows in groups(texts):
@@ -111,7 +109,7 @@ def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = np.append(first[1:], len(found.doc)) - 1
             own = pa.array(np.array(rows)[found.doc[first]]) if len(first) else pa.array([], pa.int64())
             yield pa.record_batch({
-                "id": batch.column("id").take(own), "t": batch.column("t").take(own), "whole": batch.column("whole").take(own),
+                "id": batch.column("id").take(own), "t": batch.column("t").take(own),
                 "words": pa.array((last - first + 1).astype(np.int32)), "line": pa.array(found.line[first].astype(np.int32)),
                 "start": pa.array(found.start[first]), "end": pa.array(found.end[last])})
 
@@ -154,24 +152,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     a whole in a smaller id is one removed passage. Rows without id are left out.
     """
     texts = id_text(docs, id_col, text_col).filter("id is not null and text != ''").withColumn("t", F.xxhash64("text"))
-    told = store(texts.withColumn("whole", F.unhex(F.md5("text"))).mapInArrow(
-        _outlines, "id bigint, t bigint, whole binary, words int, line int, start bigint, end bigint"), "outlines")
-    first = told.groupBy("whole").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("whole", "first")
+    named = texts.select("id", "t", F.unhex(F.md5("text")).alias("whole"))
+    first = named.groupBy("whole").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("whole", "first")
     # Copies of whole texts: the first one stands for all. They are told by their outlines; no text is moved.
-    copies = store(told.join(first, "whole").filter("first != id").drop("whole"), "copies")
-    placed, skip = texts.select("id", "t", "text", place_of("id", "t")), bitmap(copies, "id", "t")
-    anchored = "id bigint, t bigint, h bigint, n bigint"
-    doubtful = asked_texts(texts, copies).join(copies.select("id", "t").distinct(), ["id", "t"], "left_anti")
-    places = store(placed.mapInArrow(lambda b: _anchors(b, run, skip), anchored).unionByName(
-        doubtful.mapInArrow(lambda b: _anchors(b, run), anchored)), "anchors")
-    often = store(places.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "often")  # stored: a join with it can split a hot key
-    wanted = store(places.join(often, "h").groupBy("id", "t").agg(F.collect_set("h").alias("wanted")), "wanted")
-    forget(places, often, told)
+    again = settled(named.join(first, "whole").filter("first != id").drop("whole"), "copies")
+    outlines = asked_texts(texts, again).mapInArrow(_outlines, "id bigint, t bigint, words int, line int, start bigint, end bigint")
+    copies = settled(outlines.distinct().join(again, ["id", "t"]), "outlines")
+    single = other_texts(texts, again).unionByName(asked_texts(texts, again).join(again.select("id", "t").distinct(), ["id", "t"], "left_anti"))
+    places = settled(single.mapInArrow(lambda b: _anchors(b, run), "id bigint, t bigint, h bigint, n bigint"), "anchors")
+    often = settled(places.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "often")  # stored: a join with it can split a hot key
+    wanted = settled(places.join(often, "h").groupBy("id", "t").agg(F.collect_set("h").alias("wanted")), "wanted")
+    forget(places, often, again)
     # A text that is there in several rows of one id is read once.
-    runs = store(asked_texts(texts, wanted).join(wanted, ["id", "t"]).dropDuplicates(["id", "t"]).select("id", "t", "text", "wanted").mapInArrow(
+    runs = settled(asked_texts(texts, wanted).join(wanted, ["id", "t"]).dropDuplicates(["id", "t"]).select("id", "t", "text", "wanted").mapInArrow(
         lambda b: _runs(b, run), "id bigint, t bigint, pos int, line int, start bigint, end bigint, h bigint, g bigint"), "runs")
     place = F.struct("id", "t", "pos", "line")
-    firsts = store(runs.groupBy("h", "g").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    firsts = settled(runs.groupBy("h", "g").agg(F.min(place).alias("low"), F.max(F.struct("id", "t", "pos")).alias("high"))
                    .filter(f"low.id != high.id or low.t != high.t or high.pos - low.pos >= {run}").select("h", "g", "low"), "firsts")
     same = (F.col("id") == F.col("low.id")) & (F.col("t") == F.col("low.t"))
     order = ["id", "t", "class_id", "class_t", "shift", "pos"]
@@ -180,7 +176,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                .select("id", "t", F.col("low.id").alias("class_id"), F.col("low.t").alias("class_t"), (F.col("pos") - F.col("low.pos")).alias("shift"),
                        "pos", "line", "start", "end", F.col("low.line").alias("class_number"),
                        (~same | (F.col("pos") != F.col("low.pos"))).alias("removed")))
-    spans = store(repeats.repartition("id", "t").sortWithinPartitions(*order).mapInArrow(lambda b: _merged(b, run), SPANS), "spans")
+    spans = settled(repeats.repartition("id", "t").sortWithinPartitions(*order).mapInArrow(lambda b: _merged(b, run), SPANS), "spans")
     forget(runs, firsts, wanted)
     return spans.unionByName(copies.filter(F.col("words") >= run).select(
         "id", F.col("line").alias("number"), "start", "end", "words", F.col("first").alias("class_id"), F.col("line").alias("class_number"),

@@ -7,12 +7,11 @@ running polynomial, so no word becomes a Python object.
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE = 1 << 18
-TOGETHER = 1 << 19
+PIECE = 1 << 17
+TOGETHER = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 STEP = np.uint64(0xD1342543DE82EF95)
 BITS = 1 << 23
@@ -119,28 +118,26 @@ def place_of(*key: str):
     return F.pmod(F.xxhash64(*key), F.lit(BITS)).alias("place")
 
 
-def bitmap(keys: DataFrame, *key: str) -> np.ndarray:
-    """A bit for each place that a key falls on. Of fixed size, whatever the keys are."""
+def _bits(keys: DataFrame, *key: str) -> DataFrame:
+    """(w, bits): a bit for each place that a key falls on. At most ``BITS`` / 64 rows, whatever the keys are."""
     at = keys.select(place_of(*key))
-    words = at.groupBy(F.shiftright("place", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
-    out = np.zeros(BITS >> 6, np.int64)
-    for row in words.toLocalIterator():
-        out[row.w] = row.bits
-    return out.view(np.uint64)
+    return at.groupBy(F.shiftright("place", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
 
 
-def asked(places: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return (bits[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) == 1
+def _marked(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Texts with the bits of their word of places; null where none is set. The broadcast side is of bounded size."""
+    placed = texts.select("id", "t", "text", place_of("id", "t")).withColumn("w", F.shiftright("place", 6))
+    return placed.join(F.broadcast(_bits(keys, "id", "t")), "w", "left")
 
 
-def _only(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept = batch.filter(pa.array(asked(batch.column("place").to_numpy(), bits)))
-        if kept.num_rows:
-            yield kept.select(["id", "t", "text"])
+SET = "coalesce(shiftright(bits, cast(place & 63 as int)) & 1L, 0L) = 1L"
 
 
 def asked_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """Texts whose (id, t) is among the keys, and by chance a few more: a join with the keys then moves no others."""
-    bits = bitmap(keys, "id", "t")
-    return texts.select("id", "t", "text", place_of("id", "t")).mapInArrow(lambda b: _only(b, bits), "id bigint, t bigint, text string")
+    return _marked(texts, keys).filter(SET).select("id", "t", "text")
+
+
+def other_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The texts that ``asked_texts`` leaves out."""
+    return _marked(texts, keys).filter(f"not ({SET})").select("id", "t", "text")
