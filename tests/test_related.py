@@ -48,3 +48,20 @@ def test_vector_pairs_reach_their_recall(frame, cell):
     assert all(abs(got[p] - true[p]) < 1e-9 for p in got)
     assert related.vector_pairs(df.limit(0)).count() == 0
     assert related.chance(0.9) > 0.98
+
+
+def test_many_tables_make_no_copies_of_vectors(frame, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(20, 6))
+    rows = [(k, (base[k % 20] + 0.4 * rng.normal(size=6)).astype(np.float32).tolist()) for k in range(200)]
+    rows += [(5, rows[7][1]), (900, rows[7][1]), (901, None), (902, [0.0] * 6), (903, [1.0, 2.0]), (904, [1.0, 2.1]), (905, [None] * 6), (None, [1.0] * 6), (3, [1.0] * 6)]
+    df = frame(rows, "vec_id bigint, embedding array<float>")
+    buckets = {(r.a, r.b): r.similarity for r in related.vector_pairs(df, threshold=0.6, tables=3, bits=2, cell=9).collect()}
+    monkeypatch.setattr(related, "_parts", lambda *a: pytest.fail("vectors were filed by table"))
+    monkeypatch.setattr(related, "BLOCK", 16)
+    distinct = df.filter("vec_id is not null and embedding is not null").selectExpr("vec_id id", "embedding v").groupBy("v").agg({"id": "min"}).withColumnRenamed("min(id)", "id")
+    met = {(r.a, r.b): r.similarity for r in related._pairs_by_blocks(distinct, 0.6, 3, 2, 3).groupBy("a", "b").agg({"similarity": "max"}).toDF("a", "b", "similarity").collect()}
+    assert met == pytest.approx(buckets) and len(met) > 500  # the same pairs, also those that no table finds left out
+    every = related.vector_pairs(df, threshold=0.6, tables=64, bits=4).collect()
+    assert {(r.a, r.b) for r in every} > set(met) and (903, 904) in {(r.a, r.b) for r in every}
+    assert related.vector_pairs(df.limit(0), tables=64, bits=4).count() == 0

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import words
-from tidewire.operators.scale import join_dimension, settle
+from tidewire.operators.scale import join_dimension, settle, stored_step
 from tidewire.session import ship_package
 
 CELL = 1000
 TABLES, BITS = 24, 12
+TOLD = 100_000
+BLOCK = 1024
 
 
 def _parts(rows: DataFrame, bucket: list[str], cell: int) -> DataFrame:
@@ -83,8 +85,8 @@ def block_pairs(df: DataFrame, keys: list[str], id_col: str = "message_id", text
 
 # Vectors
 
-def _signatures(batches: Iterator[pa.RecordBatch], tables: int, bits: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(table, bucket, id, vec) for every table; unit vectors, hashed by the sides of random hyperplanes."""
+def _hashed(batches: Iterator[pa.RecordBatch], tables: int, bits: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, unit vectors, a bucket for each table by the sides of random hyperplanes) of the usable vectors, by their length."""
     planes: dict[int, np.ndarray] = {}
     weight = 1 << np.arange(bits, dtype=np.int64)
     for batch in batches:
@@ -103,11 +105,58 @@ def _signatures(batches: Iterator[pa.RecordBatch], tables: int, bits: int, seed:
                 planes[size] = np.random.default_rng(seed).normal(size=(size, tables * bits))
             x = np.stack([rows[k] for k in at])
             keys = ((x @ planes[size] > 0).reshape(len(x), tables, bits) * weight).sum(axis=2)
-            vecs = pa.array([row.tobytes() for row in x], pa.binary())
-            own = pa.array([ids[k] for k in at], pa.int64())
-            for t in range(tables):
-                yield pa.record_batch({"tab": pa.array(np.full(len(x), t), pa.int32()), "size": pa.array(np.full(len(x), size), pa.int32()),
-                                       "bucket": pa.array(keys[:, t], pa.int64()), "id": own, "vec": vecs})
+            yield np.array([ids[k] for k in at], np.int64), x, keys
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], tables: int, bits: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """(table, bucket, id, vec) for every table."""
+    for ids, x, keys in _hashed(batches, tables, bits, seed):
+        vecs, own = pa.array([row.tobytes() for row in x], pa.binary()), pa.array(ids)
+        for t in range(tables):
+            yield pa.record_batch({"tab": pa.array(np.full(len(x), t), pa.int32()), "size": pa.array(np.full(len(x), x.shape[1]), pa.int32()),
+                                   "bucket": pa.array(keys[:, t], pa.int64()), "id": own, "vec": vecs})
+
+
+PACKED = "size int, ids binary, vecs binary, buckets binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch], tables: int, bits: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of vectors of one length, with their buckets."""
+    for ids, x, keys in _hashed(batches, tables, bits, seed):
+        keys = keys.astype(np.min_scalar_type((1 << bits) - 1))
+        for s in range(0, len(x), BLOCK):
+            yield pa.record_batch({"size": pa.array([x.shape[1]], pa.int32()), **{
+                name: pa.array([part[s:s + BLOCK].tobytes()], pa.binary()) for name, part in (("ids", ids), ("vecs", x), ("buckets", keys))}})
+
+
+def _met_blocks(batches: Iterator[pa.RecordBatch], threshold: float, tables: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks, or inside one, at ``threshold`` or more that share the bucket of a table."""
+    kind = np.min_scalar_type((1 << bits) - 1)
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids = [np.frombuffer(row[f"{side}_ids"], np.int64) for side in "xy"]
+            x, y = (np.frombuffer(row[f"{side}_vecs"]).reshape(-1, row["size"]) for side in "xy")
+            own, other = (np.frombuffer(row[f"{side}_buckets"], kind).reshape(-1, tables) for side in "xy")
+            p, q = np.nonzero((near := x @ y.T) >= threshold)
+            if row["alone"]:
+                p, q = p[q < p], q[q < p]
+            for s in range(0, len(p), TOLD):
+                i, j = p[s:s + TOLD], q[s:s + TOLD]
+                shared = (own[i] == other[j]).any(axis=1)
+                i, j = i[shared], j[shared]
+                yield pa.record_batch({"a": np.minimum(ids[0][i], ids[1][j]), "b": np.maximum(ids[0][i], ids[1][j]), "similarity": near[i, j]})
+
+
+def _pairs_by_blocks(distinct: DataFrame, threshold: float, tables: int, bits: int, seed: int) -> DataFrame:
+    """Every two blocks met once, without a copy of a vector: blocks are stored, and a task reads its share of both sides."""
+    blocks = stored_step(distinct.mapInArrow(lambda b: _packed(b, tables, bits, seed), PACKED)
+                         .withColumn("block", F.monotonically_increasing_id()), "blocks")
+    side = lambda name: [F.col(f"{name}.{c}").alias(f"{name}_{c}") for c in ("ids", "vecs", "buckets")]
+    # Not an equality of columns, by which all blocks would go to the task of their length.
+    met = (F.col("x.block") <= F.col("y.block")) & (F.col("x.size") - F.col("y.size") == 0)
+    return blocks.alias("x").join(blocks.alias("y"), met).select(
+        "x.size", (F.col("x.block") == F.col("y.block")).alias("alone"), *side("x"), *side("y")).mapInArrow(
+        lambda b: _met_blocks(b, threshold, tables, bits), "a bigint, b bigint, similarity double")
 
 
 def _close(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -148,10 +197,18 @@ def vector_pairs(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     At an angle of x degrees a table finds a pair with probability ``(1 - x / 180) ** bits``; the defaults find 98 in
     100 at a cosine of 0.9, and nearer pairs more often. Vectors that are null, zero or not finite take no part, those of
     different length do not meet. Equal vectors are one class, named by the smallest id, so copies make no pairs.
+
+    With as many tables as a table has buckets, or more, two vectors would meet in one bucket or more on average. Then
+    all are compared once, block by block, and pairs that share no bucket are left out: the same pairs, without copies
+    of vectors for each table and cell.
     """
     ship_package()
-    one = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    distinct = settle(one.filter("id is not null and v is not null").groupBy("v").agg(F.min("id").alias("id")))
+    kept = F.col(vec_col) if dict(vectors.dtypes)[vec_col] == "array<float>" else F.col(vec_col).cast("array<double>")
+    one = vectors.select(F.col(id_col).cast("bigint").alias("id"), kept.alias("v"))
+    distinct = one.filter("id is not null and v is not null").groupBy("v").agg(F.min("id").alias("id"))
+    if tables >= 1 << bits:
+        return _pairs_by_blocks(distinct, threshold, tables, bits, seed).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    distinct = settle(distinct)
     filed = settle(distinct.mapInArrow(lambda b: _signatures(b, tables, bits, seed), "tab int, size int, bucket bigint, id bigint, vec binary"))
     cells = _parts(filed, ["tab", "size", "bucket"], cell).select("tab", "size", "bucket", "low", "high", "part", "id", "vec")
     dealt = cells.repartition("tab", "size", "bucket", "low", "high").sortWithinPartitions("tab", "size", "bucket", "low", "high", "part")
