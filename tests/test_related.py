@@ -50,6 +50,26 @@ def test_vector_pairs_reach_their_recall(frame, cell):
     assert related.chance(0.9) > 0.98
 
 
+def test_blocks_of_usual_size_are_compared_without_rows_of_words(frame, monkeypatch):
+    rows = [(k, "ab"[k % 2], " ".join(f"w{j}" for j in range(k % 7, k % 7 + 9))) for k in range(60)]
+    rows += [(100, "a", ""), (101, "b", None), (None, "a", "w1 w2"), (102, None, "w1 w2"), (103, "a", "w0 w1 w2 w3 w4 w5 w6 w7"), (103, "a", "w0 w1 w2 w3 w4 w5 w6")]
+    df = frame(rows, "message_id bigint, country string, text string")
+    by_prefix = {tuple(r) for r in related.block_pairs(df.filter("message_id < 100"), ["country"], threshold=0.4, cell=3, whole=1).collect()}
+    some = {tuple(r) for r in related.block_pairs(df.filter("message_id < 100"), ["country"], threshold=0.4, whole=30).collect()}
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a block comes in several batches
+    try:
+        monkeypatch.setattr(related, "_parts", lambda *a: pytest.fail("words were filed"))
+        monkeypatch.setattr(related, "TOLD", 2)
+        got = [tuple(r) for r in related.block_pairs(df, ["country"], threshold=0.4).collect()]
+    finally:
+        df.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(by_prefix) > 20 and by_prefix == some == {r for r in got if r[2] < 100}
+    assert len(got) == len(set(got)) and all(r[1] < r[2] for r in got) and any(r[2] == 103 for r in got)
+    monkeypatch.undo()
+    monkeypatch.setattr(related, "WHOLE_CHARS", 50)  # crowded by text
+    assert {tuple(r) for r in related.block_pairs(df.filter("message_id < 100"), ["country"], threshold=0.4).collect()} == by_prefix
+
+
 def test_many_tables_make_no_copies_of_vectors(frame, monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(20, 6))

@@ -1,8 +1,8 @@
 """Candidate pairs for the question whether two messages are related, so that a model is asked about few pairs.
 
 Texts are compared inside blocks (a country and a day, say) by their words; vectors by random hyperplanes. Both forms
-verify a pair before it is told, so what comes out is small, and split crowded buckets into cells of two parts, so that
-no task takes a whole bucket.
+verify a pair before it is told, so what comes out is small. Blocks of usual size are compared by one task each, crowded
+ones by rare words; crowded buckets are split into cells of two parts, so that no task takes a whole bucket.
 """
 
 import math
@@ -10,15 +10,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewire.functions.text import words
-from tidewire.operators.scale import join_dimension, settle, stored_step
+from tidewire.operators.scale import fits_broadcast, join_dimension, settle, stored_step
 from tidewire.session import ship_package
 
 CELL = 1000
 TABLES, BITS = 24, 12
+WHOLE, WHOLE_CHARS = 4000, 1 << 23  # messages and characters of a block that one task compares
 TOLD = 100_000
 BLOCK = 1024
 
@@ -52,16 +55,96 @@ def word_sets(df: DataFrame, keys: list[str], id_col: str = "message_id", text:
             .agg(F.min("_id").alias("id"), F.count("*").alias("n")))
 
 
+def _alike(batches: Iterator[pa.RecordBatch], keys: list[str], threshold: float) -> Iterator[pa.RecordBatch]:
+    """(keys, a, b, similarity) of the pairs of each block at ``threshold`` or more. Blocks come one after the other."""
+    held, now = [], None
+    for batch in batches:
+        names = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+        cuts = [k for k in range(1, len(names)) if names[k] != names[k - 1]]
+        for s, e in zip([0, *cuts], [*cuts, len(names)]):
+            if s == e:
+                continue
+            if names[s] != now:
+                yield from _alike_in(held, keys, threshold)
+                held, now = [], names[s]
+            held.append(batch.slice(s, e - s))
+    yield from _alike_in(held, keys, threshold)
+
+
+def _alike_in(held: list[pa.RecordBatch], keys: list[str], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Each set of a block against the later ones, by the postings of its words."""
+    if sum(batch.num_rows for batch in held) < 2:
+        return
+    block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    sets = block.column("words")
+    size, n = pc.list_value_length(sets).to_numpy(), block.num_rows
+    code = sets.flatten().dictionary_encode().indices.to_numpy()
+    many, end = np.bincount(code), np.cumsum(size)
+    owner, first = np.repeat(np.arange(n), size)[np.argsort(code, kind="stable")], np.cumsum(many) - many
+
+    def told(left: list[np.ndarray], right: list[np.ndarray], near: list[np.ndarray]) -> pa.RecordBatch:
+        at = pa.array(np.concatenate(left))
+        return pa.record_batch({**{k: block.column(k).take(at) for k in keys}, "a": block.column("id").take(at),
+                                "b": block.column("id").take(pa.array(np.concatenate(right))), "similarity": np.concatenate(near)})
+
+    left, right, found, waiting = [], [], [], 0
+    for k in range(n - 1):
+        own = code[end[k] - size[k]:end[k]]
+        times = many[own]
+        at = np.repeat(first[own] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        both = np.bincount(owner[at], minlength=n)[k + 1:]
+        near = both / (size[k] + size[k + 1:] - both)
+        hit = np.flatnonzero(near >= threshold)
+        if len(hit):
+            left.append(np.full(len(hit), k))
+            right.append(hit + k + 1)
+            found.append(near[hit])
+            waiting += len(hit)
+        if waiting >= TOLD:
+            yield told(left, right, found)
+            left, right, found, waiting = [], [], [], 0
+    if waiting:
+        yield told(left, right, found)
+
+
+def _whole_blocks(said: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """``block_pairs`` of blocks that a task can hold. Texts are shuffled once, by block; words are read after that."""
+    ship_package()
+    dealt = said.repartition(*keys)
+    sets = (dealt.select(*keys, "_id", F.coalesce(F.array_sort(F.array_distinct(words(F.col("_text")))), F.array().cast("array<string>")).alias("words"))
+            .groupBy(*keys, "words").agg(F.min("_id").alias("id")).filter("id is not null").sortWithinPartitions(*keys))
+    id_type = said.schema["_id"].dataType
+    schema = StructType([*[said.schema[k] for k in keys], StructField("a", id_type), StructField("b", id_type), StructField("similarity", DoubleType())])
+    pairs = sets.mapInArrow(lambda batches: _alike(batches, keys, threshold), schema)
+    return pairs.filter("a != b").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+
+
 def block_pairs(df: DataFrame, keys: list[str], id_col: str = "message_id", text: str = "text", threshold: float = 0.5,
-                cell: int = CELL) -> DataFrame:
+                cell: int = CELL, whole: int = WHOLE) -> DataFrame:
     """(keys, a, b, similarity) of all pairs in a block whose word sets have a Jaccard similarity of ``threshold`` or more.
 
-    Exact, by prefixes: with words ordered from rare to common, two such sets share one of the first
-    ``size - ceil(threshold * size) + 1`` words of each; pairs of too different sizes are passed over. Equal word sets
-    are one class (``word_sets``), so copies make no pairs. Ids name one message each.
+    Exact. Blocks of up to ``whole`` messages (and some megabytes of text) are compared by one task each, which counts
+    the words that two sets share. Larger ones are compared by prefixes: with words ordered from rare to common, two such sets share one of the first
+    ``size - ceil(threshold * size) + 1`` words of each; pairs of too different sizes are passed over, and words that
+    more than ``cell`` sets begin with are split into cells. Equal word sets are one class (``word_sets``), so copies
+    make no pairs. Ids name one message each.
     """
     if not 0 < threshold <= 1:
         raise ValueError("a threshold above 0, at most 1")
+    if not keys:
+        return _prefix_pairs(df, keys, id_col, text, threshold, cell)
+    said = df.select(*keys, F.col(id_col).alias("_id"), F.col(text).alias("_text")).dropna(subset=keys)
+    sizes = said.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(F.length("_text")).alias("_chars"))
+    crowded = settle(sizes.filter((F.col("_n") > whole) | (F.col("_chars") > WHOLE_CHARS)).select(*keys))
+    if crowded.isEmpty():
+        return _whole_blocks(said, keys, threshold)
+    small = fits_broadcast(crowded)
+    few, many = (join_dimension(said, crowded, keys, how, small=small) for how in ("left_anti", "left_semi"))
+    return _whole_blocks(few, keys, threshold).unionByName(_prefix_pairs(many, keys, "_id", "_text", threshold, cell))
+
+
+def _prefix_pairs(df: DataFrame, keys: list[str], id_col: str, text: str, threshold: float, cell: int) -> DataFrame:
+    """``block_pairs`` by prefixes, for blocks of any size."""
     sets = settle(word_sets(df, keys, id_col, text))
     exploded = sets.select("id", F.size("words").alias("size"), F.explode("words").alias("word"))
     seen = settle(exploded.groupBy("word").agg(F.count("*").alias("df")))
