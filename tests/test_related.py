@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tidewire.operators import related
+from tidewire.plans import related_queries
 
 
 @pytest.mark.parametrize("threshold, cell", [(0.5, 1000), (0.3, 4), (1.0, 3)])
@@ -85,3 +86,16 @@ def test_many_tables_make_no_copies_of_vectors(frame, monkeypatch):
     every = related.vector_pairs(df, threshold=0.6, tables=64, bits=4).collect()
     assert {(r.a, r.b) for r in every} > set(met) and (903, 904) in {(r.a, r.b) for r in every}
     assert related.vector_pairs(df.limit(0), tables=64, bits=4).count() == 0
+
+
+def test_only_texts_of_pairs_are_moved_to_the_model(spark, tmp_path):
+    texts = ["one two three four", "one two three five six", "alpha beta gamma", "delta"] + [f"x{k} y{k}" for k in range(30)]
+    rows = [(k, t, "en", "site2") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        judged = related_queries.related_judged(spark, str(tmp_path))
+        assert judged._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2  # each side of a pair
+        assert [tuple(r) for r in judged.collect()] == [(0, 1, False)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

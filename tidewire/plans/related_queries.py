@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import providers as pv
 from tidewire.operators import related
+from tidewire.operators.scale import join_dimension, settle
 from tidewire.plans import bindings as b
 from tidewire.plans.model_queries import scripted
 from tidewire.plans.registry import query
@@ -41,7 +42,9 @@ def _judge(prompt):
 def related_judged(spark, sf):
     """A model is asked about the candidates only."""
     said = _messages(spark, sf)
-    pairs = related.block_pairs(said, ["country_code", "week"], threshold=LEAST).select("a", "b")
+    pairs = settle(related.block_pairs(said, ["country_code", "week"], threshold=LEAST).select("a", "b"))
+    asked = settle(pairs.select(F.col("a").alias("message_id")).union(pairs.select("b")).distinct())
+    said = join_dimension(said, asked, ["message_id"], "left_semi")  # only the texts of pairs are moved
     texts = (pairs.join(said.select(F.col("message_id").alias("a"), F.col("text").alias("text_a")), "a")
              .join(said.select(F.col("message_id").alias("b"), F.col("text").alias("text_b")), "b"))
     return pv.related_pairs(texts, scripted(_judge)).select("a", "b", "related")
