@@ -535,3 +535,19 @@ def test_repeated_items_are_reported_each(frame):
     words_ = " ".join(f"w{k}" for k in range(20))
     got = decontaminate.contaminated(docs_of(frame, [(1, words_)]), frame([(4, words_), (5, words_), (5, words_), (6, "other")], "item_id bigint, text string"))
     assert sorted(r.item_id for r in got.collect()) == [4, 5]
+
+
+def test_runs_of_unique_ids_carry_no_hash_of_their_text(frame, monkeypatch):
+    run = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, f"a {run} b"), (2, f"c {run} d"), (3, f"e {run} f"), (3, f"g h {run}"), (4, "alone")]
+    steps, plain = {}, passages.settled
+    monkeypatch.setattr(passages, "settled", lambda df, name: steps.setdefault(name, [plain(df, name), None])[0] if name != "runs" else keep(df))
+
+    def keep(df):
+        steps["runs"] = plain(df, "runs"), df.select("id", "t").distinct().collect()
+        return steps["runs"][0]
+
+    spans = passages.repeated_passages(docs_of(frame, rows)).collect()
+    marks = [(r.id, r.t) for r in steps["runs"][1]]
+    assert {t for i, t in marks if i != 3} == {0} and len({t for i, t in marks if i == 3} - {0}) == 2
+    assert sorted((r.id, r.words, r.class_id, r.removed) for r in spans) == [(1, 60, 1, False), (2, 60, 1, True), (3, 60, 1, True), (3, 60, 1, True)]

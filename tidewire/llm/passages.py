@@ -163,9 +163,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     often = settled(places.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "often")  # stored: a join with it can split a hot key
     wanted = settled(places.join(often, "h").groupBy("id", "t").agg(F.collect_set("h").alias("wanted")), "wanted")
     forget(places, often, again)
+    # Of the texts with runs only those that share their id need ``t`` to be told apart; a hash costs as much as all else of a place.
+    shared = settled(wanted.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit(True).alias("shared")), "shared")
+    mark = F.when(F.col("shared"), F.col("t")).otherwise(F.lit(0).cast("bigint")).alias("t")
     # A text that is there in several rows of one id is read once.
-    runs = settled(asked_texts(texts, wanted).join(wanted, ["id", "t"]).dropDuplicates(["id", "t"]).select("id", "t", "text", "wanted").mapInArrow(
+    asked = asked_texts(texts, wanted).join(wanted.join(shared, "id", "left"), ["id", "t"]).dropDuplicates(["id", "t"])
+    runs = settled(asked.select("id", mark, "text", "wanted").mapInArrow(
         lambda b: _runs(b, run), "id bigint, t bigint, pos int, line int, start bigint, end bigint, h bigint, g bigint"), "runs")
+    forget(wanted, shared)
     place = F.struct("id", "t", "pos", "line")
     firsts = settled(runs.groupBy("h", "g").agg(F.min(place).alias("low"), F.max(F.struct("id", "t", "pos")).alias("high"))
                    .filter(f"low.id != high.id or low.t != high.t or high.pos - low.pos >= {run}").select("h", "g", "low"), "firsts")
@@ -177,7 +182,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                        "pos", "line", "start", "end", F.col("low.line").alias("class_number"),
                        (~same | (F.col("pos") != F.col("low.pos"))).alias("removed")))
     spans = settled(repeats.repartition("id", "t").sortWithinPartitions(*order).mapInArrow(lambda b: _merged(b, run), SPANS), "spans")
-    forget(runs, firsts, wanted)
+    forget(runs, firsts)
     return spans.unionByName(copies.filter(F.col("words") >= run).select(
         "id", F.col("line").alias("number"), "start", "end", "words", F.col("first").alias("class_id"), F.col("line").alias("class_number"),
         F.lit(True).alias("removed")))
