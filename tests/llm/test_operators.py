@@ -8,6 +8,7 @@ import re
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -551,3 +552,39 @@ def test_runs_of_unique_ids_carry_no_hash_of_their_text(frame, monkeypatch):
     marks = [(r.id, r.t) for r in steps["runs"][1]]
     assert {t for i, t in marks if i != 3} == {0} and len({t for i, t in marks if i == 3} - {0}) == 2
     assert sorted((r.id, r.words, r.class_id, r.removed) for r in spans) == [(1, 60, 1, False), (2, 60, 1, True), (3, 60, 1, True), (3, 60, 1, True)]
+
+
+def test_small_buckets_of_a_batch_are_paired_at_once():
+    rng = random.Random(4)
+    rows = [(key, -1, bytes([key // 256, key % 256, k])) for key in range(2000) for k in range(rng.choice([1, 1, 2, 5]))]
+    rows += [(2000, part, bytes([9, part, k])) for part in (0, 1) for k in range(1 + part)]
+    rows += [(2001, -1, bytes([10, 0, k])) for k in range(40)] + [(2002, -1, b"x"), (2003, -1, b"y"), (2003, -1, b"z")]
+    batch = pa.record_batch({"key": pa.array([k for k, *_ in rows], pa.int64()), "part": pa.array([p for _, p, _ in rows], pa.int32()),
+                             "h": pa.array([h for *_, h in rows], pa.binary())})
+    wanted = {(a, b) for _, same in itertools.groupby(rows[:-43], key=lambda r: r[0] if r[1] < 0 else None) for a, b in
+              itertools.combinations([h for _, p, h in same if p < 0], 2)}
+    for cut in (1, 7, 1000, len(rows)):
+        out = [b.to_pylist() for b in paragraphs._pairs((batch.slice(s, cut) for s in range(0, len(rows), cut)), 32)]
+        pairs = [(r["a"], r["b"]) for b in out for r in b if r["key"] is None and r["a"][0] < 9]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == wanted
+        assert {r["a"] for b in out for r in b if r["key"] is not None} == {h for k, _, h in rows if k in (2000, 2001)}
+        assert [(r["a"], r["b"]) for b in out for r in b if r["key"] is None][-1] == (b"y", b"z")
+        assert cut < 1000 or len(out) < 20  # not a batch for each bucket
+
+
+def test_runs_of_many_texts_are_listed_together(monkeypatch):
+    rng = random.Random(6)
+    texts = [words(rng, n) + f"\n  {i} é " + words(rng, n) for i, n in enumerate([0, 1, 9, 40, 3, 70, 12, 5] * 4)]
+    each = [passages.anchors(passages.Scan([t]).hash, 10)[1] for t in texts]
+    asked = [np.unique(low[::3]).view(np.int64).tolist() for low in each]
+    batch = pa.record_batch({"id": pa.array(range(len(texts))), "t": pa.array([7] * len(texts)), "text": pa.array(texts),
+                             "wanted": pa.array(asked, pa.list_(pa.int64()))})
+    alone = [r for i in range(len(texts)) for b in passages._runs(iter([batch.slice(i, 1)]), 10) for r in b.to_pylist()]
+    scans, plain = [], passages.Scan
+    monkeypatch.setattr(passages, "Scan", lambda found: scans.append(found) or plain(found))
+    together = [r for b in passages._runs(iter([batch]), 10) for r in b.to_pylist()]
+    assert together == alone and len(scans) == 1
+    wanted = [(i, p) for i, low in enumerate(each) for p in np.flatnonzero(np.isin(low.view(np.int64), asked[i])).tolist()]
+    assert [(r["id"], r["pos"]) for r in together] == wanted
+    assert all(texts[r["id"]][r["start"]:r["end"]].split() == texts[r["id"]].split()[r["pos"]:r["pos"] + 10] for r in together)
+    assert all(texts[r["id"]][:r["start"]].count("\n") == r["line"] for r in together)

@@ -144,16 +144,23 @@ def _pairs(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordB
             yield _ends([held[x] for x in left], [held[y] for y in right])
 
     for batch in batches:
-        keys, parts, h = batch.column("key").to_numpy(), batch.column("part").to_numpy(), batch.column("h").to_pylist()
-        cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(parts) != 0)) + 1
-        for s, e in zip([0, *cuts], [*cuts, len(keys)]):
-            if s == e:
-                continue
+        if not batch.num_rows:
+            continue
+        keys, parts, h = batch.column("key").to_numpy(), batch.column("part").to_numpy(), batch.column("h")
+        first = np.concatenate([[0], 1 + np.flatnonzero((np.diff(keys) != 0) | (np.diff(parts) != 0))])
+        size = np.diff(np.append(first, len(keys)))
+        # Small buckets that lie between the first and the last one are whole here, so all of them are paired at once.
+        whole = (size <= small) & (parts[first] < 0)
+        whole[[0, -1]] = False
+        ends = [(first[whole & (size == n), None] + np.stack(np.triu_indices(n, 1))[:, None]).reshape(2, -1) for n in np.unique(size[whole])]
+        if ends and (pairs := np.concatenate(ends, axis=1)).size:
+            yield _ends(*(h.take(pa.array(x)).to_pylist() for x in pairs))
+        for s, e in zip(first[~whole], (first + size)[~whole]):
             if (keys[s], parts[s]) != held_key:
                 yield from close()
                 held_key, held, told = (keys[s], parts[s]), [], parts[s] >= 0
             for t in range(s, e, 8192):
-                fresh, before = h[t:min(e, t + 8192)], len(held)
+                fresh, before = h[t:min(e, t + 8192)].to_pylist(), len(held)
                 held = held + fresh
                 if not told and len(held) <= small:
                     continue

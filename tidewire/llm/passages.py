@@ -82,21 +82,27 @@ def _anchors(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordB
 def _runs(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
     """(id, t, pos, line, start, end, h, g) of the runs whose anchor is wanted."""
     for batch in batches:
-        for row, text in enumerate(batch.column("text")):
-            found = Scan([text.as_py()])
+        texts = batch.column("text").to_pylist()
+        for rows in groups(texts):
+            found = Scan([texts[i] for i in rows])
             _, low = anchors(found.hash, run)
-            wanted = batch.column("wanted")[row].values.to_numpy().view(np.uint64)
-            at = np.flatnonzero(np.isin(low, wanted))
+            # One key for an anchor in a text, as in _anchors; runs that lie in two texts are none.
+            apart = mixed(np.arange(1, len(rows) + 1, dtype=np.uint64))
+            asked = batch.column("wanted").take(pa.array(rows))
+            wanted = asked.flatten().to_numpy().view(np.uint64) + np.repeat(apart, asked.value_lengths().to_numpy())
+            at = np.flatnonzero(found.doc[:len(low)] == found.doc[run - 1:run - 1 + len(low)])
+            at = at[np.isin(low[at] + apart[found.doc[at]], wanted)]
             if not len(at):
                 continue
             h, g = (grams(found.hash, run, b)[at].view(np.int64) for b in BASES)
-            one = pa.array(np.full(len(at), row))
-            rows = pa.record_batch({
-                "id": batch.column("id").take(one), "t": batch.column("t").take(one), "pos": pa.array(at.astype(np.int32)),
+            doc = found.doc[at]
+            own = pa.array(np.array(rows)[doc])
+            told = pa.record_batch({
+                "id": batch.column("id").take(own), "t": batch.column("t").take(own), "pos": pa.array((at - np.searchsorted(found.doc, doc)).astype(np.int32)),
                 "line": pa.array(found.line[at].astype(np.int32)), "start": pa.array(found.start[at]), "end": pa.array(found.end[at + run - 1]),
                 "h": pa.array(h), "g": pa.array(g)})
             for s in range(0, len(at), GROUP):
-                yield rows.slice(s, GROUP)
+                yield told.slice(s, GROUP)
 
 
 def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
