@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import string
@@ -588,3 +589,13 @@ def test_runs_of_many_texts_are_listed_together(monkeypatch):
     assert [(r["id"], r["pos"]) for r in together] == wanted
     assert all(texts[r["id"]][r["start"]:r["end"]].split() == texts[r["id"]].split()[r["pos"]:r["pos"] + 10] for r in together)
     assert all(texts[r["id"]][:r["start"]].count("\n") == r["line"] for r in together)
+
+
+def test_only_the_result_of_paragraphs_stays_stored(frame, monkeypatch):
+    steps, plain = [], paragraphs.settled
+    monkeypatch.setattr(paragraphs, "settled", lambda df, name: steps.append((name, plain(df, name))) or steps[-1][1])
+    line = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
+    got = paragraphs.repeated_paragraphs(docs_of(frame, [(1, line), (2, f"x\n{line}"), (3, line + " nineteen"), (4, "none of these words is there twice")]))
+    left = [name for name, df in steps if os.path.exists(df.stored_at.removeprefix("file:"))]
+    assert {"lines", "wanted", "repeated"} <= {name for name, _ in steps} and left == ["paragraphs"]
+    assert sorted((r.id, r.number, r.class_id, r.removed) for r in got.collect()) == [(1, 0, 1, False), (2, 1, 1, True), (3, 0, 1, True)]

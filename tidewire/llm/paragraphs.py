@@ -255,7 +255,9 @@ def _shingles_of(named: DataFrame, classes: DataFrame, texts: DataFrame) -> Data
     wanted = settled(named.distinct().join(classes, "h").groupBy(F.col("rep.id").alias("id"), F.col("rep.t").alias("t"))
                    .agg(F.collect_list(F.struct("h", F.col("rep.start").alias("start"), F.col("rep.end").alias("end"))).alias("wanted")), "wanted")
     found = asked_texts(texts, wanted).join(wanted, ["id", "t"]).select("text", "wanted").mapInArrow(_sets, "h binary, s binary")
-    return settled(found.dropDuplicates(["h"]), "shingles")
+    sets = settled(found.dropDuplicates(["h"]), "shingles")
+    forget(wanted)
+    return sets
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -277,7 +279,9 @@ def _verify_crowded(members: DataFrame, sets: DataFrame, named: DataFrame, simil
         F.transform(F.sequence(F.lit(0), "own"), lambda i: F.struct(i.alias("block"), F.col("own").alias("slice"), F.lit(1).alias("probe"))))
     dealt = (filed.withColumn("role", F.explode(roles)).select("key", "role.block", "role.slice", "role.probe", "c", "s")
              .repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice", "probe"))
-    return dealt.mapInArrow(lambda b: _crowded_links(b, similarity), "a binary, b binary")
+    across = settled(dealt.mapInArrow(lambda b: _crowded_links(b, similarity), "a binary, b binary"), "across")
+    forget(known)
+    return across
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS,
@@ -318,7 +322,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = settled(components(links, tidy=True), "named")
     grouped = classes.join(named, classes["h"] == named["node"], "left").select(
         classes["h"], F.coalesce("component", classes["h"]).alias("c"), "rep", "n")
-    across = settled(_verify_crowded(crowded, sets, named, similarity, block), "across")
+    across = _verify_crowded(crowded, sets, named, similarity, block)
     if not across.isEmpty():  # components that crowded buckets join: far fewer than classes
         joined = settled(components(across, tidy=True), "joined").select(F.col("node").alias("c"), "component")
         grouped = grouped.join(joined, "c", "left").select("h", F.coalesce("component", "c").alias("c"), "rep", "n")
@@ -326,5 +330,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named_by = settled(grouped.select("h", "c").join(repeated, "c").select("h", "first"), "repeated")
     other = (F.col("id") != F.col("first.id")) | (F.col("number") != F.col("first.number")) | (F.col("t") != F.col("first.t"))
     forget(told, sets, links, across, classes, sizes, named)
-    return lines.join(named_by, "h").select(
-        "id", "number", "start", "end", "words", F.col("first.id").alias("class_id"), F.col("first.number").alias("class_number"), other.alias("removed"))
+    # Stored without the digests of the lines, which would lie there until the result is read.
+    found = settled(lines.join(named_by, "h").select(
+        "id", "number", "start", "end", "words", F.col("first.id").alias("class_id"), F.col("first.number").alias("class_number"), other.alias("removed")),
+        "paragraphs")
+    forget(lines, named_by)
+    return found
