@@ -81,3 +81,10 @@ def test_first_rows_are_cut_before_the_shuffle(frame):
     assert plan.count("WindowGroupLimit") >= 2
     assert sorted(r["message_id"] for r in latest_n(df, 5).collect()) == [95, 96, 97, 98, 99]
     assert latest_n(df, 50).count() == 20 and latest_n(df, 50, cap=None).count() == 50
+
+
+def test_small_files_are_read_by_few_tasks_and_large_tables_by_more(spark):
+    cores = spark.sparkContext.defaultParallelism
+    tasks = lambda n: scale.few_tasks(spark.range(0, n, 1, n)).rdd.getNumPartitions()
+    assert [tasks(n) for n in (5, 100 * cores, 1024 * cores)] == [5, 32 * cores, 64 * cores]
+    assert scale.few_tasks(spark.range(0, 1000, 1, 700)).selectExpr("sum(id)", "count(*)").first() == (499500, 1000)

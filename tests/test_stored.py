@@ -160,3 +160,22 @@ def test_sheets_read_their_header_from_other_files(spark, tmp_path):
 def test_a_missing_table_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         stored.retain_stored(spark, stored.stored_archive(spark, str(tmp_path / "none"), NOW, 7))
+
+
+def test_an_archive_of_many_files_is_listed_and_read_by_few_tasks(spark, tmp_path):
+    root, key = tmp_path / "archive", "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    for k in range(600):
+        (root / f"batch_id={k}").mkdir(parents=True)
+        (root / f"batch_id={k}" / "part-0.csv").write_text(",".join(MESSAGE_FIELDS) + "\n" + ",".join([str(k)] * len(MESSAGE_FIELDS)) + "\n")
+    most, before, tracker = 32 * spark.sparkContext.defaultParallelism, spark.conf.get(key), spark.sparkContext.statusTracker()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    spark.sparkContext.setJobGroup("listing of many folders", "")
+    try:
+        rows = stored.stored_archive(spark, str(root), NOW, 7).rows([str(root)])
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("listing of many folders")]
+        assert [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds] == [most]
+        assert rows.rdd.getNumPartitions() == most and spark.conf.get(key) == before
+        assert rows.selectExpr("count(*)", "count(distinct file, Message_ID)", "count(_malformed)").first() == (600, 600, 0)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
