@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions.fixed import MESSAGE_FIELDS
-from tidewire.operators import stored
+from tidewire.operators import sinks, stored
+from tidewire.plans import retention_queries
+from tidewire.plans.sink_queries import records
+from tidewire.sources.feeds import read_archive
 from tidewire.sources.files import Files
 
 NOW = "2024-01-12 12:00:00"
@@ -162,6 +165,29 @@ def test_a_missing_table_is_an_error(spark, tmp_path):
         stored.retain_stored(spark, stored.stored_archive(spark, str(tmp_path / "none"), NOW, 7))
 
 
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_a_batch_of_the_archive_is_one_task_s_and_has_no_checksum_files(spark, tmp_path, fmt):
+    rows = [(k, f"source{k % 3}", "en", "mit license\r\nof \"all\", kinds" if k % 4 else None) for k in range(480)] + [(5, "source5", "en", "again")]
+    spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string").write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    sf, root = str(tmp_path / "sf"), str(tmp_path / "archive")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        retention_queries._archive(spark, sf, root, fmt)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tasks = {}
+    for folder, _, names in os.walk(root):
+        for name in names:
+            assert not name.endswith(".crc")
+            if name.startswith("part-"):
+                tasks.setdefault(folder.split("batch_id=")[1].split("/")[0], []).append(name.split("-")[1])
+    assert len(tasks) == 10 and len({t for ts in tasks.values() for t in ts}) > 1
+    assert all(len(set(ts)) == 1 for ts in tasks.values()) and max(map(len, tasks.values())) > 1
+    plain = sinks.archive_rows(records(spark, sf)).fillna("")
+    back = read_archive(spark, root, fmt).select(*plain.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_an_archive_of_many_files_is_listed_and_read_by_few_tasks(spark, tmp_path):
     root, key = tmp_path / "archive", "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     for k in range(600):
