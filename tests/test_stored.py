@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions.fixed import MESSAGE_FIELDS
+from tidewire.functions.text import flatten_newlines
 from tidewire.operators import sinks, stored
 from tidewire.plans import retention_queries
 from tidewire.plans.sink_queries import records
 from tidewire.sources.feeds import read_archive
-from tidewire.sources.files import Files
+from tidewire.sources.files import Files, write_local_csv
 
 NOW = "2024-01-12 12:00:00"
 
@@ -205,3 +206,65 @@ def test_an_archive_of_many_files_is_listed_and_read_by_few_tasks(spark, tmp_pat
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_local_csv_is_what_spark_s_writer_leaves(spark, tmp_path):
+    cells = ["plain", "", " led and trailed ", 'a "quoted", b', "back\\slash", 'end\\"', "line\nbreak\rand\ttab", "#comment", "\u00fc\u0634", "\u0000", None]
+    keys = [(1, "a b"), (1, "x=/%:?'*[]{}^#\\"), (2, ""), (2, None), (None, "\u00fc"), (3, "~(),.-_&$!;@+|<>`")]
+    rows = [(*key, f"{k}", cell) for key in keys for k, cell in enumerate(cells)]
+    df = spark.createDataFrame(rows, "n bigint, k string, id string, text string").repartition(3, "id")
+    ours, theirs = str(tmp_path / "our files"), str(tmp_path / "theirs")
+    write_local_csv(df.select("id", "n", "text", "k"), ["n", "k"], ours)
+    df.select("id", "n", "text", "k").write.partitionBy("n", "k").option("header", True).option("escape", '"').csv(theirs)
+
+    def content(root):
+        found = {}
+        for folder, _, names in os.walk(root):
+            parts = [open(os.path.join(folder, x), "rb").read() for x in names if x.startswith("part-")]
+            if parts:
+                assert all(x.startswith(b"id,text\n") for x in parts)
+                found[os.path.relpath(folder, root)] = sorted(x.removeprefix(b"id,text\n") for x in parts)
+        return {k: sorted(b"".join(v).split(b"\n")) for k, v in found.items()}, {k: len(v) for k, v in found.items()}
+
+    assert content(ours) == content(theirs) and max(content(ours)[1].values()) > 1
+    assert not [x for x in os.listdir(ours) if not x.startswith("n=")]
+
+
+def test_local_csv_holds_nothing_of_attempts_that_failed(spark, tmp_path):
+    df = spark.range(100).selectExpr("id % 10 AS n", "CAST(id AS string) AS id").repartition(1)
+    broken = df.withColumn("id", F.when(F.col("n") == 7, F.raise_error(F.lit("broken"))).otherwise(F.col("id")))
+    root = str(tmp_path / "a")
+    with pytest.raises(Exception, match="broken"):
+        write_local_csv(broken, ["n"], root)
+    assert not [x for x in (os.listdir(root) if os.path.isdir(root) else []) if not x.startswith("_")]
+    write_local_csv(df, ["n"], root)
+    assert spark.read.option("header", True).csv(root).selectExpr("count(*)", "count(distinct id)").first() == (100, 100)
+
+
+def test_a_local_archive_is_written_without_hadoop_s_file_system(spark, tmp_path, monkeypatch):
+    rows = [(k, f"source{k % 3}", "en", "mit license") for k in range(96)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string").write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    # A writer of Hadoop's would start a process for each of these files and folders.
+    monkeypatch.setattr(retention_queries, "_NO_CHECKSUMS", {"fs.file.impl": "no.such.FileSystem", "fs.file.impl.disable.cache": "true"})
+    retention_queries._archive(spark, str(tmp_path / "sf"), str(tmp_path / "archive"))
+    assert read_archive(spark, str(tmp_path / "archive")).count() == 96
+
+
+def test_the_names_in_a_folder_come_in_a_few_calls(spark, tmp_path, monkeypatch):
+    root = tmp_path / "a, b"
+    odd = ["plain", "a, b", "Array(x)", "k=%C3%BC", "\u00fc \u0634", "x\ny"]
+    for name in odd + [f"batch_id={k}" for k in range(200)]:
+        (root / name).mkdir(parents=True)
+    files, calls = Files(spark, str(root)), []
+    client = spark.sparkContext._gateway._gateway_client
+    plain = client.send_command
+    monkeypatch.setattr(client, "send_command", lambda *a, **b: (calls.append(a), plain(*a, **b))[1])
+    names = files.children()
+    assert len(names) == 206 and len(calls) < 100 and files.children("plain") == [] and files.children("none") == []
+    assert all(files.exists(name) for name in names) and {"plain", "a,%20b", "Array(x)", "k=%25C3%25BC"} <= set(names)
+
+
+def test_line_breaks_of_every_kind_are_flattened(spark):
+    texts = ["a\r\nb", "a\r\r\nb", "a\n\rb", "\r\n\r\n", "\r", "none", "", None, "a\u2028b\u0085c"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert all(r[0] == r[1] for r in df.select(flatten_newlines(F.col("t")), F.regexp_replace("t", r"\r\n|\n|\r", "<br>")).collect())
